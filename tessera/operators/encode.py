@@ -27,14 +27,16 @@ def vocab_lookup(vocab: DataFrame) -> DataFrame:
 
 
 def encode_tokens(lines: DataFrame, vocab: DataFrame, params: Params = Params(),
-                  keys=("split", "doc_id", "line_no"), start_col: str | None = None) -> DataFrame:
+                  keys=("split", "doc_id", "line_no"), start_col: str | None = None,
+                  truncate: bool = True, append_eos: bool = True) -> DataFrame:
     """J1 + O5 + F3 on token rows: one row per id of every line,
     ``(*keys, i, token_id[, pos])``. Words past ``context_length`` are dropped,
     then eos is appended (the element with a null word). Out-of-vocabulary words
     map to ``<unk>``. ``lines`` must carry ``words`` (see :func:`with_words`);
     with ``start_col`` the global position ``pos = start + i`` is added."""
     carry = list(keys) + ([start_col] if start_col else [])
-    marked = F.concat(F.slice("words", 1, params.context_length), F.array(F.lit(None).cast("string")))
+    kept = F.slice("words", 1, params.context_length) if truncate else F.col("words")
+    marked = F.concat(kept, F.array(F.lit(None).cast("string"))) if append_eos else kept
     ex = lines.select(*carry, F.posexplode(marked).alias("i", "word"))
     j = ex.join(vocab_lookup(vocab), "word", "left")
     tok = (F.when(F.col("word").isNull(), F.lit(params.eos_id))

@@ -15,6 +15,12 @@ def word_counts(lines: DataFrame, text_col: str = "text") -> DataFrame:
             .groupBy("word").agg(F.count(F.lit(1)).cast("bigint").alias("n")))
 
 
+def word_counts_of_words(lines: DataFrame, words_col: str = "words") -> DataFrame:
+    """A3 on already pre-tokenized rows."""
+    return (lines.select(F.explode(words_col).alias("word"))
+            .groupBy("word").agg(F.count(F.lit(1)).cast("bigint").alias("n")))
+
+
 def min_frequency(counts: DataFrame, k: int, col: str = "n") -> DataFrame:
     """A5: keep entries seen at least ``k`` times."""
     return counts.where(F.col(col) >= k)

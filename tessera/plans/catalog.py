@@ -145,3 +145,282 @@ def q_perplexity(spark, sf_dir):
     s = corpus.evaluate(_prep(spark, sf_dir), P)["summary"]
     return s.select("split", "n_batches", "n_blocks", _r(F.col("loss")).alias("loss"),
                     _r(F.col("token_loss")).alias("token_loss"), _r(F.col("perplexity"), 4).alias("perplexity"))
+
+
+# ---------------------------------------------------------------- batching
+def _md5_sql(*parts: str) -> str:
+    return "('0x' || substr(md5(concat_ws('|', " + ", ".join(parts) + ")), 1, 7))::BIGINT"
+
+
+_EPOCH_SQL = with_ctes(
+    f"SELECT epoch, block_id, rn, batch_id, row_in_batch, step, step % {P.grad_accum_steps} = 0 AS is_update, "
+    f"step % {P.log_every} = 0 AS is_log FROM (SELECT *, rn // {P.batch_size} AS batch_id, "
+    f"(rn % {P.batch_size})::INT AS row_in_batch, rn // {P.batch_size} + 1 AS step FROM ep_rn) "
+    f"WHERE (rn // {P.batch_size} + 1) * {P.batch_size} <= n",
+    ["blocks"], P, extra={
+        "ep_x": (f"SELECT e.range::INT AS epoch, b.block_id, {_md5_sql(repr(str(P.seed)), 'CAST(e.range AS VARCHAR)', 'CAST(b.block_id AS VARCHAR)')} AS h "
+                 f"FROM blocks b CROSS JOIN range({P.epochs}) e WHERE b.split = 'train'"),
+        "ep_rn": ("SELECT epoch, block_id, (row_number() OVER (PARTITION BY epoch ORDER BY h, block_id) - 1)::BIGINT AS rn, "
+                  "count(*) OVER (PARTITION BY epoch) AS n FROM ep_x"),
+    })
+
+
+@register("epoch_plan", _EPOCH_SQL)
+def q_epoch_plan(spark, sf_dir):
+    """T5 + O1 + W4 + O2 + P6: per epoch, seeded shuffle of the train blocks,
+    full batches only, 1-based step, update and log flags."""
+    from tessera.operators.batching import epoch_plan
+    return epoch_plan(_prep(spark, sf_dir).blocks, P)
+
+
+@register("updates_per_epoch", "SELECT epoch, count(DISTINCT batch_id)::BIGINT AS n_batches, "
+          f"(count(DISTINCT batch_id) // {P.grad_accum_steps})::BIGINT AS n_updates FROM ("
+          + _EPOCH_SQL + ") GROUP BY epoch")
+def q_updates_per_epoch(spark, sf_dir):
+    """``len(train_dataloader) // accumulation`` per epoch."""
+    from tessera.operators.batching import epoch_plan, updates_per_epoch
+    return updates_per_epoch(epoch_plan(_prep(spark, sf_dir).blocks, P), P.grad_accum_steps)
+
+
+@register("eval_batches", with_ctes(
+    f"SELECT split, block_id, block_id // {P.eval_batch_size} AS batch_id, "
+    f"(block_id % {P.eval_batch_size})::INT AS row_in_batch FROM blocks WHERE split IN ('val', 'test')", ["blocks"]))
+def q_eval_batches(spark, sf_dir):
+    """W4 without shuffle; the short last batch is kept (evaluation loader)."""
+    from tessera.operators.batching import eval_batches
+    return eval_batches(_prep(spark, sf_dir).blocks, P.eval_batch_size, ("val", "test"))
+
+
+SUBSET_SIZE = 50000  # size of the sampled position subset (reference constant)
+
+
+@register("sampled_positions", with_ctes(
+    "SELECT d.draw, d.pos, t.token_id FROM (SELECT r.range AS draw, "
+    f"{_md5_sql(repr(str(P.seed)), 'CAST(r.range AS VARCHAR)')} % x.n_total AS pos "
+    f"FROM range({SUBSET_SIZE}) r, totals x WHERE x.split = 'train') d "
+    "JOIN tokens t ON t.split = 'train' AND t.pos = d.pos", ["tokens"]))
+def q_sampled_positions(spark, sf_dir):
+    """50,000 positions of the train stream drawn with replacement, and their ids."""
+    from tessera.operators.batching import sample_positions
+    prep = _prep(spark, sf_dir)
+    return sample_positions(prep.tokens, prep.totals, SUBSET_SIZE, P.seed, "train")
+
+
+# ---------------------------------------------------------------- prompts and rewards
+_PROMPT_EXTRA = {
+    "r": (f"SELECT doc_id, length(text) AS n_chars, "
+          f"({P.prompt_min_len} + {_md5_sql(repr(str(P.gen_seed)), 'CAST(doc_id AS VARCHAR)')} % "
+          f"{P.prompt_max_len - P.prompt_min_len})::INT AS input_size, "
+          "regexp_extract_all(text, " + "'" + __import__('tessera.plans.oracles', fromlist=['x']).RE2_PATTERN.replace("'", "''")
+          + "') AS words FROM docs WHERE split = 'train' AND length(text) > " + str(P.review_min_chars)),
+    "rw": ("SELECT doc_id, n_chars, input_size, unnest(generate_series(0, len(w) - 1)) AS i, unnest(w) AS word "
+           "FROM (SELECT *, words[1:input_size] AS w FROM r)"),
+    "prompts": ("SELECT rw.doc_id, n_chars, input_size, "
+                "array_to_string(list(coalesce(v.token_id, 3) ORDER BY i), ' ') AS input_ids_text, "
+                "string_agg(CASE WHEN v.token_id IS NULL THEN '<unk>' ELSE rw.word END, '' ORDER BY i) AS query "
+                "FROM rw LEFT JOIN vocab v ON v.token = rw.word GROUP BY rw.doc_id, n_chars, input_size"),
+}
+
+
+def _prompts(spark, sf_dir):
+    from tessera.operators.prompts import build_prompts
+    from tessera.sources.corpus import tag_split
+    prep = _prep(spark, sf_dir)
+    docs = tag_split(read_table(spark, sf_dir, "documents")).where(F.col("split") == "train")
+    return build_prompts(docs, prep.vocab, P)
+
+
+@register("review_prompts", with_ctes("SELECT * FROM prompts", ["vocab"], P, extra=_PROMPT_EXTRA))
+def q_review_prompts(spark, sf_dir):
+    """R1 + S3 + P2 + P3 + F6 + O5 + J2: prompt per train review over 200 characters."""
+    p = _prompts(spark, sf_dir)
+    return p.select("doc_id", "n_chars", "input_size", F.array_join("input_ids", " ").alias("input_ids_text"), "query")
+
+
+@register("review_rewards", with_ctes(
+    "SELECT p.doc_id, p.query, l.quality AS score_quality, l.toxic AS score_toxic, "
+    "(l.quality - l.toxic)::DOUBLE AS reward FROM prompts p LEFT JOIN labels l ON l.doc_id = p.doc_id",
+    ["vocab"], P, extra=_PROMPT_EXTRA))
+def q_review_rewards(spark, sf_dir):
+    """J4 + R2: raw label scores and reward attached to every prompt."""
+    from tessera.operators.prompts import attach_rewards
+    r = attach_rewards(_prompts(spark, sf_dir).select("doc_id", "query"), read_table(spark, sf_dir, "labels"))
+    return r.select("doc_id", "query", "score_quality", "score_toxic", "reward")
+
+
+# ---------------------------------------------------------------- vectors
+@register("label_mean_pool",
+          "SELECT label, (d.i - 1)::INT AS dim, round(avg(e.embedding[d.i]::DOUBLE), 6) AS mean "
+          "FROM embeddings e, (SELECT range AS i FROM range(1, 65)) d "
+          "WHERE d.i <= len(e.embedding) GROUP BY label, d.i")
+def q_label_mean_pool(spark, sf_dir):
+    """Element-wise mean vector per label."""
+    from tessera.operators.vectors import mean_pool
+    m = mean_pool(read_table(spark, sf_dir, "embeddings"), "label")
+    return m.select("label", F.col("dim").cast("int").alias("dim"), _r(F.col("mean")).alias("mean"))
+
+
+@register("label_first_vector",
+          "SELECT label, first_id, (i - 1)::INT AS dim, round(v[i]::DOUBLE, 6) AS x FROM "
+          "(SELECT label, min(vec_id) AS first_id, arg_min(embedding, vec_id) AS v FROM embeddings GROUP BY label), "
+          "(SELECT range AS i FROM range(1, 65)) WHERE i <= len(v)")
+def q_label_first_vector(spark, sf_dir):
+    """First-row pooling per label."""
+    from tessera.operators.vectors import first_pool
+    f = first_pool(read_table(spark, sf_dir, "embeddings"), "label", "vec_id")
+    return f.select("label", "first_id", F.col("dim").cast("int").alias("dim"),
+                    _r(F.col("x").cast("double")).alias("x"))
+
+
+@register("clipped_vectors",
+          "WITH g AS (SELECT sqrt(sum(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))) AS n "
+          "FROM embeddings), s AS (SELECT e.vec_id, g.n, least(1.0, 1.0 / (g.n + 1e-6)) AS scale, e.embedding "
+          "FROM embeddings e, g) SELECT vec_id, round(n, 6) AS global_norm, round(scale, 9) AS scale, "
+          "round(sqrt(list_sum(list_transform(embedding, lambda x: (x::DOUBLE * scale) * (x::DOUBLE * scale)))), 6) "
+          "AS clipped_l2 FROM s")
+def q_clipped_vectors(spark, sf_dir):
+    """Global L2 norm over all vectors, clip to max norm 1.0."""
+    from tessera.operators.vectors import clip_global_norm
+    c = clip_global_norm(read_table(spark, sf_dir, "embeddings"), P.max_grad_norm)
+    l2 = F.sqrt(F.aggregate("clipped", F.lit(0.0).cast("double"), lambda a, x: a + x * x))
+    return c.select("vec_id", _r(F.col("global_norm")).alias("global_norm"), _r(F.col("scale"), 9).alias("scale"),
+                    _r(l2).alias("clipped_l2"))
+
+
+@register("logit_cross_entropy",
+          "SELECT vec_id, label, round(ln(list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE - m)))) + m "
+          "- embedding[label + 1]::DOUBLE, 6) AS ce FROM (SELECT *, list_max(embedding)::DOUBLE AS m FROM embeddings)")
+def q_logit_cross_entropy(spark, sf_dir):
+    """cross-entropy of each vector read as logits against its label."""
+    from tessera.operators.vectors import logits_loss
+    r = logits_loss(read_table(spark, sf_dir, "embeddings"))
+    return r.select("vec_id", "label", _r(F.col("ce")).alias("ce"))
+
+
+@register("classifier_head")
+def q_classifier_head(spark, sf_dir):
+    """Multinomial logistic head on the vectors, fit on md5-train rows,
+    accuracy on both parts (iterative fit: rows-only check)."""
+    from tessera.functions.hashing import split_of
+    from tessera.operators.vectors import classifier_accuracy, fit_classifier
+    v = read_table(spark, sf_dir, "embeddings").withColumn("split", split_of(F.col("vec_id")))
+    model = fit_classifier(v.where(F.col("split") == "train"), reg=0.01, max_iter=30)
+    return (classifier_accuracy(model, v.where(F.col("split") == "train")).withColumn("part", F.lit("train"))
+            .unionByName(classifier_accuracy(model, v.where(F.col("split") != "train")).withColumn("part", F.lit("held_out"))))
+
+
+# ---------------------------------------------------------------- checks
+@register("decay_groups",
+          f"SELECT CASE WHEN contains(p_name, 'bias') OR contains(p_name, 'LayerNorm.weight') THEN 0.0 "
+          f"ELSE {P.weight_decay} END::DOUBLE AS weight_decay, count(*)::BIGINT AS n_params, "
+          "sum(p_size)::BIGINT AS numel FROM part GROUP BY 1")
+def q_decay_groups(spark, sf_dir):
+    """P5 + A10: no-decay substring grouping of names, count and total size."""
+    from tessera.operators.checks import decay_groups
+    return decay_groups(read_table(spark, sf_dir, "part"), "p_name", "p_size", P.weight_decay)
+
+
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+@register("priority_domain",
+          "SELECT count(*)::BIGINT AS n_rows, sum(CASE WHEN o_orderpriority IN ("
+          + ", ".join(f"'{p}'" for p in PRIORITIES) + ") THEN 0 ELSE 1 END)::BIGINT AS n_violations FROM orders")
+def q_priority_domain(spark, sf_dir):
+    """Values outside the allowed set."""
+    from tessera.operators.checks import domain_violations
+    return domain_violations(read_table(spark, sf_dir, "orders"), "o_orderpriority", PRIORITIES)
+
+
+@register("token_range", with_ctes(
+    "SELECT split, count(*)::BIGINT AS n, max(token_id)::BIGINT AS max_id, "
+    "sum(CASE WHEN token_id < 0 OR token_id >= 65536 THEN 1 ELSE 0 END)::BIGINT AS n_out_of_range "
+    "FROM tokens GROUP BY split", ["tokens"]))
+def q_token_range(spark, sf_dir):
+    """Ids fit the unsigned 16-bit stream format."""
+    from tessera.operators.checks import u16_report
+    return u16_report(_prep(spark, sf_dir).tokens)
+
+
+# ---------------------------------------------------------------- overflow chunks
+OVERFLOW_LEN = 128  # window length of the overflow-chunking variant
+
+
+@register("overflow_chunks", with_ctes(
+    f"SELECT split, doc_id, line_no, (i // {OVERFLOW_LEN})::INT AS chunk_no, count(*)::INT AS length, "
+    "array_to_string(list(token_id ORDER BY i), ' ') AS ids_text FROM utok "
+    f"GROUP BY split, doc_id, line_no, i // {OVERFLOW_LEN} HAVING count(*) = {OVERFLOW_LEN}",
+    ["vocab"], P, extra={
+        "utw": ("SELECT split, doc_id, line_no, unnest(generate_series(0, len(words) - 1)) AS i, "
+                "unnest(words) AS word FROM lw"),
+        "utok": "SELECT u.*, coalesce(v.token_id, 3) AS token_id FROM utw u LEFT JOIN vocab v ON v.token = u.word",
+    }))
+def q_overflow_chunks(spark, sf_dir):
+    """W6 + P7: every encoded line (no truncation, no eos) cut into windows of
+    128 ids; only full windows are kept."""
+    from tessera.operators.encode import encode_tokens, tokenized_rows
+    from tessera.operators.pack import full_length_only, overflow_chunks
+    prep = _prep(spark, sf_dir)
+    toks = encode_tokens(prep.words, prep.vocab, P, truncate=False, append_eos=False)
+    ch = full_length_only(overflow_chunks(tokenized_rows(toks), "ids", OVERFLOW_LEN,
+                                          ["split", "doc_id", "line_no"]), OVERFLOW_LEN)
+    return ch.select("split", "doc_id", "line_no", F.col("chunk_no").cast("int").alias("chunk_no"),
+                     F.col("length").cast("int").alias("length"), F.array_join("input_ids", " ").alias("ids_text"))
+
+
+# ---------------------------------------------------------------- model selection, top-k
+ALPHAS = (1.0, 0.5, 0.1, 0.05, 0.01)
+
+
+def _grid_sql() -> str:
+    grid = ", ".join(f"({i}, {a})" for i, a in enumerate(ALPHAS))
+    return with_ctes(
+        "SELECT grid_no, alpha, round(loss, 6) AS loss, round(exp(loss), 4) AS perplexity, "
+        "exp(loss) < least(coalesce(min(exp(loss)) OVER (ORDER BY grid_no ROWS BETWEEN UNBOUNDED PRECEDING "
+        f"AND 1 PRECEDING), 'infinity'::DOUBLE), {float(P.n_ids)}) AS improved FROM gsum",
+        ["contexts"], P, extra={
+            "grid": f"SELECT * FROM (VALUES {grid}) g(grid_no, alpha)",
+            "gp": ("SELECT p.block_id, p.prev, p.next, b.c, x.c_total FROM pairs p "
+                   "LEFT JOIN bigrams b ON b.prev = p.prev AND b.next = p.next "
+                   "LEFT JOIN contexts x ON x.prev = p.prev WHERE p.split = 'val'"),
+            "gb": ("SELECT g.grid_no, g.alpha::DOUBLE AS alpha, gp.block_id, avg(-ln((coalesce(gp.c, 0)::DOUBLE + g.alpha) / "
+                   f"(coalesce(gp.c_total, 0)::DOUBLE + g.alpha * {P.n_ids}))) AS loss FROM gp, grid g "
+                   "GROUP BY g.grid_no, g.alpha, gp.block_id"),
+            "gbat": (f"SELECT grid_no, alpha, block_id // {P.eval_batch_size} AS b, avg(loss) AS loss FROM gb "
+                     "GROUP BY 1, 2, 3"),
+            "gsum": "SELECT grid_no, alpha, avg(loss) AS loss FROM gbat GROUP BY 1, 2",
+        })
+
+
+@register("alpha_selection", _grid_sql())
+def q_alpha_selection(spark, sf_dir):
+    """L3 + W5: validation loss/perplexity for each smoothing value of the grid,
+    in grid order, flagged where it strictly beats every earlier value and the
+    untrained (uniform) model."""
+    from tessera.operators.evaluation import running_best
+    from tessera.operators.ngram import score_grid
+    prep = _prep(spark, sf_dir)
+    ev = corpus.evaluate(prep, P)
+    pb = score_grid(prep.blocks.where(F.col("split") == "val"), ev["bigrams"], ev["contexts"], ALPHAS, P)
+    bat = (pb.withColumn("b", F.floor(F.col("block_id") / P.eval_batch_size))
+           .groupBy("grid_no", "alpha", "b").agg(F.avg("loss").alias("loss")))
+    s = bat.groupBy("grid_no", "alpha").agg(F.avg("loss").alias("loss")).withColumn("perplexity", F.exp("loss"))
+    s = s.withColumn("run", F.lit(0)).withColumn("initial", F.lit(float(P.n_ids)))
+    rb = running_best(s, "run", "grid_no", "perplexity", "initial")
+    return rb.select("grid_no", "alpha", _r(F.col("loss")).alias("loss"),
+                     _r(F.col("perplexity"), 4).alias("perplexity"), "improved")
+
+
+@register("next_token_topk", with_ctes(
+    "SELECT prev::BIGINT AS prev, next::BIGINT AS next, rank::INT AS rank, round(p / sum(p) OVER (PARTITION BY prev), 6) AS prob "
+    "FROM (SELECT b.prev, b.next, (b.c::DOUBLE + " + str(float(P.alpha)) + ") / (x.c_total::DOUBLE + "
+    + str(float(P.alpha) * P.n_ids) + ") AS p, row_number() OVER (PARTITION BY b.prev ORDER BY "
+    "(b.c::DOUBLE + " + str(float(P.alpha)) + ") / (x.c_total::DOUBLE + " + str(float(P.alpha) * P.n_ids)
+    + ") DESC, b.next) AS rank FROM bigrams b JOIN contexts x ON x.prev = b.prev) WHERE rank <= " + str(P.top_k),
+    ["contexts"]))
+def q_next_token_topk(spark, sf_dir):
+    """Per context the top-100 next ids, renormalised."""
+    from tessera.operators.ngram import next_token_table
+    ev = corpus.evaluate(_prep(spark, sf_dir), P)
+    t = next_token_table(ev["bigrams"], ev["contexts"], P)
+    return t.select("prev", "next", "rank", _r(F.col("prob")).alias("prob"))

@@ -18,7 +18,8 @@ from tessera.operators.encode import encode_tokens, with_words
 from tessera.operators.evaluation import batch_losses, split_summary
 from tessera.operators.ngram import fit_bigram, score_blocks
 from tessera.operators.pack import line_offsets, pack_blocks
-from tessera.operators.vocab import word_counts, word_vocab
+from tessera.operators.vocab import word_counts_of_words, word_vocab
+from tessera.session import cut_lineage
 from tessera.sources.corpus import document_lines
 
 
@@ -34,11 +35,17 @@ class Prepared:
 
 
 def prepare(documents: DataFrame, params: Params = Params(), vocab: DataFrame | None = None,
-            vocab_split: str = "train") -> Prepared:
+            vocab_split: str = "train", materialize: bool = True) -> Prepared:
+    """``materialize`` writes the pre-tokenized line table once (reliable
+    checkpoint in the shared folder), so the regex runs once and the three
+    readers (word counts, segment totals, offsets window) scan the stored rows."""
     lines = document_lines(documents)
     words = with_words(lines, params)
+    if materialize:
+        words = cut_lineage(words)
+        lines = words.select("split", "doc_id", "line_no", "text")
     if vocab is None:
-        vocab = word_vocab(word_counts(lines.where(F.col("split") == vocab_split)), params)
+        vocab = word_vocab(word_counts_of_words(words.where(F.col("split") == vocab_split)), params)
     offsets, totals = line_offsets(words, params)
     tokens = encode_tokens(offsets, vocab, params, start_col="line_start")
     blocks = pack_blocks(tokens, totals, params)
