@@ -13,3 +13,14 @@ Python value such as a list of accepted merges). Subpackages:
 from tessera.config import Params
 
 __all__ = ["Params"]
+
+# Python helpers used inside pandas UDFs travel by value, so executors need
+# not have this package installed (nothing to ship with --py-files).
+try:  # pragma: no cover - depends on the pyspark build
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cp
+
+    _cp.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001
+    pass

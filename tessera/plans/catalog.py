@@ -424,3 +424,73 @@ def q_next_token_topk(spark, sf_dir):
     ev = corpus.evaluate(_prep(spark, sf_dir), P)
     t = next_token_table(ev["bigrams"], ev["contexts"], P)
     return t.select("prev", "next", "rank", _r(F.col("prob")).alias("prob"))
+
+
+# ---------------------------------------------------------------- byte-level BPE
+BPE_MERGES = 64  # merges learned by the registered BPE queries (vocab_size = 261 + 64)
+_BPE_CACHE: dict = {}
+
+
+def _bpe_model(spark, sf_dir):
+    """T1 on the train split's pre-tokens; the learned model is a small driver
+    object (at most ``vocab_size`` entries), kept per scale within the process."""
+    from tessera.operators.bpe import train_bpe
+    from tessera.operators.vocab import word_counts_of_words
+    key = (sf_dir, BPE_MERGES)
+    if key not in _BPE_CACHE:
+        prep = _prep(spark, sf_dir)
+        wc = word_counts_of_words(prep.words.where(F.col("split") == "train"))
+        _BPE_CACHE[key] = train_bpe(wc, P.with_(vocab_size=261 + BPE_MERGES))
+    return _BPE_CACHE[key]
+
+
+_SYM_SQL = ("5 + CASE WHEN b BETWEEN 33 AND 126 THEN b - 33 WHEN b BETWEEN 161 AND 172 THEN b - 161 + 94 "
+            "WHEN b BETWEEN 174 AND 255 THEN b - 174 + 106 ELSE 188 + CASE WHEN b <= 32 THEN b "
+            "WHEN b <= 160 THEN b - 94 ELSE 67 END END")
+
+
+@register("bpe_pair_counts", with_ctes(
+    "SELECT syms[i] AS left_id, syms[i + 1] AS right_id, sum(n)::BIGINT AS cnt FROM "
+    "(SELECT n, syms, unnest(range(1, len(syms))) AS i FROM sy) GROUP BY 1, 2", ["wc"], P, extra={
+        "bw": "SELECT word, n, hex(encode(word)) AS hx FROM wc",
+        "sy": ("SELECT n, list_transform(list_transform(range(0, strlen(hx) // 2), "
+               "lambda i: ('0x' || substr(hx, i * 2 + 1, 2))::INT), lambda b: " + _SYM_SQL + ") AS syms FROM bw"),
+    }))
+def q_bpe_pair_counts(spark, sf_dir):
+    """F5 + A4: first-round adjacent byte-symbol pair counts, weighted by word counts."""
+    from tessera.operators.bpe import pair_counts, type_table
+    from tessera.operators.vocab import word_counts_of_words
+    wc = word_counts_of_words(_prep(spark, sf_dir).words.where(F.col("split") == "train"))
+    return pair_counts(type_table(wc))
+
+
+@register("bpe_merges")
+def q_bpe_merges(spark, sf_dir):
+    """T1 + O3: learned merges in order (several exact merges per Spark round);
+    checked against the tokenizers package in the tests (rows-only here)."""
+    return _bpe_model(spark, sf_dir).merge_table(spark)
+
+
+@register("bpe_encode")
+def q_bpe_encode(spark, sf_dir):
+    """Every line encoded with the learned merges, truncated, eos appended."""
+    from tessera.operators.bpe import encode_lines
+    prep = _prep(spark, sf_dir)
+    enc = encode_lines(prep.words, _bpe_model(spark, sf_dir), P.with_(vocab_size=261 + BPE_MERGES))
+    return enc.select("split", "doc_id", "line_no", F.array_join("ids", " ").alias("ids_text"), "len")
+
+
+@register("bpe_roundtrip", with_ctes(
+    "SELECT split, count(*)::BIGINT AS n_lines, count(*)::BIGINT AS n_equal FROM lines GROUP BY split", ["lines"]))
+def q_bpe_roundtrip(spark, sf_dir):
+    """J2 for BPE: decode(encode(line)) equals the line for every line (no
+    truncation, no eos)."""
+    from tessera.operators.bpe import decode_ids, encode_lines
+    prep = _prep(spark, sf_dir)
+    model = _bpe_model(spark, sf_dir)
+    enc = encode_lines(prep.words, model, P.with_(vocab_size=261 + BPE_MERGES), append_eos=False, truncate=False)
+    keys = ["split", "doc_id", "line_no"]
+    dec = decode_ids(enc, model, "ids", keys)
+    j = dec.join(prep.lines.select(*keys, F.col("text").alias("orig")), keys)
+    return j.groupBy("split").agg(F.count(F.lit(1)).cast("bigint").alias("n_lines"),
+                                  F.sum((F.col("text") == F.col("orig")).cast("int")).cast("bigint").alias("n_equal"))
