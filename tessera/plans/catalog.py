@@ -494,3 +494,35 @@ def q_bpe_roundtrip(spark, sf_dir):
     j = dec.join(prep.lines.select(*keys, F.col("text").alias("orig")), keys)
     return j.groupBy("split").agg(F.count(F.lit(1)).cast("bigint").alias("n_lines"),
                                   F.sum((F.col("text") == F.col("orig")).cast("int")).cast("bigint").alias("n_equal"))
+
+
+# ---------------------------------------------------------------- generation
+@register("generate_samples")
+def q_generate_samples(spark, sf_dir):
+    """L4 + F9 + J2: ten top-100 samples per user turn of ``conversations``
+    (min length 30, max length 128 counting the prompt, seed 42), decoded with
+    special ids skipped. Iterative per sample: rows-only check."""
+    from tessera.operators.encode import decode, encode_tokens, tokenized_rows, with_words
+    from tessera.operators.generate import generate
+    prep = _prep(spark, sf_dir)
+    ev = corpus.evaluate(prep, P)
+    conv = read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    conv = conv.select(F.concat_ws(":", "conv_id", "turn").alias("key"), "text")
+    toks = encode_tokens(with_words(conv, P), prep.vocab, P, keys=("key",), truncate=False, append_eos=False)
+    prompts = tokenized_rows(toks, keys=("key",)).select("key", F.col("ids").alias("prompt_ids"))
+    out = generate(prompts, ev["bigrams"], ev["contexts"], P, key="key", ids_col="prompt_ids")
+    dec = decode(out, prep.vocab, "ids", ["key", "sample_no"], P, skip_special=True)
+    return (out.join(dec, ["key", "sample_no"])
+            .select("key", "sample_no", "prompt_len", "len", F.size("attention_mask").alias("mask_len"), "text"))
+
+
+# ---------------------------------------------------------------- streaming
+@register("stream_tokenized_lines", ORACLES["tokenized_lines"])
+def q_stream_tokenized_lines(spark, sf_dir):
+    """The line encoder run as a Structured Streaming query over the
+    ``documents`` files (foreachBatch, idempotent per batch); same result as
+    ``tokenized_lines``."""
+    from tessera.streaming.prepare import encode_documents_stream
+    vocab = _prep(spark, sf_dir).vocab
+    rows = encode_documents_stream(spark, sf_dir, "documents.parquet", vocab, P)
+    return rows.select("split", "doc_id", "line_no", F.array_join("ids", " ").alias("ids_text"), "len")
