@@ -51,7 +51,7 @@ def tokenized_rows(tokens: DataFrame, keys=("split", "doc_id", "line_no")) -> Da
     """P1 + F2: ``(*keys, ids, len)``: the ids of each line in order. Shuffles
     token rows by line key; a line is one input row, so no group exceeds one."""
     g = tokens.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "token_id"))).alias("_s"))
-    ids = F.transform("_s", lambda x: x["token_id"])
+    ids = F.col("_s.token_id")
     return g.select(*keys, ids.alias("ids"), F.size(ids).cast("int").alias("len"))
 
 
@@ -74,7 +74,7 @@ def decode(rows: DataFrame, vocab: DataFrame, ids_col: str, keys, params: Params
     j = ex.join(v, "token_id", "left")
     tok = F.coalesce(F.col("token"), F.lit(""))
     g = j.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("i"), tok.alias("t")))).alias("_s"))
-    dec = g.select(*keys, F.array_join(F.transform("_s", lambda x: x["t"]), "").alias(out_col))
+    dec = g.select(*keys, F.array_join(F.col("_s.t"), "").alias(out_col))
     # rows with nothing left to decode still appear, with ""
     base = rows.select(*keys)
     return base.join(dec, list(keys), "left").select(*keys, F.coalesce(F.col(out_col), F.lit("")).alias(out_col))

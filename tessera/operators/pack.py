@@ -23,15 +23,16 @@ def exclusive_prefix_sum(df: DataFrame, value: str, part_cols, order_cols, seg_c
     earlier rows of the same ``part_cols`` in ``(seg_col, *order_cols)`` order and
     ``totals`` = ``(*part_cols, n_total)``."""
     part_cols, order_cols = list(part_cols), list(order_cols)
-    w = Window.partitionBy(*part_cols, seg_col).orderBy(*order_cols)
-    x = (df.withColumn("_run", F.coalesce(F.sum(value).over(w.rowsBetween(UNB, -1)), F.lit(0)))
-         .withColumn("_segtot", F.sum(value).over(w.rowsBetween(UNB, UNF))))
-    segs = x.groupBy(*part_cols, seg_col).agg(F.max("_segtot").alias("_segtot"))
+    # segment totals: a partial/final hash aggregate, one row per segment
+    segs = df.groupBy(*part_cols, seg_col).agg(F.sum(value).alias("_segtot"))
     ws = Window.partitionBy(*part_cols).orderBy(seg_col).rowsBetween(UNB, -1)
     segs = segs.withColumn("_segstart", F.coalesce(F.sum("_segtot").over(ws), F.lit(0)))
+    # in-segment running sum: one window per segment (never a whole split)
+    w = Window.partitionBy(*part_cols, seg_col).orderBy(*order_cols).rowsBetween(UNB, -1)
+    x = df.withColumn("_run", F.coalesce(F.sum(value).over(w), F.lit(0)))
     res = (x.join(segs.select(*part_cols, seg_col, "_segstart"), [*part_cols, seg_col])
            .withColumn(out, (F.col("_segstart") + F.col("_run")).cast("bigint"))
-           .drop("_run", "_segtot", "_segstart"))
+           .drop("_run", "_segstart"))
     totals = segs.groupBy(*part_cols).agg(F.sum("_segtot").cast("bigint").alias("n_total"))
     return res, totals
 
@@ -68,7 +69,33 @@ def pack_blocks(tokens: DataFrame, totals: DataFrame, params: Params = Params())
          .join(F.broadcast(totals), "split")
          .where(keep_block(F.col("block_id"), F.col("n_total"), B, params.drop_rule)))
     g = t.groupBy("split", "block_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("_s"))
-    return g.select("split", "block_id", F.transform("_s", lambda x: x["token_id"].cast("bigint")).alias("tokens"))
+    return g.select("split", "block_id", F.col("_s.token_id").cast("array<bigint>").alias("tokens"))
+
+
+def pack_line_blocks(line_ids: DataFrame, totals: DataFrame, params: Params = Params(),
+                     start_col: str = "line_start", ids_col: str = "ids") -> DataFrame:
+    """W2 + P4 from per-line id arrays that carry their stream offset. Each line
+    is cut into the pieces that fall into each block it touches (array slices,
+    no per-token rows); only the pieces cross the shuffle, partially
+    aggregated, and a block gathers at most ``block_size`` ids from at most
+    ``block_size`` pieces. Same result as :func:`pack_blocks`."""
+    B = params.block_size
+    start, n = F.col(start_col), F.size(ids_col)
+    first = F.floor(start / B)
+    last = F.floor((start + n - 1) / B)
+    x = (line_ids.where(n > 0)
+         .select("split", start.alias("_start"), F.col(ids_col).alias("_ids"),
+                 F.explode(F.sequence(first, last)).alias("block_id"))
+         .join(F.broadcast(totals), "split")
+         .where(keep_block(F.col("block_id"), F.col("n_total"), B, params.drop_rule)))
+    lo = F.greatest(F.col("block_id") * B - F.col("_start"), F.lit(0))
+    hi = F.least((F.col("block_id") + 1) * B - F.col("_start"), F.size("_ids"))
+    pieces = x.select("split", F.col("block_id").cast("bigint").alias("block_id"),
+                      (F.col("_start") + lo).alias("piece_start"),
+                      F.slice("_ids", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("piece"))
+    g = pieces.groupBy("split", "block_id").agg(
+        F.array_sort(F.collect_list(F.struct("piece_start", "piece"))).alias("_s"))
+    return g.select("split", "block_id", F.flatten(F.col("_s.piece")).cast("array<bigint>").alias("tokens"))
 
 
 def shift_pairs(blocks: DataFrame, keys=("split", "block_id"), col: str = "tokens") -> DataFrame:
@@ -77,7 +104,7 @@ def shift_pairs(blocks: DataFrame, keys=("split", "block_id"), col: str = "token
     n = F.size(col)
     a = F.slice(col, F.lit(1), n - 1)
     b = F.slice(col, F.lit(2), n - 1)
-    z = F.zip_with(a, b, lambda p, q: F.struct(p.alias("prev"), q.alias("next")))
+    z = F.arrays_zip(a.alias("prev"), b.alias("next"))  # codegen'd, unlike a lambda
     return (blocks.select(*keys, F.posexplode(F.when(n >= 2, z).otherwise(F.array())).alias("t", "pr"))
             .select(*keys, "t", F.col("pr.prev").alias("prev"), F.col("pr.next").alias("next")))
 

@@ -36,8 +36,8 @@ def build_prompts(docs: DataFrame, vocab: DataFrame, params: Params = Params(),
     g = j.groupBy(key, "n_chars", "input_size").agg(
         F.array_sort(F.collect_list(F.struct("i", vid.alias("id"), tok.alias("t")))).alias("_s"))
     return g.select(key, "n_chars", "input_size",
-                    F.transform("_s", lambda x: x["id"]).alias("input_ids"),
-                    F.array_join(F.transform("_s", lambda x: x["t"]), "").alias("query"))
+                    F.col("_s.id").alias("input_ids"),
+                    F.array_join(F.col("_s.t"), "").alias("query"))
 
 
 def attach_rewards(responses: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -74,8 +74,7 @@ def q_vocab_size(spark, sf_dir):
     "count(*)::INT AS len FROM tokens GROUP BY split, doc_id, line_no", ["tokens"]))
 def q_tokenized_lines(spark, sf_dir):
     """J1 + O5 + F3 + F2 + P1: ids per line (truncated, eos appended), text dropped."""
-    from tessera.operators.encode import tokenized_rows
-    rows = tokenized_rows(_prep(spark, sf_dir).tokens)
+    rows = _prep(spark, sf_dir).line_ids
     return rows.select("split", "doc_id", "line_no", F.array_join("ids", " ").alias("ids_text"), "len")
 
 

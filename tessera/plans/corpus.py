@@ -14,15 +14,25 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.config import Params
-from tessera.operators.encode import encode_tokens, with_words
+from tessera.operators.encode import encode_tokens, tokenized_rows, with_words
 from tessera.operators.evaluation import batch_losses, split_summary
 from tessera.operators.ngram import fit_bigram, score_blocks
-from tessera.operators.pack import line_offsets, pack_blocks
+from tessera.operators.pack import line_offsets, pack_line_blocks
 from tessera.operators.vocab import word_counts_of_words, word_vocab
 from tessera.session import cut_lineage
 from tessera.sources.corpus import document_lines
 
 
+def widen_if_narrow(df: DataFrame) -> DataFrame:
+    """Spread rows over at least the cluster's parallelism before the CPU-heavy
+    regex. A large corpus scans into many more tasks than cores and is left
+    alone (no shuffle); a few large row groups would otherwise leave cores idle."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(2 * par)
+    return df
+
+
 @dataclass
 class Prepared:
     lines: DataFrame      # split, doc_id, line_no, text
@@ -32,6 +42,7 @@ class Prepared:
     totals: DataFrame     # split, n_total
     tokens: DataFrame     # split, doc_id, line_no, i, token_id, pos
     blocks: DataFrame     # split, block_id, tokens
+    line_ids: DataFrame   # split, doc_id, line_no, line_start, ids, len
 
 
 def prepare(documents: DataFrame, params: Params = Params(), vocab: DataFrame | None = None,
@@ -40,16 +51,26 @@ def prepare(documents: DataFrame, params: Params = Params(), vocab: DataFrame |
     checkpoint in the shared folder), so the regex runs once and the three
     readers (word counts, segment totals, offsets window) scan the stored rows."""
     lines = document_lines(documents)
+    lines = widen_if_narrow(lines)
     words = with_words(lines, params)
     if materialize:
-        words = cut_lineage(words)
-        lines = words.select("split", "doc_id", "line_no", "text")
+        # the stored table keeps keys, words and len; the text is re-derived
+        # from the (pruned, narrow) document scan where a consumer needs it
+        words = cut_lineage(words.drop("text"))
     if vocab is None:
         vocab = word_vocab(word_counts_of_words(words.where(F.col("split") == vocab_split)), params)
     offsets, totals = line_offsets(words, params)
-    tokens = encode_tokens(offsets, vocab, params, start_col="line_start")
-    blocks = pack_blocks(tokens, totals, params)
-    return Prepared(lines, words, vocab, offsets, totals, tokens, blocks)
+    # the offsets window leaves rows hash-partitioned by (split, _seg); keeping
+    # _seg among the keys lets the per-line regroup run without a shuffle
+    keys = ("split", "_seg", "doc_id", "line_no", "line_start")
+    line_ids = tokenized_rows(encode_tokens(offsets, vocab, params, keys=keys), keys=keys)
+    blocks = pack_line_blocks(line_ids, totals, params)
+    tokens = line_ids.select("split", "doc_id", "line_no", "line_start",
+                             F.posexplode("ids").alias("i", "token_id"))
+    tokens = tokens.select("split", "doc_id", "line_no", F.col("i").cast("int").alias("i"), "token_id",
+                           (F.col("line_start") + F.col("i")).cast("bigint").alias("pos"))
+    line_ids = line_ids.drop("_seg")
+    return Prepared(lines, words, vocab, offsets, totals, tokens, blocks, line_ids)
 
 
 def evaluate(prep: Prepared, params: Params = Params(), train_split: str = "train",

@@ -31,7 +31,7 @@ def token_shards(tokens: DataFrame, shard_tokens: int = 1 << 20) -> DataFrame:
     t = (tokens.select("split", "pos", narrow_u16("token_id").alias("token_id"))
          .withColumn("shard", F.floor(F.col("pos") / shard_tokens)))
     g = t.groupBy("split", "shard").agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("_s"))
-    ids = F.transform("_s", lambda x: x["token_id"])
+    ids = F.col("_s.token_id")
     return g.select("split", (F.col("shard") * shard_tokens).cast("bigint").alias("start"),
                     F.size(ids).alias("n"), u16_payload(ids).alias("payload"))
 
@@ -81,4 +81,4 @@ def blocks_from_stream(stream: DataFrame, block_size: int, n_total: int, drop_ru
     t = stream.withColumn("block_id", F.floor(F.col("pos") / block_size).cast("bigint"))
     t = t.where(keep_block(F.col("block_id"), F.lit(n_total), block_size, drop_rule))
     g = t.groupBy("split", "block_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("_s"))
-    return g.select("split", "block_id", F.transform("_s", lambda x: x["token_id"].cast("bigint")).alias("tokens"))
+    return g.select("split", "block_id", F.col("_s.token_id").cast("array<bigint>").alias("tokens"))
