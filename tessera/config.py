@@ -43,8 +43,6 @@ class Params:
     prompt_min_len: int = 2
     prompt_max_len: int = 8  # exclusive upper end
     review_min_chars: int = 200  # strict ">"
-    # rows of the order key per segment in two-level prefix sums
-    segment_docs: int = 256
     # "reference": starts 0, B, 2B, ... strictly below N - B;  "full": every full block
     drop_rule: str = "reference"
     special_tokens: tuple = field(default=SPECIAL_TOKENS)

@@ -51,10 +51,8 @@ def epoch_plan(blocks: DataFrame, params: Params = Params(), epochs: int | None
     an optimizer update happens every ``grad_accum_steps`` steps (P6) and a log
     line every ``log_every`` steps."""
     E = params.epochs if epochs is None else epochs
-    spark = blocks.sparkSession
-    ep = spark.range(E).select(F.col("id").cast("int").alias("epoch"))  # E rows: bounded broadcast
     b = blocks.where(F.col("split") == split).select("block_id")
-    x = (b.crossJoin(F.broadcast(ep))
+    x = (b.select("block_id", F.explode(F.sequence(F.lit(0), F.lit(E - 1))).alias("epoch"))
          .withColumn("h", shuffle_key(params.seed, F.col("epoch"), F.col("block_id")))
          .withColumn("_seg", F.shiftright("h", SHUFFLE_DIGITS * 4 - SEGMENT_BITS)))
     numbered, totals = number_rows(x, ["epoch"], ["h", "block_id"], "_seg")
@@ -87,9 +85,8 @@ def sample_positions(tokens: DataFrame, totals: DataFrame, subset_size: int, see
     i) mod N``, and the token at each. The sample has ``subset_size`` rows, the
     bound that licenses its broadcast; the token table is not shuffled."""
     spark = tokens.sparkSession
-    n = totals.where(F.col("split") == split).select("n_total")
-    draws = (spark.range(subset_size).crossJoin(F.broadcast(n))
-             .select(F.col("id").alias("draw"),
-                     (md5_int(F.lit(seed), F.col("id")) % F.col("n_total")).alias("pos")))
+    draws = (spark.range(subset_size).select(F.col("id").alias("draw"), F.lit(split).alias("split"))
+             .join(F.broadcast(totals), "split")  # one row per split
+             .select("draw", (md5_int(F.lit(seed), F.col("draw")) % F.col("n_total")).alias("pos")))
     t = tokens.where(F.col("split") == split).select("pos", "token_id")
     return t.join(F.broadcast(draws), "pos").select("draw", "pos", "token_id")

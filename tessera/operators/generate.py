@@ -78,8 +78,8 @@ def generate(prompts: DataFrame, bigrams: DataFrame, contexts: DataFrame, params
     spark = prompts.sparkSession
     bc = spark.sparkContext.broadcast(topk_arrays(bigrams, contexts, params))
     eos, lo, hi, seed = params.eos_id, params.gen_min_length, params.gen_max_length, params.gen_seed
-    rows = prompts.select(F.col(key).cast("string").alias("key"), F.col(ids_col).alias("prompt_ids")) \
-        .crossJoin(spark.range(ns).select(F.col("id").cast("int").alias("sample_no")))
+    rows = prompts.select(F.col(key).cast("string").alias("key"), F.col(ids_col).alias("prompt_ids"),
+                          F.explode(F.sequence(F.lit(0), F.lit(ns - 1))).alias("sample_no"))
 
     def run(it):
         table = bc.value

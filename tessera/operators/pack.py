@@ -1,17 +1,19 @@
 """Offsets, fixed-size blocks, shifted pairs, overflow chunks.
 
 W1 (running start offset in order-key order) is a two-level prefix sum: rows
-are cut into segments that are contiguous ranges of the order key (``doc_id
-div segment_docs``); one window per segment gives the in-segment offset and the
-segment total in the same operator; the segment totals (one row per segment)
-get their own small window. No window ever runs over a whole split in one task,
-and a segment holds at most ``segment_docs`` documents."""
+are cut into segments that are contiguous ranges of the order key; a
+partial/final aggregate gives the segment totals (one row per segment), a small
+window over them the segment starts, and one window per segment the
+in-segment offsets. No window ever runs over a whole split in one task; for
+lines the segments are sampled key ranges, so none holds more than its share
+of rows whatever the document sizes."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tessera.config import Params
+from tessera.session import cut_lineage
 
 UNB = Window.unboundedPreceding
 UNF = Window.unboundedFollowing
@@ -37,12 +39,31 @@ def exclusive_prefix_sum(df: DataFrame, value: str, part_cols, order_cols, seg_c
     return res, totals
 
 
-def line_offsets(lines: DataFrame, params: Params = Params()) -> tuple[DataFrame, DataFrame]:
-    """W1 on lines with a ``len`` column: ``line_start`` per line, and the split
-    totals ``(split, n_total)``."""
-    seg = (F.col("doc_id") / params.segment_docs).cast("bigint")
-    return exclusive_prefix_sum(lines.withColumn("_seg", seg), "len", ["split"], ["doc_id", "line_no"],
-                                "_seg", out="line_start")
+def line_offsets(lines: DataFrame, params: Params = Params(),
+                 ranges: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """W1 on lines with a ``len`` column: ``line_start`` per line and the split
+    totals ``(split, n_total)``.
+
+    Segments come from range partitioning the narrow ``(split, doc_id,
+    line_no, len)`` table: Spark samples the order key and cuts it into
+    ``ranges`` contiguous, evenly filled ranges, splitting even a document that
+    holds a third of all lines. The range id is pinned by a reliable checkpoint
+    of the narrow table (a few bytes per line), then the two-level prefix sum
+    runs per range. The offsets join back to the wide line rows on their unique
+    line key (no hot key)."""
+    spark = lines.sparkSession
+    n = ranges or max(spark.sparkContext.defaultParallelism, lines.rdd.getNumPartitions())
+    narrow = (lines.select("split", "doc_id", "line_no", "len")
+              .repartitionByRange(n, "split", "doc_id", "line_no")
+              .withColumn("_seg", F.spark_partition_id()))
+    narrow = cut_lineage(narrow)
+    offs, totals = exclusive_prefix_sum(narrow, "len", ["split"], ["doc_id", "line_no"], "_seg",
+                                        out="line_start")
+    # a shuffle (merge) join on purpose: it leaves the wide rows clustered by
+    # line, so per-line work downstream needs no further shuffle
+    res = lines.join(offs.select("split", "doc_id", "line_no", "line_start").hint("merge"),
+                     ["split", "doc_id", "line_no"])
+    return res, totals
 
 
 def keep_block(block_id, n_total, block_size: int, drop_rule: str = "reference"):

@@ -24,12 +24,13 @@ def first_pool(vectors: DataFrame, group_col: str, order_col: str, vec_col: str
 
 def clip_global_norm(vectors: DataFrame, max_norm: float = 1.0, vec_col: str = "embedding",
                      eps: float = 1e-6) -> DataFrame:
-    """One global L2 norm over all elements (a one-row aggregate, broadcast)
-    and every vector scaled by ``min(1, max_norm / (norm + eps))``."""
+    """One global L2 norm over all elements (a partial/final aggregate to
+    one number on the driver) and every vector scaled by
+    ``min(1, max_norm / (norm + eps))``."""
     sq = F.aggregate(vec_col, F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double") * x.cast("double"))
-    norm = vectors.agg(F.sqrt(F.sum(sq)).alias("global_norm"))
-    scale = F.least(F.lit(1.0), F.lit(max_norm) / (F.col("global_norm") + eps))
-    return (vectors.crossJoin(F.broadcast(norm)).withColumn("scale", scale)
+    norm = vectors.agg(F.sqrt(F.sum(sq))).first()[0] or 0.0
+    scale = min(1.0, max_norm / (norm + eps))
+    return (vectors.withColumn("global_norm", F.lit(float(norm))).withColumn("scale", F.lit(float(scale)))
             .withColumn("clipped", F.transform(vec_col, lambda x: x.cast("double") * F.col("scale"))))
 
 

@@ -521,7 +521,7 @@ def q_stream_tokenized_lines(spark, sf_dir):
     """The line encoder run as a Structured Streaming query over the
     ``documents`` files (foreachBatch, idempotent per batch); same result as
     ``tokenized_lines``."""
-    from tessera.streaming.prepare import encode_documents_stream
+    from tessera.streaming.encode_stream import encode_documents_stream
     vocab = _prep(spark, sf_dir).vocab
     rows = encode_documents_stream(spark, sf_dir, "documents.parquet", vocab, P)
     return rows.select("split", "doc_id", "line_no", F.array_join("ids", " ").alias("ids_text"), "len")

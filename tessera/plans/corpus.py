@@ -2,8 +2,9 @@
 -> offsets -> blocks -> bigram fit -> evaluation summary.
 
 Shuffles, in order: word counts (partial/final hash aggregate on ``word``);
-the vocabulary top-k; the segment window of W1 (line rows, keyed by
-``(split, doc_id div segment_docs)``); the block ``collect_list`` (partially
+the vocabulary top-k; for W1 the range partitioning and per-range window of
+the narrow line table, then the join of offsets back to the line rows on the
+unique line key; the block ``collect_list`` of line pieces (partially
 aggregated); bigram counts; the scoring join. The vocabulary, the split totals
 and the context table are broadcast, each bounded by construction."""
 
@@ -60,16 +61,15 @@ def prepare(documents: DataFrame, params: Params = Params(), vocab: DataFrame |
     if vocab is None:
         vocab = word_vocab(word_counts_of_words(words.where(F.col("split") == vocab_split)), params)
     offsets, totals = line_offsets(words, params)
-    # the offsets window leaves rows hash-partitioned by (split, _seg); keeping
-    # _seg among the keys lets the per-line regroup run without a shuffle
-    keys = ("split", "_seg", "doc_id", "line_no", "line_start")
+    # the offsets join leaves the rows hash-partitioned by the line key, so the
+    # per-line regroup below (keys include it) runs without another shuffle
+    keys = ("split", "doc_id", "line_no", "line_start")
     line_ids = tokenized_rows(encode_tokens(offsets, vocab, params, keys=keys), keys=keys)
     blocks = pack_line_blocks(line_ids, totals, params)
     tokens = line_ids.select("split", "doc_id", "line_no", "line_start",
                              F.posexplode("ids").alias("i", "token_id"))
     tokens = tokens.select("split", "doc_id", "line_no", F.col("i").cast("int").alias("i"), "token_id",
                            (F.col("line_start") + F.col("i")).cast("bigint").alias("pos"))
-    line_ids = line_ids.drop("_seg")
     return Prepared(lines, words, vocab, offsets, totals, tokens, blocks, line_ids)
 
 
