@@ -60,13 +60,13 @@ def topk_arrays(bigrams: DataFrame, contexts: DataFrame, params: Params = Params
     check that it respects its bound of ``n_ids * top_k`` entries."""
     t = next_token_table(bigrams, contexts, params)
     g = t.groupBy("prev").agg(F.array_sort(F.collect_list(F.struct("rank", "next", "prob"))).alias("s"))
-    n = t.count()
-    if n > params.n_ids * params.top_k:
-        raise ValueError(f"top-k table has {n} rows, above its bound")
-    out = {}
+    g = g.select("prev", F.col("s.next").alias("nx"), F.col("s.prob").alias("pr"))
+    out, n = {}, 0
     for r in g.toLocalIterator():
-        out[int(r.prev)] = (np.array([x.next for x in r.s], dtype=np.int64),
-                            np.array([x.prob for x in r.s], dtype=np.float64))
+        if len(r.nx) > params.top_k or len(out) >= params.n_ids:
+            raise ValueError("top-k table exceeds its bound of n_ids * top_k entries")
+        out[int(r.prev)] = (np.array(r.nx, dtype=np.int64), np.array(r.pr, dtype=np.float64))
+        n += len(r.nx)
     return out
 
 

@@ -525,3 +525,26 @@ def q_stream_tokenized_lines(spark, sf_dir):
     vocab = _prep(spark, sf_dir).vocab
     rows = encode_documents_stream(spark, sf_dir, "documents.parquet", vocab, P)
     return rows.select("split", "doc_id", "line_no", F.array_join("ids", " ").alias("ids_text"), "len")
+
+
+# ---------------------------------------------------------------- key-token weighting
+KEY_TOKENS = (P.eos_id,)  # key ids of the weighted loss variant (eos marks line ends)
+
+
+@register("keytoken_weighted_loss", with_ctes(
+    "SELECT pb.split, round(avg(pb.loss * " + str(float(P.alpha)) + " * (1 + kb.n_key)), 6) AS weighted_loss, "
+    "round(avg(pb.loss), 6) AS plain_loss FROM per_block pb JOIN "
+    "(SELECT split, block_id, sum(CASE WHEN token_id IN (" + ", ".join(str(k) for k in KEY_TOKENS) + ") THEN 1 ELSE 0 END) "
+    "AS n_key FROM btok GROUP BY split, block_id) kb ON kb.split = pb.split AND kb.block_id = pb.block_id "
+    "GROUP BY pb.split", ["per_block"]))
+def q_keytoken_weighted_loss(spark, sf_dir):
+    """Per evaluation split, the mean of per-block loss weighted by
+    ``alpha * (1 + key tokens in the block)`` beside the plain mean (the
+    unweighted form is the live behaviour)."""
+    from tessera.operators.evaluation import keytoken_weights
+    prep = _prep(spark, sf_dir)
+    pb = corpus.evaluate(prep, P)["per_block"]
+    w = prep.blocks.select("split", "block_id", keytoken_weights("tokens", KEY_TOKENS, P.alpha).alias("w"))
+    j = pb.join(w, ["split", "block_id"])
+    return j.groupBy("split").agg(_r(F.avg(F.col("loss") * F.col("w"))).alias("weighted_loss"),
+                                  _r(F.avg("loss")).alias("plain_loss"))

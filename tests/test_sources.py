@@ -67,3 +67,16 @@ def test_generation_invariants(spark):
             assert ids == [9]  # unseen context: nothing to draw
         elif len(ids) < P.gen_max_length:
             assert ids[-1] == P.eos_id
+
+
+def test_select_alpha_logs_and_keeps_best(spark, docs):
+    from tessera.plans import corpus
+    from tessera.plans.selection import select_alpha
+    d = tempfile.mkdtemp(prefix="tessera-sel-")
+    prep = corpus.prepare(docs, Params())
+    best = select_alpha(prep.blocks, [1.0, 0.1, 0.5], d)
+    m = spark.read.parquet(f"{d}/metrics").orderBy("epoch").collect()
+    assert [r.alpha for r in m] == [1.0, 0.1, 0.5]
+    assert best == min(r.perplexity for r in m)
+    kept = spark.read.parquet(f"{d}/best/bigrams").select("alpha").distinct().first().alpha
+    assert kept == [r.alpha for r in m if r.perplexity == best][0]
