@@ -10,7 +10,7 @@ and the context table are broadcast, each bounded by construction."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -34,23 +34,53 @@ def widen_if_narrow(df: DataFrame) -> DataFrame:
     return df
 
 
-@dataclass
 class Prepared:
-    lines: DataFrame      # split, doc_id, line_no, text
-    words: DataFrame      # + words, len
-    vocab: DataFrame      # token_id, token
-    offsets: DataFrame    # + line_start
-    totals: DataFrame     # split, n_total
-    tokens: DataFrame     # split, doc_id, line_no, i, token_id, pos
-    blocks: DataFrame     # split, block_id, tokens
-    line_ids: DataFrame   # split, doc_id, line_no, line_start, ids, len
+    """The corpus job graph. ``lines``, ``words`` and ``vocab`` exist at once;
+    offsets, totals, line ids, token rows and blocks are built on first use, so
+    a query that needs only the vocabulary never runs the offsets stages."""
+
+    def __init__(self, lines: DataFrame, words: DataFrame, vocab: DataFrame, params: Params):
+        self.lines = lines        # split, doc_id, line_no, text
+        self.words = words        # split, doc_id, line_no, words, len
+        self.vocab = vocab        # token_id, token
+        self.params = params
+
+    @cached_property
+    def _offsets(self):
+        return line_offsets(self.words, self.params)
+
+    @property
+    def offsets(self) -> DataFrame:   # + line_start
+        return self._offsets[0]
+
+    @property
+    def totals(self) -> DataFrame:    # split, n_total
+        return self._offsets[1]
+
+    @cached_property
+    def line_ids(self) -> DataFrame:  # split, doc_id, line_no, line_start, ids, len
+        # the offsets join leaves the rows hash-partitioned by the line key, so the
+        # per-line regroup below (keys include it) runs without another shuffle
+        keys = ("split", "doc_id", "line_no", "line_start")
+        return tokenized_rows(encode_tokens(self.offsets, self.vocab, self.params, keys=keys), keys=keys)
+
+    @cached_property
+    def blocks(self) -> DataFrame:    # split, block_id, tokens
+        return pack_line_blocks(self.line_ids, self.totals, self.params)
+
+    @cached_property
+    def tokens(self) -> DataFrame:    # split, doc_id, line_no, i, token_id, pos
+        t = self.line_ids.select("split", "doc_id", "line_no", "line_start",
+                                 F.posexplode("ids").alias("i", "token_id"))
+        return t.select("split", "doc_id", "line_no", F.col("i").cast("int").alias("i"), "token_id",
+                        (F.col("line_start") + F.col("i")).cast("bigint").alias("pos"))
 
 
 def prepare(documents: DataFrame, params: Params = Params(), vocab: DataFrame | None = None,
             vocab_split: str = "train", materialize: bool = True) -> Prepared:
     """``materialize`` writes the pre-tokenized line table once (reliable
-    checkpoint in the shared folder), so the regex runs once and the three
-    readers (word counts, segment totals, offsets window) scan the stored rows."""
+    checkpoint in the shared folder), so the regex runs once and every reader
+    (word counts, offsets, encoding) scans the stored rows."""
     lines = document_lines(documents)
     lines = widen_if_narrow(lines)
     words = with_words(lines, params)
@@ -60,17 +90,7 @@ def prepare(documents: DataFrame, params: Params = Params(), vocab: DataFrame |
         words = cut_lineage(words.drop("text"))
     if vocab is None:
         vocab = word_vocab(word_counts_of_words(words.where(F.col("split") == vocab_split)), params)
-    offsets, totals = line_offsets(words, params)
-    # the offsets join leaves the rows hash-partitioned by the line key, so the
-    # per-line regroup below (keys include it) runs without another shuffle
-    keys = ("split", "doc_id", "line_no", "line_start")
-    line_ids = tokenized_rows(encode_tokens(offsets, vocab, params, keys=keys), keys=keys)
-    blocks = pack_line_blocks(line_ids, totals, params)
-    tokens = line_ids.select("split", "doc_id", "line_no", "line_start",
-                             F.posexplode("ids").alias("i", "token_id"))
-    tokens = tokens.select("split", "doc_id", "line_no", F.col("i").cast("int").alias("i"), "token_id",
-                           (F.col("line_start") + F.col("i")).cast("bigint").alias("pos"))
-    return Prepared(lines, words, vocab, offsets, totals, tokens, blocks, line_ids)
+    return Prepared(lines, words, vocab, params)
 
 
 def evaluate(prep: Prepared, params: Params = Params(), train_split: str = "train",
