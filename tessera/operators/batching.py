@@ -14,7 +14,7 @@ from tessera.functions.hashing import md5_int
 from tessera.operators.pack import exclusive_prefix_sum
 
 SHUFFLE_DIGITS = 7          # 28-bit md5 prefix as the shuffle key
-SEGMENT_BITS = 8            # top 8 bits of the key pick one of 256 segments
+SEGMENT_BITS = 12           # top 12 bits of the key pick one of 4096 segments
 
 
 def shuffle_key(seed: int, epoch, key) -> "F.Column":

@@ -65,3 +65,17 @@ def test_overflow_chunks(spark):
     got = sorted((r.k, r.chunk_no, list(r.input_ids)) for r in ch.collect())
     assert got == [(0, 0, [0, 1, 2, 3]), (0, 1, [4, 5, 6, 7]), (0, 2, [8, 9])]
     assert full_length_only(ch, 4).count() == 2
+
+
+def test_drop_rule_formula_many_sizes(spark):
+    """W2 reference rule: max(0, ceil(N/B) - 1) blocks, for many (N, B)."""
+    from tessera.operators.pack import keep_block
+    cases = [(n, b) for b in (1, 2, 3, 4, 7, 16) for n in range(0, 40)]
+    df = spark.createDataFrame(cases, "n long, b long")
+    got = (df.select("n", "b", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0)))).alias("k"))
+           .where(F.col("k") * F.col("b") < F.col("n"))
+           .where(keep_block(F.col("k"), F.col("n"), F.col("b"), "reference"))
+           .groupBy("n", "b").count().collect())
+    counts = {(r.n, r.b): r["count"] for r in got}
+    for n, b in cases:
+        assert counts.get((n, b), 0) == max(0, -(-n // b) - 1), (n, b)

@@ -80,3 +80,14 @@ def test_select_alpha_logs_and_keeps_best(spark, docs):
     assert best == min(r.perplexity for r in m)
     kept = spark.read.parquet(f"{d}/best/bigrams").select("alpha").distinct().first().alpha
     assert kept == [r.alpha for r in m if r.perplexity == best][0]
+
+
+def test_run_config_and_vocab_store(spark):
+    from tessera.sources.store import load_vocab, save_run_config, save_vocab
+    d = tempfile.mkdtemp(prefix="tessera-cfg-")
+    save_run_config(spark, Params(), f"{d}/config", note="test")
+    row = spark.read.json(f"{d}/config").first()
+    assert row.vocab_size == 50257 and row.min_frequency == 2 and row.note == "test"
+    v = spark.createDataFrame([(0, "<s>"), (5, "a")], "token_id int, token string")
+    save_vocab(v, f"{d}/vocab")
+    assert sorted(map(tuple, load_vocab(spark, f"{d}/vocab").collect())) == [(0, "<s>"), (5, "a")]
