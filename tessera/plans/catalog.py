@@ -43,17 +43,18 @@ def _prep(spark: SparkSession, sf_dir: str) -> corpus.Prepared:
     ["lines"]))
 def q_lines_per_split(spark, sf_dir):
     """S1 + U1/U2 + A2: line rows and documents per split."""
-    lines = _prep(spark, sf_dir).lines
+    from tessera.sources.corpus import document_lines
+    lines = document_lines(read_table(spark, sf_dir, "documents"))
     return lines.groupBy("split").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"),
                                       F.countDistinct("doc_id").cast("bigint").alias("n_docs"))
 
 
 @register("word_counts", with_ctes("SELECT word, n FROM wc", ["wc"]))
 def q_word_counts(spark, sf_dir):
-    """F4 + A3: pre-token counts over the train split."""
-    from tessera.operators.vocab import word_counts
-    lines = _prep(spark, sf_dir).lines
-    return word_counts(lines.where(F.col("split") == "train"))
+    """F4 + A3: pre-token counts over the train split (from the stored
+    pre-tokenized lines: the regex ran once)."""
+    from tessera.operators.vocab import word_counts_of_words
+    return word_counts_of_words(_prep(spark, sf_dir).words.where(F.col("split") == "train"))
 
 
 @register("word_vocab", with_ctes("SELECT token_id, token FROM vocab", ["vocab"]))
