@@ -66,7 +66,10 @@ class Prepared:
 
     @cached_property
     def blocks(self) -> DataFrame:    # split, block_id, tokens
-        return pack_line_blocks(self.line_ids, self.totals, self.params)
+        # the packed stream is the job's product (S5): stored once in the shared
+        # folder, so fitting (train split) and scoring (other splits) read it
+        # instead of each re-running encode and pack for their split
+        return cut_lineage(pack_line_blocks(self.line_ids, self.totals, self.params))
 
     @cached_property
     def tokens(self) -> DataFrame:    # split, doc_id, line_no, i, token_id, pos
