@@ -91,3 +91,21 @@ def test_run_config_and_vocab_store(spark):
     v = spark.createDataFrame([(0, "<s>"), (5, "a")], "token_id int, token string")
     save_vocab(v, f"{d}/vocab")
     assert sorted(map(tuple, load_vocab(spark, f"{d}/vocab").collect())) == [(0, "<s>"), (5, "a")]
+
+
+def test_split_scan_counts_and_token_table(spark, docs):
+    from tessera.operators.encode import oov_report
+    from tessera.plans import corpus
+    from tessera.sources.corpus import read_split, split_counts
+    from tessera.sources.tokens import write_token_table
+    prep = corpus.prepare(docs, Params())
+    d = tempfile.mkdtemp(prefix="tessera-tok-")
+    write_token_table(prep.tokens, f"{d}/tokens")
+    val = read_split(spark, f"{d}/tokens", "val")
+    n = {r.split: r.n_total for r in prep.totals.collect()}
+    assert val.count() == n["val"]
+    assert val.agg(F.min("pos"), F.max("pos")).first() == (0, n["val"] - 1)
+    counts = {r.split: r.n_rows for r in split_counts(prep.lines).collect()}
+    assert sum(counts.values()) == prep.lines.count()
+    oov = oov_report(prep.lines.where("split = 'train'"), prep.vocab)
+    assert oov.agg(F.max("n")).first()[0] == 1  # min_frequency 2: only singletons miss
