@@ -43,3 +43,15 @@ def test_entry_smoke(spark):
     import __spark_entry__ as e
     rows = e.entry(spark).collect()
     assert {r.split for r in rows} <= {"val", "test"} and rows
+
+
+def test_entry_loads_by_path(spark):
+    """The driver may load the entry file by path from another folder."""
+    import importlib.util
+    import os
+    path = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "__spark_entry__.py")
+    spec = importlib.util.spec_from_file_location("entry_by_path", path)
+    mod = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(mod)
+    assert set(mod.oracle_sql()) <= set(mod.queries())
+    assert mod.entry(spark).columns == ["split", "n_batches", "n_blocks", "loss", "token_loss", "perplexity"]
