@@ -11,10 +11,30 @@ def op1_reshard(spark, sf_dir):
     return shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark, sf_dir):
+    from tessera.llm.toxicity import score_documents
+    return score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_mix(spark, sf_dir):
     from tessera.llm.mixing import mix_documents
     return mix_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_reshard": op1_reshard, "op6_mix": op6_mix}
+def op7_licenses(spark, sf_dir):
+    from tessera.llm.licenses import scan_licenses
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark, sf_dir):
+    from tessera.llm.warc import archive_pages
+    return archive_pages(read_table(spark, sf_dir, "pages"))
+
+
+def op10_decontaminate(spark, sf_dir):
+    from tessera.llm.decontaminate import contaminated
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_reshard, op4_toxicity, op6_mix, op7_licenses, op8_warc, op10_decontaminate)}
 ORACLES: dict[str, str] = {}
