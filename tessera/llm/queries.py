@@ -11,6 +11,11 @@ def op1_reshard(spark, sf_dir):
     return shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard(spark, sf_dir):
+    from tessera.llm.jaccard import near_duplicates
+    return near_duplicates(read_table(spark, sf_dir, "documents")).drop("rk", "root")
+
+
 def op4_toxicity(spark, sf_dir):
     from tessera.llm.toxicity import score_documents
     return score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -36,5 +41,5 @@ def op10_decontaminate(spark, sf_dir):
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_reshard, op4_toxicity, op6_mix, op7_licenses, op8_warc, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_reshard, op3_jaccard, op4_toxicity, op6_mix, op7_licenses, op8_warc, op10_decontaminate)}
 ORACLES: dict[str, str] = {}

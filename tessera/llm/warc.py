@@ -148,7 +148,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
             for r in batch.to_pylist():
                 if open_bundle is None:
                     name = f"bundle-{task.partitionId():05d}-{task.taskAttemptId()}-{seq:03d}.warc.zst"
-                    open_bundle = Bundle(system.open_output_stream(f"{root}/{name}"))
+                    open_bundle = Bundle(system.open_output_stream(f"{root}/{name}", compression=None))
                 rec = record(r["page_id"], r["url"], r["payload"], base64.b32encode(r["digest"]).decode(), r["refers_to"], r["is_revisit"])
                 frame, offset = open_bundle.add(rec)
                 for c, v in zip(rows, (r["page_id"], name, frame, offset, len(rec))):
