@@ -260,7 +260,7 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 
 def survivors(docs: DataFrame, prof: DataFrame) -> DataFrame:
-    """Classes that may have partners: cid, rk (of one row), weight."""
+    """Stored: classes that may have partners: cid, rk (of one row), weight."""
     rows = docs.select(text_of().alias("text")).mapInArrow(_tokens, "token long, cid long, own long")
     same = Window.partitionBy("token")
     live = rows.withColumn("live", F.when(F.col("token") < 0, F.col("own")).otherwise(
@@ -268,31 +268,34 @@ def survivors(docs: DataFrame, prof: DataFrame) -> DataFrame:
         .where("(token < 0 or live > 0) and cid >= 0") \
         .groupBy("cid").agg((F.sum("live") / F.sum((F.col("token") < 0).cast("long"))).alias("live"))
     classes = prof.where("n > 0").groupBy("cid").agg(F.min("rk").alias("rk"), F.count("*").alias("weight"), F.max("n").alias("n"), F.max("e").alias("e"))
-    return classes.join(live, "cid").where(F.col("live") >= F.col("e") - F.floor(F.col("n") * (DEN - NUM) / DEN)).select("cid", "rk", "weight")
+    may = classes.join(live, "cid").where(F.col("live") >= F.col("e") - F.floor(F.col("n") * (DEN - NUM) / DEN))
+    return store(may.select("cid", "rk", "weight"), "survivors")
 
 
 def members(docs: DataFrame, alive: DataFrame) -> DataFrame:
-    """Stored sets of the surviving classes: cid, weight, tokens."""
+    """Stored sets of the surviving classes: cid, tokens. Rows that repeat both
+    doc_id and text repeat here; the search takes each class once."""
     few = alive.count() <= SEND_ROWS
     keys = F.broadcast(alive.select("rk")) if few else alive.select("rk")
     texts = docs.select(row_hash("doc_id", "text", seed=3).alias("rk"), text_of().alias("text")).join(keys, "rk", "left_semi")
     sets = texts.select("text").mapInArrow(_sets, "cid long, tokens array<long>")
-    return store(sets, "sets").join(alive.select("cid", "weight"), "cid")
+    return store(sets, "sets")
 
 
-def regions(sets: DataFrame) -> DataFrame:
-    """(pivot, cid) and each class's pivots: cid, weight, tokens, pivots, pivot, k."""
+def regions(sets: DataFrame, alive: DataFrame) -> DataFrame:
+    """One row per region and class: cid, tokens, weight, pivots, pivot, k."""
     first = F.slice("tokens", 1, (F.floor(F.size("tokens") * (DEN - NUM) / DEN) + 1).cast("int"))
     groups = sets.select("cid", F.explode(first).alias("token"))
     seeded = F.struct(F.xxhash64("cid").alias("h"), F.col("cid").alias("pivot"))
     pivots = groups.groupBy("token").agg(F.min(seeded).alias("p"), F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b") \
         .select("token", "p.pivot")
     member = store(groups.join(pivots, "token").select("cid", "pivot").distinct(), "regions")
-    size = member.groupBy("pivot").agg(F.count("*").alias("k"))
-    own = member.groupBy("cid").agg(F.collect_set("pivot").alias("pivots"))
-    # one row per (region, class): the set travels once to each of its regions
-    narrow = member.join(size, "pivot")
-    return sets.dropDuplicates(["cid"]).join(own, "cid").join(narrow, "cid")
+    size = member.groupBy("pivot").agg(F.count("*").alias("k")).where("k > 1")
+    own = member.join(size, "pivot").groupBy("cid").agg(F.collect_list(F.struct("pivot", "k")).alias("in")) \
+        .join(alive.select("cid", "weight"), "cid").withColumn("pivots", F.col("in.pivot"))
+    # the set travels once to its class, then once to each of its regions
+    return sets.join(own, "cid").select("cid", "tokens", "weight", "pivots", F.explode("in").alias("r")) \
+        .select("cid", "tokens", "weight", "pivots", "r.pivot", "r.k")
 
 
 def pieces(inside: DataFrame, sets: DataFrame) -> DataFrame:
@@ -302,7 +305,8 @@ def pieces(inside: DataFrame, sets: DataFrame) -> DataFrame:
     none = F.lit(None).cast("int")
     small = inside.where(F.col("k") <= REGION).select(*cols, F.lit(0).alias("ring"), F.lit(0).alias("i"), F.lit(0).alias("j"), none.alias("side"))
     large = inside.where(F.col("k") > REGION)
-    centre = sets.dropDuplicates(["cid"]).select(F.col("cid").alias("pivot"), F.col("tokens").alias("centre"))
+    centre = sets.join(large.select(F.col("pivot").alias("cid")).distinct(), "cid", "left_semi").dropDuplicates(["cid"]) \
+        .select(F.col("cid").alias("pivot"), F.col("tokens").alias("centre"))
     same = F.size(F.array_intersect("tokens", "centre"))
     d = 1 - same / (F.size("tokens") + F.size("centre") - same)
     ringed = large.join(centre, "pivot").withColumn("own", F.floor(d / RADIUS + 1e-9).cast("int")).drop("centre")
@@ -321,8 +325,9 @@ def pieces(inside: DataFrame, sets: DataFrame) -> DataFrame:
 
 def link_classes(docs: DataFrame, prof: DataFrame) -> DataFrame:
     """Stored: cid, up, links, one row per class and region with a partner."""
-    sets = members(docs, survivors(docs, prof))
-    cut = pieces(regions(sets), sets)
+    alive = survivors(docs, prof)
+    sets = members(docs, alive)
+    cut = pieces(regions(sets, alive), sets)
     return store(cut.groupBy("pivot", "ring", "i", "j").applyInArrow(_search, "cid long, up long, links long"), "links")
 
 
