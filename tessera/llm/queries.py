@@ -21,6 +21,12 @@ def op4_toxicity(spark, sf_dir):
     return score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op5_perplexity(spark, sf_dir):
+    from tessera.llm.perplexity import check_quality
+    ensure_checkpoint_dir(spark)
+    return check_quality(read_table(spark, sf_dir, "documents"))
+
+
 def op6_mix(spark, sf_dir):
     from tessera.llm.mixing import mix_documents
     return mix_documents(read_table(spark, sf_dir, "documents"))
@@ -41,5 +47,5 @@ def op10_decontaminate(spark, sf_dir):
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_reshard, op3_jaccard, op4_toxicity, op6_mix, op7_licenses, op8_warc, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_reshard, op3_jaccard, op4_toxicity, op5_perplexity, op6_mix, op7_licenses, op8_warc, op10_decontaminate)}
 ORACLES: dict[str, str] = {}
