@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm.lines import ORACLE as LINES_ORACLE
 from tessera.session import ensure_checkpoint_dir, read_table
 
 
@@ -11,6 +12,12 @@ def op1_reshard(spark, sf_dir):
     return shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op2_lines(spark, sf_dir):
+    from tessera.llm.lines import repeated_lines
+    ensure_checkpoint_dir(spark)
+    return repeated_lines(read_table(spark, sf_dir, "documents"))
+
+
 def op3_jaccard(spark, sf_dir):
     from tessera.llm.jaccard import near_duplicates
     return near_duplicates(read_table(spark, sf_dir, "documents")).drop("rk", "root")
@@ -42,10 +49,16 @@ def op8_warc(spark, sf_dir):
     return archive_pages(read_table(spark, sf_dir, "pages"))
 
 
+def op9_mixing_model(spark, sf_dir):
+    from tessera.llm.mixer import score_documents
+    ensure_checkpoint_dir(spark)
+    return score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark, sf_dir):
     from tessera.llm.decontaminate import contaminated
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_reshard, op3_jaccard, op4_toxicity, op5_perplexity, op6_mix, op7_licenses, op8_warc, op10_decontaminate)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_reshard, op2_lines, op3_jaccard, op4_toxicity, op5_perplexity, op6_mix, op7_licenses, op8_warc, op9_mixing_model, op10_decontaminate)}
+ORACLES: dict[str, str] = {"op2_lines": LINES_ORACLE}
