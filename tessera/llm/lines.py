@@ -41,7 +41,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, line_no (from 0), line and its 128-bit hash (h1, h2)."""
     rows = docs.select("doc_id", F.posexplode(F.split(text_of(), "\n", -1)).alias("line_no", "line"))
     return rows.where(F.col("line").rlike(WORD)).select(
-        "doc_id", "line_no", "line", F.xxhash64(F.lit(1), "line").alias("h1"), F.xxhash64(F.lit(2), "line").alias("h2"))
+        "doc_id", "line_no", "line", F.length("line").alias("n"), F.xxhash64(F.lit(1), "line").alias("h1"), F.xxhash64(F.lit(2), "line").alias("h2"))
 
 
 def place(doc_id: str = "doc_id", line_no: str = "line_no") -> Column:
@@ -60,20 +60,21 @@ def _cuts(size: Column) -> list[tuple[int, int, Column, Column]]:
     return out
 
 
-def rests(line: Column) -> Column:
-    """Array of (key, before, after, kind) of the rests of a line."""
-    size = F.length(line)
+def rests(line: Column, n: Column) -> Column:
+    """Array of (key, before, after, kind) of the rests of a line of length n."""
     items = []
-    for kind, q, before, after in _cuts(size):
-        least = F.floor((size + kind) / 2)
-        key = F.xxhash64(F.lit(kind), F.lit(q), least, F.substring(line, F.lit(1), before), F.lit("|"), F.right(line, after))
+    for kind, q, before, after in _cuts(n):
+        least = F.floor((n + kind) / 2)
+        key = F.xxhash64(F.lit(kind), F.lit(q), least, F.substring(line, F.lit(1), before), F.lit("|"), F.substring(line, n - after + 1, after))
         items.append(F.struct(key.alias("key"), before.alias("before"), after.alias("after"), F.lit(kind).alias("kind")))
     return F.array(*items)
 
 
 def shared_rests(lines: DataFrame) -> DataFrame:
     """Stored: (h1, h2, key) of rests that different lines share."""
-    each = lines.select("h1", "h2", F.explode(F.transform(rests(F.col("line")), lambda r: r.getField("key"))).alias("key"))
+    # the keys are computed once; both sides below read them from the stored table
+    keyed = store(lines.select("h1", "h2", F.col("line"), "n").select("h1", "h2", rests(F.col("line"), F.col("n")).getField("key").alias("keys")), "keys")
+    each = keyed.select("h1", "h2", F.explode("keys").alias("key"))
     live = each.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
     return store(each.join(live, "key").distinct(), "rests")
 
@@ -84,12 +85,12 @@ def neighbours(lines: DataFrame, first: DataFrame) -> DataFrame:
     alive = shared.groupBy("h1", "h2").agg(F.collect_set("key").alias("keys"))        # at most 2 * PARTS keys
     few = alive.count() <= SEND_ROWS
     names = alive.select("h1", "h2")
-    texts = lines.select("h1", "h2", "line").join(F.broadcast(names) if few else names, ["h1", "h2"], "left_semi")
-    texts = texts.groupBy("h1", "h2").agg(F.first("line").alias("line"))
+    texts = lines.select("h1", "h2", "line", "n").join(F.broadcast(names) if few else names, ["h1", "h2"], "left_semi")
+    texts = texts.groupBy("h1", "h2").agg(F.first("line").alias("line"), F.first("n").alias("n"))
     texts = store(texts.join(alive, ["h1", "h2"]).join(first, ["h1", "h2"]), "candidates")
 
-    part = texts.select("h1", "h2", "first", F.length("line").alias("n"), "line",
-                        F.explode(F.filter(rests(F.col("line")), lambda r: F.array_contains(F.col("keys"), r.getField("key")))).alias("r"))
+    part = texts.select("h1", "h2", "first", "n", "line",
+                        F.explode(F.filter(rests(F.col("line"), F.col("n")), lambda r: F.array_contains(F.col("keys"), r.getField("key")))).alias("r"))
     part = part.select("h1", "h2", "first", "n", "r.key", "r.kind", F.substring("line", F.col("r.before") + 1, F.col("n") - F.col("r.before") - F.col("r.after")).alias("mid"))
     size = F.length("mid")
     cut = part.select("h1", "h2", "first", "n", "key", "kind", "mid", F.explode(F.when(size > 0, F.sequence(F.lit(1), size))).alias("i"))
@@ -135,7 +136,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         .drop("gone_doc", "gone_lines")
 
 
-# the same in DuckDB: distinct lines of nearly equal length that share a half, then the distance
+# the same in DuckDB: distinct lines of nearly equal length that share a half, and a place at which
+# one character makes them equal (DuckDB's own edit distance counts bytes, not characters)
 ORACLE = r"""
 WITH l AS (SELECT doc_id, (i - 1)::INT AS line_no, line FROM (
         SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
@@ -144,7 +146,8 @@ d AS (SELECT line, length(line) AS n, min({'doc_id': doc_id, 'line_no': line_no}
 p AS (SELECT a.line, b.first AS keeper FROM d a JOIN d b ON b.n BETWEEN a.n - 1 AND a.n + 1 AND b.first < a.first
     AND (left(a.line, (least(a.n, b.n) // 2)::INT) = left(b.line, (least(a.n, b.n) // 2)::INT)
          OR right(a.line, (least(a.n, b.n) // 2)::INT) = right(b.line, (least(a.n, b.n) // 2)::INT))
-    WHERE levenshtein(a.line, b.line) <= 1),
+    WHERE len(list_filter(range(0, least(a.n, b.n) + 1), lambda i: left(a.line, i) = left(b.line, i)
+        AND right(a.line, a.n - i - (a.n >= b.n)::INT) = right(b.line, b.n - i - (b.n >= a.n)::INT))) > 0),
 k AS (SELECT d.line, least(d.first, coalesce(min(p.keeper), d.first)) AS keep FROM d LEFT JOIN p ON p.line = d.line GROUP BY d.line, d.first)
 SELECT l.doc_id, l.line_no, k.keep.doc_id AS first_doc_id, k.keep.line_no AS first_line_no
 FROM l JOIN k ON k.line = l.line WHERE {'doc_id': l.doc_id, 'line_no': l.line_no} > k.keep
