@@ -42,8 +42,9 @@ CONTEXTS = 3
 LANE, BLOCK = 1024, 16
 SAMPLE, SAMPLE_CHARS = 200, 20_000
 RATE = 0.02
-BUCKETS = 33             # refinement buckets of a stretched probability
+TOP_ODDS, STEP = 15, 64  # mixed odds are clipped to +- TOP_ODDS and read in steps of 1 / STEP
 CHUNK = 2 << 20          # bytes of text coded at once
+_M = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 SPELL, END = 256, 256    # symbols 0..255 are bytes, 256 the end mark, the dictionary follows
 
 
@@ -88,7 +89,6 @@ class Coder:
 
     def __init__(self, words: list[bytes], counts: np.ndarray):
         """``counts`` of the 256 bytes, the end mark and the words, in order."""
-        self.symbols = {w: 257 + i for i, w in enumerate(words)}
         self.n = 257 + len(words)
         heap = [(int(c) + 1, i) for i, c in enumerate(counts)]
         heapq.heapify(heap)
@@ -107,6 +107,7 @@ class Coder:
         self.length = depth[:self.n].astype(np.int32)
         self.first = (np.cumsum(self.length) - self.length).astype(np.int64)
         self.nodes = np.zeros(int(self.length.sum()), np.int32)    # inner nodes on the way, as 0..n-2
+        self.first32 = self.first.astype(np.int32)
         self.bits = np.zeros(len(self.nodes), np.uint8)
         at, left = np.arange(self.n), self.length.astype(np.int64).copy()
         while (live := np.flatnonzero(left > 0)).size:
@@ -115,69 +116,94 @@ class Coder:
             self.bits[k] = right[at[live]]
             at[live] = up[at[live]]
             self.nodes[k] = at[live] - self.n
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols of all texts, and how many each has."""
-        out: list[int] = []
-        ends = []
-        get = self.symbols.get
-        for t in texts:
-            for w in tokens_of(t):
-                s = get(w)
-                if s is None:
-                    out += w
-                    out.append(32)
-                else:
-                    out.append(s)
-            out.append(END)
-            ends.append(len(out))
-        return np.array(out, np.int64), np.diff(np.array([0] + ends))
-
-    def expand(self, symbols: np.ndarray, sizes: np.ndarray):
+        self.spread = (self.nodes.astype(np.uint32) + np.uint32(1)) * _M[1]
+
+    def encode(self, words: list[list[bytes]], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of all texts, and how many each has. ``ids`` numbers all the
+        words by frequency; those from the dictionary's size on are spelled."""
+        count = np.fromiter(map(len, words), np.int64, len(words))
+        known = (ids >= 0) & (ids < self.n - 257)
+        spelled = [w for ws, a in zip(words, np.split(known, np.cumsum(count)[:-1])) for w, k in zip(ws, a.tolist()) if not k]
+        size = np.ones(len(ids), np.int64)
+        size[~known] = np.fromiter(map(len, spelled), np.int64, len(spelled)) + 1
+        total = np.append(0, np.cumsum(size))
+        end = np.cumsum(count)
+        sizes = total[end] - total[end - count] + 1                     # with the end mark
+        owner = np.repeat(np.arange(len(words)), count)
+        out = np.full(int(sizes.sum()), -1, np.int32)
+        begin = total[:-1] + owner                                      # one end mark for each text before
+        out[begin[known]] = ids[known] + 257
+        out[np.cumsum(sizes) - 1] = END
+        out[out < 0] = np.frombuffer(b" ".join(spelled) + b" " if spelled else b"", np.uint8)
+        return out, sizes
+
+    def expand(self, symbols: np.ndarray, sizes: np.ndarray, align: int = 1):
         """Bits of the symbols: (slots of each context, bits, spelling state,
-        number of bits of each text)."""
-        start = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        at = np.arange(len(symbols))
-        m = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+        bits of each text, first bit of each text). Texts start at multiples of
+        ``align``; the places between them repeat the last bit."""
+        ends = np.cumsum(sizes)
+        at = np.arange(len(symbols), dtype=np.int32) - np.repeat((ends - sizes).astype(np.int32), sizes)
         inside = np.ones(len(symbols), bool)           # still in the word that is being spelled
-        c2 = c4 = last = None
+        c2 = c4 = last = spelling = None
         for d in range(1, 5):
-            s = np.full(len(symbols), self.n, np.uint64)
+            s = np.full(len(symbols), self.n, np.uint32)
             s[d:] = symbols[:-d]
-            s[at - d < start] = self.n                 # before the text's first symbol
-            last = s if d == 1 else last
+            s[at < d] = self.n                         # before the text's first symbol
             inside = inside & (s < SPELL) & (s != 32)
-            spelling = inside if d == 1 else spelling
-            c4 = (np.uint64(0) if c4 is None else c4) * m[1] + np.where(inside, s + np.uint64(1), np.uint64(0))
-            c2 = c4 if d == 2 else c2
-        c2 = np.where(spelling, c2, last + np.uint64(1))
+            part = np.where(inside, s + np.uint32(1), np.uint32(0))
+            c4 = part if d == 1 else c4 * _M[1] + part
+            if d == 1:
+                last, spelling = s, inside
+            elif d == 2:
+                c2 = np.where(spelling, c4, last + np.uint32(1))
         n = self.length[symbols]
-        where = np.repeat(self.first[symbols] - (np.cumsum(n, dtype=np.int64) - n), n) + np.arange(int(n.sum()))
-        node = self.nodes[where]
+        per_text = np.add.reduceat(n, ends - sizes).astype(np.int64) if len(sizes) else np.zeros(0, np.int64)
+        room = -(-per_text // align) * align
+        n = n.copy()
+        n[ends - 1] += (room - per_text).astype(np.int32)
+        start = np.cumsum(n, dtype=np.int64) - n
+        where = np.arange(int(n.sum()), dtype=np.int32) + np.repeat((self.first[symbols] - start).astype(np.int32), n)
+        first = np.cumsum(room) - room
+        if align > 1:
+            np.minimum(where, len(self.nodes) - 1, out=where)
         state = np.repeat(spelling, n)
         # spelling and whole words use a half of the slots each
-        shift = np.uint64(64 - (SLOTS.bit_length() - 2))
-        half = state.astype(np.int32) * (SLOTS // 2)
-        spread = (node.astype(np.uint64) + np.uint64(1)) * m[1]
-        slots = [node]
+        shift = np.uint32(32 - (SLOTS.bit_length() - 2))
+        spread = self.spread.take(where)
+        slots = [self.nodes.take(where)]
         for c in (c2, c4):
-            h = (np.repeat(c * m[2], n) ^ spread) * m[0]
-            slots.append((h >> shift).astype(np.int32) + half)
-        per_text = np.add.reduceat(n, np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0, np.int64)
-        return slots, self.bits[where], state, per_text.astype(np.int64)
+            h = np.repeat((c * _M[2]) ^ (c >> np.uint32(15)), n) ^ spread
+            h *= _M[0]
+            h >>= shift
+            h += state * np.uint32(SLOTS // 2)
+            slots.append(h.view(np.int32))
+        return slots, self.bits.take(where), state, per_text, first
+
+
+class Numbers:
+    """Words of texts and their numbers by frequency (-1: beyond the table)."""
+
+    def __init__(self, top: list[bytes]):
+        self.get = {w: i for i, w in enumerate(top)}.get
+
+    def __call__(self, texts: list[str]) -> tuple[list[list[bytes]], np.ndarray]:
+        words = [tokens_of(t) for t in texts]
+        get = self.get
+        return words, np.fromiter((get(w, -1) for ws in words for w in ws), np.int32, sum(map(len, words)))
 
 
 def _count_bits(held):
     """Per task: zeros and ones of every slot, in blocks of one context."""
     def run(batches):
         import pyarrow as pa
-        coder = held.value
+        coder, top = held.value
+        numbers = Numbers(top)
         size = [coder.n, SLOTS, SLOTS]
         total = [np.zeros(2 * s, np.int32) for s in size]
         some = False
         with np.errstate(over="ignore"):
             for table in grouped_by_bytes(batches, "text", CHUNK):
-                slots, bits, _, _ = coder.expand(*coder.encode(table.column("text").to_pylist()))
+                slots, bits, _, _, _ = coder.expand(*coder.encode(*numbers(table.column("text").to_pylist())))
                 for k in range(CONTEXTS):
                     total[k] += np.bincount(slots[k] * 2 + bits, minlength=2 * size[k]).astype(np.int32)
                 some = True
@@ -205,88 +231,101 @@ class Mixer:
     """Coder, odds tables, start weights and refinement."""
 
     def __init__(self, coder: Coder, odds: list[np.ndarray]):
-        self.coder, self.odds = coder, odds
+        self.coder, self.odds = coder, [np.clip(o, -12, 12) for o in odds]
         self.weights = np.full((2, CONTEXTS), 0.4, np.float32)
-        self.refine = np.zeros((2, BUCKETS), np.float32)
-
-    def inputs(self, texts: list[str]):
-        slots, bits, state, per_text = self.coder.expand(*self.coder.encode(texts))
-        x = np.empty((len(bits), CONTEXTS), np.float32)
-        for k in range(CONTEXTS):
-            x[:, k] = self.odds[k].take(slots[k])
-        np.clip(x, -12, 12, out=x)
-        return x, bits, state, per_text
-
-    def run(self, x, bits, state, per_text, learn=None):
-        """Mixed odds of all bits. Lanes advance together, BLOCK bits a time;
-        the weights of a lane learn from each block before the next."""
+        # stretched probabilities come in steps of 1 / STEP
+        self.grid = (np.arange(2 * TOP_ODDS * STEP + 1) / STEP - TOP_ODDS).astype(np.float32)
+        self.chance = (1 / (1 + np.exp(-self.grid))).astype(np.float32)
+        self.refine(np.zeros((2, len(self.grid)), np.float32))
+
+    def refine(self, move: np.ndarray):
+        """Cost in bits of (state, bit, step) after moving the odds."""
+        z = np.clip(self.grid + move, -20, 20)
+        self.cost = np.stack([np.log1p(np.exp(z)), np.log1p(np.exp(-z))], axis=1).astype(np.float32).ravel() / np.float32(np.log(2))
+
+    def inputs(self, words, ids):
+        slots, bits, state, per_text, first = self.coder.expand(*self.coder.encode(words, ids), align=BLOCK)
+        x = [o.take(s).reshape(-1, BLOCK) for o, s in zip(self.odds, slots)]
+        # places after a text's last bit say nothing and teach nothing
+        tail = np.flatnonzero(per_text % BLOCK)
+        for i, rest in zip((first + per_text)[tail] // BLOCK, per_text[tail] % BLOCK):
+            for k in x:
+                k[i, rest:] = 0
+        return x, bits.reshape(-1, BLOCK), state.reshape(-1, BLOCK), per_text, first
+
+    def run(self, x, bits, state, per_text, first, learn=None):
+        """Mixed odds of all bits, as steps. Lanes advance together, BLOCK bits
+        a time; the weights of a lane learn from each block before the next."""
         lanes_of = -(-per_text // LANE)
         owner = np.repeat(np.arange(len(per_text)), lanes_of)
         part = np.arange(len(owner)) - np.repeat(np.cumsum(lanes_of) - lanes_of, lanes_of)
-        start = (np.cumsum(per_text) - per_text)[owner] + part * LANE
-        size = np.minimum(LANE, per_text[owner] - part * LANE)
+        start = first[owner] // BLOCK + part * (LANE // BLOCK)
+        size = -(-np.minimum(LANE, per_text[owner] - part * LANE) // BLOCK)
         order = np.argsort(-size, kind="stable")
         start, size = start[order], size[order]
         w = np.repeat(self.weights[None], len(start), axis=0)
-        dots = np.zeros(len(bits), np.float32)
-        for t in range(0, LANE, BLOCK):
-            live = int(np.searchsorted(-size, -t, side="left"))     # lanes longer than t
+        steps = np.zeros(bits.shape, np.int16)
+        for t in range(LANE // BLOCK):
+            live = int(np.searchsorted(-size, -t, side="left"))     # lanes longer than t blocks
             if not live:
                 break
-            at = start[:live, None] + np.arange(t, t + BLOCK)
-            real = np.arange(t, t + BLOCK) < size[:live, None]
-            at = np.minimum(at, len(bits) - 1)
-            xb, sb = x[at], state[at]
-            ww = w[:live]
-            d = np.where(sb, np.matmul(xb, ww[:, 1, :, None])[..., 0], np.matmul(xb, ww[:, 0, :, None])[..., 0])
-            dots[at[real]] = d[real]
-            e = (bits[at] - 0.5 * (np.tanh(0.5 * d) + 1)) * real
-            for g in (0, 1):
-                eg = (e * (sb == g)).astype(np.float32)
-                ww[:, g] += RATE * np.matmul(eg[:, None, :], xb)[:, 0]
+            at = start[:live] + t
+            xb = [k.take(at, axis=0) for k in x]
+            sb, bb = state.take(at, axis=0), bits.take(at, axis=0)
+            d = None
+            for k in range(CONTEXTS):
+                y = xb[k] * np.where(sb, w[:live, 1, k, None], w[:live, 0, k, None])
+                d = y if d is None else np.add(d, y, out=d)
+            d *= STEP
+            d += TOP_ODDS * STEP + 0.5
+            np.clip(d, 0, len(self.grid) - 1, out=d)
+            q = d.astype(np.int16)
+            steps[at] = q
+            e = bb - self.chance.take(q)
+            spell = e * sb
+            e -= spell
+            for k in range(CONTEXTS):
+                w[:live, 0, k] += RATE * np.einsum("ij,ij->i", e, xb[k])
+                w[:live, 1, k] += RATE * np.einsum("ij,ij->i", spell, xb[k])
         if learn is not None:
-            learn.append((w.mean(0), len(start)))
-        return dots
-
-    def bits_of(self, dots, bits, state):
-        """Cost of each bit in bits, after the refinement."""
-        z = self._refined(dots, state)
-        return np.log1p(np.exp(np.where(bits == 1, -z, z))) / np.float32(np.log(2))
-
-    def _refined(self, dots, state):
-        bucket = np.clip(np.rint(dots * 2).astype(np.int32) + BUCKETS // 2, 0, BUCKETS - 1)
-        return np.clip(dots + self.refine[state.astype(np.int8), bucket], -20, 20)
+            learn.append(w.mean(0))
+        return steps
 
-    def fit(self, texts: list[str], rounds: int = 3):
+    def fit(self, words, ids, rounds: int = 3):
         """Start weights (mean of the lanes' last ones) and refinement from a
         bounded sample."""
-        if not texts:
+        if not words:
             return self
-        data = self.inputs(texts)
-        x, bits, state, _ = data
+        data = self.inputs(words, ids)
+        _, bits, state, per_text, first = data
         for _ in range(rounds):
             learned: list = []
-            dots = self.run(*data, learn=learned)
-            self.weights = learned[0][0].astype(np.float32)
-        dots = self.run(*data)
-        bucket = np.clip(np.rint(dots * 2).astype(np.int32) + BUCKETS // 2, 0, BUCKETS - 1)
-        p = 0.5 * (np.tanh(0.5 * dots) + 1)
+            self.run(*data, learn=learned)
+            self.weights = learned[0].astype(np.float32)
+        steps = self.run(*data)
+        real = np.zeros(bits.size, bool)
+        for a, n in zip(first, per_text):
+            real[a:a + n] = True
+        steps, bits, state = steps.ravel()[real], bits.ravel()[real], state.ravel()[real]
+        width = STEP // 2                                              # steps of one refinement bucket
+        move = np.zeros((2, len(self.grid)), np.float32)
+        buckets = len(self.grid) // width + 1
         for g in (0, 1):
             of = state == bool(g)
-            n = np.bincount(bucket[of], minlength=BUCKETS)
-            ones = np.bincount(bucket[of], weights=bits[of], minlength=BUCKETS)
-            said = np.bincount(bucket[of], weights=p[of], minlength=BUCKETS)
+            n, ones, said = (np.bincount(steps[of] // width, weights=v, minlength=buckets) for v in (None, bits[of], self.chance[steps[of]]))
             logit = lambda q: np.log((q + 0.5) / (n - q + 0.5))
-            self.refine[g] = np.where(n >= 100, logit(ones) - logit(said), 0).astype(np.float32)
+            move[g] = np.where(n >= 100, logit(ones) - logit(said), 0)[np.arange(len(self.grid)) // width]
+        self.refine(move)
         return self
 
-    def score(self, texts: list[str]) -> np.ndarray:
+    def score(self, words, ids) -> np.ndarray:
         """Bits of each text."""
-        x, bits, state, per_text = self.inputs(texts)
-        cost = self.bits_of(self.run(x, bits, state, per_text), bits, state)
-        total = np.append(0, np.cumsum(cost, dtype=np.float64))
-        end = np.cumsum(per_text)
-        return total[end] - total[end - per_text]
+        x, bits, state, per_text, first = self.inputs(words, ids)
+        steps = self.run(x, bits, state, per_text, first)
+        which = steps.astype(np.int32).ravel()
+        which += (state.view(np.int8).astype(np.int32) * 2 + bits).ravel() * np.int32(len(self.grid))
+        total = np.append(0, np.cumsum(self.cost.take(which), dtype=np.float64))
+        return total[first + per_text] - total[first]
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -299,20 +338,20 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return store(texts.mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
 
 
-def fit(docs: DataFrame, counts: DataFrame, top: list[tuple[bytes, int]]) -> Mixer:
+def fit(docs: DataFrame, counts: DataFrame, top: list[tuple[bytes, int]], ends: int) -> Mixer:
     """Count all bits of the training rows; tables of fixed size reach the driver."""
     spark = docs.sparkSession
-    words = [w for w, c in top if w and c >= DICTIONARY_COUNT][:DICTIONARY]
+    words = [w for w, c in top if c >= DICTIONARY_COUNT][:DICTIONARY]
     spelled = counts.mapInArrow(_spelling(frozenset(words)), "byte long, c long").groupBy("byte").agg(F.sum("c").alias("c")).collect()
     by_byte = np.zeros(256)
     for r in spelled:
         by_byte[r["byte"]] = r["c"]
     known = dict(top)
-    coder = Coder(words, np.concatenate([by_byte, [known.get(b"", 0)], [known[w] for w in words]]))
+    coder = Coder(words, np.concatenate([by_byte, [ends], [known[w] for w in words]]))
     texts = training_rows(docs.select("doc_id", row_hash("doc_id", "text", seed=9).alias("rk"), text_of().alias("text")))
     sample = texts.where(F.length("text") <= SAMPLE_CHARS).orderBy("rk", "doc_id", "text").limit(SAMPLE).collect()
     tables = texts.where(~F.col("rk").isin([r["rk"] for r in sample])).select("text") \
-        .mapInArrow(_count_bits(spark.sparkContext.broadcast(coder)), "context int, block int, counts binary") \
+        .mapInArrow(_count_bits(spark.sparkContext.broadcast((coder, words))), "context int, block int, counts binary") \
         .groupBy("context", "block").applyInArrow(_sum_blocks, "context int, block int, odds binary").collect()
     odds = [np.zeros(n, np.float32) for n in (coder.n, SLOTS, SLOTS)]
     for r in tables:
@@ -320,32 +359,34 @@ def fit(docs: DataFrame, counts: DataFrame, top: list[tuple[bytes, int]]) -> Mix
         part = np.frombuffer(r["odds"], np.float32)
         odds[r["context"]][a:a + len(part)] = part
     with np.errstate(over="ignore"):
-        return Mixer(coder, odds).fit([r["text"] for r in sample])
+        return Mixer(coder, odds).fit(*Numbers(words)([r["text"] for r in sample]))
 
 
 def _score(held, top_held):
     def run(batches):
         import pyarrow as pa
         from collections import Counter
-        mixer, logs = held.value, top_held.value
+        mixer, (top, logs, end_log) = held.value, top_held.value
+        numbers = Numbers(top)
+        logs = np.append(logs, 0.0)                                    # the last for words beyond the table
         with np.errstate(over="ignore"):
             for table in grouped_by_bytes(batches, "text", CHUNK):
-                texts = table.column("text").to_pylist()
-                bits = mixer.score(texts)
-                n, known, base, size, rare = [], [], [], [], []
-                for t in texts:
-                    ws = tokens_of(t)
-                    got = [logs.get(w) for w in ws]
-                    have = [g for g in got if g is not None]
+                words, ids = numbers(table.column("text").to_pylist())
+                bits = mixer.score(words, ids)
+                n, known, base, size, rare, at = [], [], [], [], [], 0
+                for ws in words:
+                    mine = ids[at:at + len(ws)]
+                    at += len(ws)
+                    beyond = np.flatnonzero(mine < 0).tolist()
                     n.append(len(ws) + 1)
-                    known.append(len(have) + (b"" in logs))
-                    base.append(sum(have) + logs.get(b"", 0.0))
+                    known.append(len(ws) - len(beyond) + (end_log > 0))
+                    base.append(float(logs[mine].sum()) + end_log)
                     size.append(sum(map(len, ws)) + len(ws))
-                    rare.append(list(Counter(w for w, g in zip(ws, got) if g is None).items()) if len(have) < len(ws) else [])
+                    rare.append(list(Counter(ws[i] for i in beyond).items()))
                 kind = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))
                 yield pa.RecordBatch.from_arrays(
                     [table.column("doc_id").combine_chunks(), table.column("rk").combine_chunks(), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
-                     pa.array(base, pa.float64()), pa.array(bits), pa.array(size, pa.int64()),
+                     pa.array(base, pa.float64()), pa.array(bits, pa.float64()), pa.array(size, pa.int64()),
                      pa.array([[{"word": w, "tf": c} for w, c in r] for r in rare], kind)],
                     names=["doc_id", "rk", "n_tokens", "known", "base", "bits", "n_bytes", "rare"])
     return run
@@ -358,11 +399,17 @@ def score_documents(docs: DataFrame) -> DataFrame:
     counts = word_counts(docs)
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n_all, n_kinds = total["n"] or 0, total["v"]
-    top = [(bytes(r["word"]), r["c"]) for r in counts.where(F.length("word") <= WORD_BYTES).orderBy(F.desc("c"), "word").limit(TOP).collect()]
-    if n_all and not any(w == b"" for w, _ in top):
-        top.append((b"", counts.where(F.length("word") == 0).first()["c"]))
-    mixer = spark.sparkContext.broadcast(fit(docs, counts, top))
-    logs = spark.sparkContext.broadcast({w: float(np.log10(c + 1)) for w, c in top})
+    # the most frequent words: all above the least count that leaves at most TOP of them
+    short = counts.where(F.length("word").between(1, WORD_BYTES))
+    kinds, least = 0, 1
+    for r in short.groupBy(F.least("c", F.lit(1 << 16)).alias("c")).agg(F.count("*").alias("k")).orderBy(F.desc("c")).collect():
+        if kinds + r["k"] > TOP:
+            break
+        kinds, least = kinds + r["k"], r["c"]
+    top = sorted(((bytes(r["word"]), r["c"]) for r in short.where(F.col("c") >= least).collect()) if kinds else [], key=lambda x: (-x[1], x[0]))
+    ends = counts.where(F.length("word") == 0).agg(F.sum("c")).first()[0] or 0
+    mixer = spark.sparkContext.broadcast(fit(docs, counts, top, ends))
+    logs = spark.sparkContext.broadcast(([w for w, _ in top], np.log10(np.array([c + 1.0 for _, c in top])), float(np.log10(ends + 1))))
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", row_hash("doc_id", "text", seed=9).alias("rk"), text_of().alias("text"))
     scored = store(texts.mapInArrow(_score(mixer, logs), f"doc_id {kind}, rk long, n_tokens long, known long, base double, bits double, n_bytes long, "
