@@ -46,7 +46,7 @@ RADIUS = 1 - NUM / DEN        # distance of partners
 RATE = 0.3                    # share of the shingle hashes that step 2 looks at
 BOUND = int(RATE * 2 ** 63)
 CHUNK_TOKENS = 2_000_000      # shingles that a task combines at once in step 2
-REGION = 256                  # classes of a region that one task compares
+REGION = 2048                 # classes of a region that one task compares
 SEND_ROWS = 2_000_000         # survivors up to this many are broadcast (8 bytes each), else joined by shuffle
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -311,7 +311,9 @@ def pieces(inside: DataFrame, sets: DataFrame) -> DataFrame:
     d = 1 - same / (F.size("tokens") + F.size("centre") - same)
     ringed = large.join(centre, "pivot").withColumn("own", F.floor(d / RADIUS + 1e-9).cast("int")).drop("centre")
     ringed = ringed.withColumn("ring", F.explode(F.array("own", F.col("own") + 1)))          # the next ring sees them too
-    count = ringed.groupBy("pivot", "ring").agg(F.ceil(F.count("*") / REGION).cast("int").alias("blocks"))
+    # a ring without classes of its own has nothing to compare its guests with
+    count = ringed.groupBy("pivot", "ring").agg(F.ceil(F.count("*") / REGION).cast("int").alias("blocks"), F.max("own").alias("most")) \
+        .where("most = ring").drop("most")
     ringed = ringed.join(count, ["pivot", "ring"]).withColumn("b", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     cut = ringed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.withColumn("i", F.least("b", "other")).withColumn("j", F.greatest("b", "other"))
