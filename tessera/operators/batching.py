@@ -13,7 +13,7 @@ from tessera.config import Params
 from tessera.functions.hashing import md5_int
 from tessera.operators.pack import exclusive_prefix_sum
 
-SHUFFLE_DIGITS = 7          # 28-bit md5 prefix as the shuffle key
+SHUFFLE_DIGITS = 15         # 60-bit md5 prefix: keys and draws reach any stream length
 SEGMENT_BITS = 12           # top 12 bits of the key pick one of 4096 segments
 
 
@@ -87,6 +87,6 @@ def sample_positions(tokens: DataFrame, totals: DataFrame, subset_size: int, see
     spark = tokens.sparkSession
     draws = (spark.range(subset_size).select(F.col("id").alias("draw"), F.lit(split).alias("split"))
              .join(F.broadcast(totals), "split")  # one row per split
-             .select("draw", (md5_int(F.lit(seed), F.col("draw")) % F.col("n_total")).alias("pos")))
+             .select("draw", (md5_int(F.lit(seed), F.col("draw"), digits=SHUFFLE_DIGITS) % F.col("n_total")).alias("pos")))
     t = tokens.where(F.col("split") == split).select("pos", "token_id")
     return t.join(F.broadcast(draws), "pos").select("draw", "pos", "token_id")

@@ -148,8 +148,8 @@ def q_perplexity(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- batching
-def _md5_sql(*parts: str) -> str:
-    return "('0x' || substr(md5(concat_ws('|', " + ", ".join(parts) + ")), 1, 7))::BIGINT"
+def _md5_sql(*parts: str, digits: int = 7) -> str:
+    return "('0x' || substr(md5(concat_ws('|', " + ", ".join(parts) + f")), 1, {digits}))::BIGINT"
 
 
 _EPOCH_SQL = with_ctes(
@@ -158,7 +158,7 @@ _EPOCH_SQL = with_ctes(
     f"(rn % {P.batch_size})::INT AS row_in_batch, rn // {P.batch_size} + 1 AS step FROM ep_rn) "
     f"WHERE (rn // {P.batch_size} + 1) * {P.batch_size} <= n",
     ["blocks"], P, extra={
-        "ep_x": (f"SELECT e.range::INT AS epoch, b.block_id, {_md5_sql(repr(str(P.seed)), 'CAST(e.range AS VARCHAR)', 'CAST(b.block_id AS VARCHAR)')} AS h "
+        "ep_x": (f"SELECT e.range::INT AS epoch, b.block_id, {_md5_sql(repr(str(P.seed)), 'CAST(e.range AS VARCHAR)', 'CAST(b.block_id AS VARCHAR)', digits=15)} AS h "
                  f"FROM blocks b CROSS JOIN range({P.epochs}) e WHERE b.split = 'train'"),
         "ep_rn": ("SELECT epoch, block_id, (row_number() OVER (PARTITION BY epoch ORDER BY h, block_id) - 1)::BIGINT AS rn, "
                   "count(*) OVER (PARTITION BY epoch) AS n FROM ep_x"),
@@ -196,7 +196,7 @@ SUBSET_SIZE = 50000  # size of the sampled position subset (reference constant)
 
 @register("sampled_positions", with_ctes(
     "SELECT d.draw, d.pos, t.token_id FROM (SELECT r.range AS draw, "
-    f"{_md5_sql(repr(str(P.seed)), 'CAST(r.range AS VARCHAR)')} % x.n_total AS pos "
+    f"{_md5_sql(repr(str(P.seed)), 'CAST(r.range AS VARCHAR)', digits=15)} % x.n_total AS pos "
     f"FROM range({SUBSET_SIZE}) r, totals x WHERE x.split = 'train') d "
     "JOIN tokens t ON t.split = 'train' AND t.pos = d.pos", ["tokens"]))
 def q_sampled_positions(spark, sf_dir):

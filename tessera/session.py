@@ -9,16 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, app: str = "tessera",
-                  shuffle_partitions: int = 8, **extra) -> SparkSession:
+                  shuffle_partitions: int | None = None, **extra) -> SparkSession:
     """A session tuned for these jobs. On a cluster pass ``master=None`` and let
-    spark-submit decide; ``shuffle_partitions`` is only the AQE starting point."""
+    spark-submit decide; ``shuffle_partitions`` (which AQE may lower, never
+    raise) is set only if asked for."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
     conf = {
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
-        "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -26,6 +26,8 @@ def build_session(master: str | None = None, app: str = "tessera",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
     }
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update({k: str(v) for k, v in extra.items()})
     for k, v in conf.items():
         b = b.config(k, v)
@@ -41,7 +43,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     A cluster names a shared folder there; we only choose our own when the
     setting is absent and the master is local (tests, laptops)."""
     sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
