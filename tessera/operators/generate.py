@@ -3,16 +3,17 @@
 Sampling is sequential per sample (each step needs the previous token), so it
 runs inside tasks: prompts x samples are ordinary rows spread over the
 cluster, and each task draws its samples step by step. The only shared state is
-the renormalised top-k table, at most ``k`` entries for each of the ``n_ids``
-contexts, a bound fixed by the parameters (not by the data); it is checked and
-sent once as a broadcast variable. Draws are reproducible: the uniform number
-of a step is an md5 of ``(seed, key, sample, step)``.
+the table of best continuations, ``k + 1`` entries for each of the ``n_ids``
+contexts at most, a bound fixed by the parameters (not by the data); it is
+checked and sent once as a broadcast variable. Draws are reproducible: the
+uniform number of a step is an md5 of ``(seed, key, sample, step)``.
 
-Rules (per step): ids are drawn from the context's top-k continuations with
-their renormalised probabilities; while the sequence (prompt included) is
-shorter than ``min_length`` eos is barred and the rest renormalised; the
-sequence stops at eos, at ``max_length`` ids, or at a context that never
-occurred in training (no continuation to draw from)."""
+Rules (per step): while the sequence (prompt included) is shorter than
+``min_length`` eos is barred; the next id is then drawn from the k best ids
+left, by their renormalised probabilities (hence ``k + 1`` in the table). After
+a context that never occurred in training all ids are equally likely, so the k
+best are the lowest ones; an empty prompt counts as such a context. The
+sequence stops at eos or at ``max_length`` ids."""
 
 from __future__ import annotations
 
@@ -31,20 +32,29 @@ def _uniform(seed: int, key, sample: int, step: int) -> float:
     return int(h, 16) / float(1 << 52)
 
 
-def _sample_one(prompt, table, eos, min_len, max_len, seed, key, sample):
+def _candidates(entry, k: int, eos: int, barred: bool):
+    """The k best ids of a table entry, eos left out if barred, and their
+    cumulated weights."""
+    nxt, pr = entry
+    if barred:
+        keep = nxt != eos
+        nxt, pr = nxt[keep], pr[keep]
+    return nxt[:k], np.cumsum(pr[:k])
+
+
+def _sample_one(prompt, table, k, n_ids, eos, min_len, max_len, seed, key, sample, memo=None):
+    """``memo`` keeps the cumulated weights of the contexts met so far."""
+    memo = {} if memo is None else memo
     seq = [int(x) for x in prompt]
     step = 0
     while len(seq) < max_len:
-        entry = table.get(seq[-1])
-        if entry is None:
-            break
-        nxt, pr = entry
-        if len(seq) < min_len:
-            keep = nxt != eos
-            nxt, pr = nxt[keep], pr[keep]
-            if len(nxt) == 0:
-                break
-        cdf = np.cumsum(pr)
+        last, barred = (seq[-1] if seq else None), len(seq) < min_len
+        if last not in table:
+            last = None
+        if (last, barred) not in memo:
+            low = np.arange(min(k + 1, n_ids))
+            memo[last, barred] = _candidates(table.get(last, (low, np.ones(len(low)))), k, eos, barred)
+        nxt, cdf = memo[last, barred]
         u = _uniform(seed, key, sample, step) * cdf[-1]
         i = int(np.searchsorted(cdf, u, side="right"))
         tok = int(nxt[min(i, len(nxt) - 1)])
@@ -56,17 +66,16 @@ def _sample_one(prompt, table, eos, min_len, max_len, seed, key, sample):
 
 
 def topk_arrays(bigrams: DataFrame, contexts: DataFrame, params: Params = Params()) -> dict:
-    """The renormalised top-k table as ``{prev: (next ids, probs)}``, after a
-    check that it respects its bound of ``n_ids * top_k`` entries."""
-    t = next_token_table(bigrams, contexts, params)
+    """The ``top_k + 1`` best continuations as ``{prev: (next ids, probs)}``, after
+    a check that the table respects its bound of ``n_ids * (top_k + 1)`` entries."""
+    t = next_token_table(bigrams, contexts, params, k=params.top_k + 1)
     g = t.groupBy("prev").agg(F.array_sort(F.collect_list(F.struct("rank", "next", "prob"))).alias("s"))
     g = g.select("prev", F.col("s.next").alias("nx"), F.col("s.prob").alias("pr"))
-    out, n = {}, 0
+    out = {}
     for r in g.toLocalIterator():
-        if len(r.nx) > params.top_k or len(out) >= params.n_ids:
-            raise ValueError("top-k table exceeds its bound of n_ids * top_k entries")
+        if len(r.nx) > params.top_k + 1 or len(out) >= params.n_ids:
+            raise ValueError("top-k table exceeds its bound of n_ids * (top_k + 1) entries")
         out[int(r.prev)] = (np.array(r.nx, dtype=np.int64), np.array(r.pr, dtype=np.float64))
-        n += len(r.nx)
     return out
 
 
@@ -77,14 +86,15 @@ def generate(prompts: DataFrame, bigrams: DataFrame, contexts: DataFrame, params
     ns = params.gen_samples if n_samples is None else n_samples
     spark = prompts.sparkSession
     bc = spark.sparkContext.broadcast(topk_arrays(bigrams, contexts, params))
+    k_best, n_ids = params.top_k, params.n_ids
     eos, lo, hi, seed = params.eos_id, params.gen_min_length, params.gen_max_length, params.gen_seed
     rows = prompts.select(F.col(key).cast("string").alias("key"), F.col(ids_col).alias("prompt_ids"),
                           F.explode(F.sequence(F.lit(0), F.lit(ns - 1))).alias("sample_no"))
 
     def run(it):
-        table = bc.value
+        table, memo = bc.value, {}
         for pdf in it:
-            out = [_sample_one(p, table, eos, lo, hi, seed, k, s)
+            out = [_sample_one(p, table, k_best, n_ids, eos, lo, hi, seed, k, s, memo)
                    for k, s, p in zip(pdf["key"], pdf["sample_no"], pdf["prompt_ids"])]
             yield pd.DataFrame({"key": pdf["key"], "sample_no": pdf["sample_no"],
                                 "prompt_len": [len(p) for p in pdf["prompt_ids"]], "ids": out})

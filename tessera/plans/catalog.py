@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tessera.config import Params
 from tessera.plans import corpus
 from tessera.plans.oracles import with_ctes
-from tessera.session import read_table
+from tessera.session import cut_lineage, read_table
 
-P = Params()
+P =Params()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -412,18 +412,28 @@ def q_alpha_selection(spark, sf_dir):
 
 
 @register("next_token_topk", with_ctes(
-    "SELECT prev::BIGINT AS prev, next::BIGINT AS next, rank::INT AS rank, round(p / sum(p) OVER (PARTITION BY prev), 6) AS prob "
-    "FROM (SELECT b.prev, b.next, (b.c::DOUBLE + " + str(float(P.alpha)) + ") / (x.c_total::DOUBLE + "
-    + str(float(P.alpha) * P.n_ids) + ") AS p, row_number() OVER (PARTITION BY b.prev ORDER BY "
-    "(b.c::DOUBLE + " + str(float(P.alpha)) + ") / (x.c_total::DOUBLE + " + str(float(P.alpha) * P.n_ids)
-    + ") DESC, b.next) AS rank FROM bigrams b JOIN contexts x ON x.prev = b.prev) WHERE rank <= " + str(P.top_k),
-    ["contexts"]))
+    "SELECT prev::BIGINT AS prev, count(*)::INT AS n_next, array_to_string(list(next ORDER BY rank), ' ') AS next_ids, "
+    "array_to_string(list(ppm ORDER BY rank), ' ') AS probs_ppm FROM (SELECT prev, next, rank, "
+    "round(w / sum(w) OVER (PARTITION BY prev) * 1000000)::BIGINT AS ppm FROM topk) GROUP BY prev",
+    ["contexts"], P, extra={
+        # every id that can rank among the top k: the seen ones, and the first 2k ids
+        "cand": ("SELECT prev, next::BIGINT AS next FROM bigrams UNION "
+                 f"SELECT x.prev, r.range AS next FROM contexts x, range({min(2 * P.top_k, P.n_ids)}) r"),
+        "topk": (f"SELECT * FROM (SELECT d.prev, d.next, coalesce(b.c, 0)::DOUBLE + {float(P.alpha)} AS w, "
+                 "row_number() OVER (PARTITION BY d.prev ORDER BY coalesce(b.c, 0) DESC, d.next) AS rank "
+                 "FROM cand d LEFT JOIN bigrams b ON b.prev = d.prev AND b.next = d.next) "
+                 f"WHERE rank <= {P.top_k}"),
+    }))
 def q_next_token_topk(spark, sf_dir):
-    """Per context the top-100 next ids, renormalised."""
+    """Per context the top-100 next ids in rank order and their renormalised
+    probabilities in millionths."""
     from tessera.operators.ngram import next_token_table
     ev = corpus.evaluate(_prep(spark, sf_dir), P)
     t = next_token_table(ev["bigrams"], ev["contexts"], P)
-    return t.select("prev", "next", "rank", _r(F.col("prob")).alias("prob"))
+    row = F.struct("rank", "next", F.round(F.col("prob") * 1000000).cast("bigint").alias("ppm"))
+    g = t.groupBy("prev").agg(F.array_sort(F.collect_list(row)).alias("e"))
+    return g.select(F.col("prev").cast("bigint").alias("prev"), F.size("e").alias("n_next"),
+                    F.array_join("e.next", " ").alias("next_ids"), F.array_join("e.ppm", " ").alias("probs_ppm"))
 
 
 # ---------------------------------------------------------------- byte-level BPE
@@ -510,7 +520,8 @@ def q_generate_samples(spark, sf_dir):
     conv = conv.select(F.concat_ws(":", "conv_id", "turn").alias("key"), "text")
     toks = encode_tokens(with_words(conv, P), prep.vocab, P, keys=("key",), truncate=False, append_eos=False)
     prompts = tokenized_rows(toks, keys=("key",)).select("key", F.col("ids").alias("prompt_ids"))
-    out = generate(prompts, ev["bigrams"], ev["contexts"], P, key="key", ids_col="prompt_ids")
+    # stored: decoding and the final join read the samples, they don't draw them again
+    out = cut_lineage(generate(prompts, ev["bigrams"], ev["contexts"], P, key="key", ids_col="prompt_ids"))
     dec = decode(out, prep.vocab, "ids", ["key", "sample_no"], P, skip_special=True)
     return (out.join(dec, ["key", "sample_no"])
             .select("key", "sample_no", "prompt_len", "len", F.size("attention_mask").alias("mask_len"), "text"))

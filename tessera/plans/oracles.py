@@ -56,9 +56,9 @@ def ctes(p: Params = Params()) -> dict[str, str]:
                  f"SELECT t.split, t.pos, t.token_id, (t.pos // {B})::BIGINT AS block_id FROM tokens t "
                  f"JOIN totals USING (split) WHERE (t.pos // {B}) * {B} + {B} <= n_total"),
         "blocks": "SELECT split, block_id, list(token_id ORDER BY pos) AS tokens FROM btok GROUP BY split, block_id",
-        "pairs": ("SELECT a.split, a.block_id, a.pos - a.block_id * " + str(B) + " AS t, a.token_id AS prev, "
-                  "b.token_id AS next FROM btok a JOIN btok b ON a.split = b.split AND b.pos = a.pos + 1 "
-                  "AND a.block_id = b.block_id"),
+        "pairs": (f"SELECT * FROM (SELECT split, block_id, pos - block_id * {B} AS t, token_id AS prev, "
+                  "lead(token_id) OVER (PARTITION BY split, block_id ORDER BY pos) AS next FROM btok) "
+                  "WHERE next IS NOT NULL"),
         "bigrams": "SELECT prev, next, count(*)::BIGINT AS c FROM pairs WHERE split = 'train' GROUP BY prev, next",
         "contexts": "SELECT prev, sum(c)::BIGINT AS c_total FROM bigrams GROUP BY prev",
         "ep": ("SELECT p.split, p.block_id, "
