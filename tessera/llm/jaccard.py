@@ -223,10 +223,14 @@ class Region:
 def _search(key, table):
     """One region (or ring, or block pair): links of each class and its parent."""
     import pyarrow as pa
-    rows = {r["cid"]: r for r in table.to_pylist()}            # repeated rows carry equal sets
+    # repeated rows carry equal sets; the sets stay in Arrow's memory
+    rows = {r["cid"]: r | {"at": n} for n, r in enumerate(table.drop_columns(["tokens"]).to_pylist())}
     ids = sorted(rows)
     pivot = key[0].as_py()
-    sets = [np.array(rows[i]["tokens"], np.int64) for i in ids]
+    lists = table.column("tokens").combine_chunks()
+    lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
+    flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
+    sets = [flat[(ends[rows[i]["at"] - 1] if rows[i]["at"] else 0):ends[rows[i]["at"]]] for i in ids]
     side = [rows[i]["side"] for i in ids]
     parent, links = list(range(len(ids))), [0] * len(ids)
 
