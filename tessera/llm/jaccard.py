@@ -9,10 +9,13 @@ All pairs of documents whose sets of five-word shingles have a similarity of
    bound (``RATE`` of all); most classes end here. Tasks combine their own
    documents first, so a shingle that a third of all documents share sends one
    row per task chunk.
-3. Pivots: in each group of classes that share one of the first n/5 + 1
-   shingles of their ordered sets (partners always do), the class of least
-   seeded hash is the pivot. A class belongs to the regions of all pivots of
-   its groups, so partners always meet in a region.
+3. Pivots: the shingles have one order for all sets: first those below the
+   bound, rare ones before frequent ones, then the others by hash. In each group
+   of classes that share one of the first n/5 + 1 shingles (partners always
+   do), the class of least seeded hash is the pivot. A class belongs to the
+   regions of all pivots of its groups, so partners always meet in a region. A
+   region all of whose classes also lie in the region of one earlier pivot is
+   left out (looked for among the ``LEAST`` first pivots of each class).
 4. A region of more than ``REGION`` classes is cut into rings of width 0.2 by
    distance to its pivot; by the triangle inequality partners lie in the same
    or in neighbouring rings, so each class is replicated to the next ring only.
@@ -46,6 +49,7 @@ RADIUS = 1 - NUM / DEN        # distance of partners
 RATE = 0.3                    # share of the shingle hashes that step 2 looks at
 BOUND = int(RATE * 2 ** 63)
 CHUNK_TOKENS = 2_000_000      # shingles that a task combines at once in step 2
+LEAST = 4                     # earlier pivots of a class that may make a region superfluous
 REGION = 2048                 # classes of a region that one task compares
 SEND_ROWS = 2_000_000         # survivors up to this many are broadcast (8 bytes each), else joined by shuffle
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -264,7 +268,7 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 
 def survivors(docs: DataFrame, prof: DataFrame) -> DataFrame:
-    """Stored: classes that may have partners: cid, rk (of one row), weight."""
+    """Stored: classes that may have partners: cid, rk (of one row), weight, n, e."""
     rows = docs.select(text_of().alias("text")).mapInArrow(_tokens, "token long, cid long, own long")
     same = Window.partitionBy("token")
     live = rows.withColumn("live", F.when(F.col("token") < 0, F.col("own")).otherwise(
@@ -273,7 +277,7 @@ def survivors(docs: DataFrame, prof: DataFrame) -> DataFrame:
         .groupBy("cid").agg((F.sum("live") / F.sum((F.col("token") < 0).cast("long"))).alias("live"))
     classes = prof.where("n > 0").groupBy("cid").agg(F.min("rk").alias("rk"), F.count("*").alias("weight"), F.max("n").alias("n"), F.max("e").alias("e"))
     may = classes.join(live, "cid").where(F.col("live") >= F.col("e") - F.floor(F.col("n") * (DEN - NUM) / DEN))
-    return store(may.select("cid", "rk", "weight"), "survivors")
+    return store(may.select("cid", "rk", "weight", "n", "e"), "survivors")
 
 
 def members(docs: DataFrame, alive: DataFrame) -> DataFrame:
@@ -286,30 +290,45 @@ def members(docs: DataFrame, alive: DataFrame) -> DataFrame:
     return store(sets, "sets")
 
 
-def regions(sets: DataFrame, alive: DataFrame) -> DataFrame:
-    """One row per region and class: cid, tokens, weight, pivots, pivot, k."""
-    first = F.slice("tokens", 1, (F.floor(F.size("tokens") * (DEN - NUM) / DEN) + 1).cast("int"))
-    groups = sets.select("cid", F.explode(first).alias("token"))
+def regions(sets: DataFrame, alive: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One row per region and class: cid, tokens, weight, pivots, pivot, k; and
+    stored, one row per region: pivot, k."""
+    before = F.size(F.filter("tokens", lambda t: t < BOUND))                  # shingles below the bound come first
+    first = (F.floor(F.size("tokens") * (DEN - NUM) / DEN) + 1).cast("int")
+    offers = sets.select("cid", F.explode(F.slice("tokens", 1, F.greatest(before, first))).alias("token"))
     seeded = F.struct(F.xxhash64("cid").alias("h"), F.col("cid").alias("pivot"))
-    pivots = groups.groupBy("token").agg(F.min(seeded).alias("p"), F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b") \
-        .select("token", "p.pivot")
-    member = store(groups.join(pivots, "token").select("cid", "pivot").distinct(), "regions")
-    size = member.groupBy("pivot").agg(F.count("*").alias("k")).where("k > 1")
-    own = member.join(size, "pivot").groupBy("cid").agg(F.collect_list(F.struct("pivot", "k")).alias("in")) \
-        .join(alive.select("cid", "weight"), "cid").withColumn("pivots", F.col("in.pivot"))
+    pivots = offers.groupBy("token").agg(F.min(seeded).alias("p"), F.count("*").alias("often"), F.min("cid").alias("a"), F.max("cid").alias("b")) \
+        .where("a <> b").select("token", F.when(F.col("token") < BOUND, F.col("often")).otherwise(2 ** 62).alias("often"), "p.pivot")
+    found = offers.join(store(pivots, "pivots"), "token").groupBy("cid").agg(F.sort_array(F.collect_set(F.struct("often", "token", "pivot"))).alias("found"))
+    # shingles of one class only come first in the order; they take places but form no group
+    low = F.size(F.filter("found", lambda x: x["token"] < BOUND))
+    need = (F.floor(F.col("n") * (DEN - NUM) / DEN) + 1 - F.col("e") + low).cast("int")
+    order = lambda p: F.struct(F.xxhash64(p).alias("h"), p.alias("pivot"))
+    mine = found.join(alive.select("cid", "weight", "n", "e"), "cid").withColumn("taken", F.slice("found", 1, F.greatest(need, F.lit(0)))) \
+        .select("cid", "weight", F.sort_array(F.array_distinct(F.transform("taken", lambda x: order(x["pivot"])))).alias("order"))
+    mine = store(mine, "regions")
+    each = mine.select("cid", "weight", F.explode("order").alias("o"), F.slice("order", 1, LEAST).alias("least"))
+    size = each.groupBy("o").agg(F.count("*").alias("k")).where("k > 1")
+    # a region all of whose classes meet in one of an earlier pivot has nothing to add
+    shared = each.select("o", F.explode("least").alias("other")).where("other < o").groupBy("o", "other").agg(F.count("*").alias("shared"))
+    covered = shared.join(size, "o").where("shared = k").select("o").distinct()
+    open_ = store(size.join(covered, "o", "left_anti").select("o.pivot", "k"), "pivots")
+    own = each.select("cid", "weight", "o.pivot").join(open_, "pivot").groupBy("cid") \
+        .agg(F.max("weight").alias("weight"), F.collect_list(F.struct("pivot", "k")).alias("in")).withColumn("pivots", F.col("in.pivot"))
     # the set travels once to its class, then once to each of its regions
-    return sets.join(own, "cid").select("cid", "tokens", "weight", "pivots", F.explode("in").alias("r")) \
+    inside = sets.join(own, "cid").select("cid", "tokens", "weight", "pivots", F.explode("in").alias("r")) \
         .select("cid", "tokens", "weight", "pivots", "r.pivot", "r.k")
+    return inside, open_
 
 
-def pieces(inside: DataFrame, sets: DataFrame) -> DataFrame:
+def pieces(inside: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
     """Cut large regions into rings and block pairs. ``side`` is null for rows
     that compare with all, else rows of equal side don't compare."""
     cols = ["pivot", "cid", "weight", "tokens", "pivots"]
     none = F.lit(None).cast("int")
     small = inside.where(F.col("k") <= REGION).select(*cols, F.lit(0).alias("ring"), F.lit(0).alias("i"), F.lit(0).alias("j"), none.alias("side"))
     large = inside.where(F.col("k") > REGION)
-    centre = sets.join(large.select(F.col("pivot").alias("cid")).distinct(), "cid", "left_semi").dropDuplicates(["cid"]) \
+    centre = sets.join(sizes.where(F.col("k") > REGION).select(F.col("pivot").alias("cid")), "cid", "left_semi").dropDuplicates(["cid"]) \
         .select(F.col("cid").alias("pivot"), F.col("tokens").alias("centre"))
     same = F.size(F.array_intersect("tokens", "centre"))
     d = 1 - same / (F.size("tokens") + F.size("centre") - same)
@@ -333,7 +352,7 @@ def link_classes(docs: DataFrame, prof: DataFrame) -> DataFrame:
     """Stored: cid, up, links, one row per class and region with a partner."""
     alive = survivors(docs, prof)
     sets = members(docs, alive)
-    cut = pieces(regions(sets, alive), sets)
+    cut = pieces(*regions(sets, alive), sets)
     return store(cut.groupBy("pivot", "ring", "i", "j").applyInArrow(_search, "cid long, up long, links long"), "links")
 
 
