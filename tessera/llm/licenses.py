@@ -1,8 +1,9 @@
 """License scan by ordered signature rules.
 
 ``rules()`` crosses license names with notice forms (grant, heading, identifier,
-address) into some hundreds of patterns over the folded words of a text. A
-keyword must occur before its rules run (prefilter). Of overlapping detections
+address) into some hundreds of patterns over the folded words of a text. One of
+a rule's keywords must occur before it runs (prefilter); they are read off the
+pattern, which can't match without one of them. Of overlapping detections
 the one of higher priority, then the longer, then the earlier stays; one whose
 words lie inside a kept one's is suppressed (interval containment).
 
@@ -25,43 +26,43 @@ from tessera.llm.common import small_batches, text_of
 # fixed values: the contract's phrases and their labels
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 
-# Names as folded words (a pattern), label, keyword. Hand-written; the notice
-# forms below turn each into several rules.
+# Names as folded words (a pattern), label. Hand-written; the notice forms below
+# turn each into several rules.
 NAMES = [
-    (r"mit(?: x11)?", "mit", "mit"), (r"x11", "x11", "x11"), (r"mit 0|mit no attribution", "mit-0", "mit"),
-    (r"apache(?: software)?(?: license)?(?: version)? 2(?: 0)?", "apache-2", "apache"),
-    (r"apache(?: software)?(?: license)?(?: version)? 1 1", "apache-1.1", "apache"),
-    (r"(?:the )?(?:new |modified |revised |3 clause |three clause )bsd(?: 3 clause)?|bsd 3 clause", "bsd-3-clause", "bsd"),
-    (r"(?:simplified |2 clause |two clause |freebsd )bsd|bsd 2 clause", "bsd-2-clause", "bsd"),
-    (r"(?:4 clause |original )bsd|bsd 4 clause", "bsd-4-clause", "bsd"), (r"bsd style|bsd", "bsd", "bsd"), (r"0bsd|bsd zero clause", "0bsd", "bsd"),
-    (r"(?:gnu )?affero general public license(?: version| v)? ?3(?: 0)?|(?:gnu )?agpl ?v?3(?: 0)?", "agpl-3", "a"),
-    (r"(?:gnu )?affero general public license|(?:gnu )?agpl", "agpl", "a"),
-    (r"(?:gnu )?lesser general public license(?: version| v)? ?3(?: 0)?|(?:gnu )?lgpl ?v?3(?: 0)?", "lgpl-3", "l"),
-    (r"(?:gnu )?lesser general public license(?: version| v)? ?2 1|(?:gnu )?lgpl ?v?2 1", "lgpl-2.1", "l"),
-    (r"(?:gnu )?(?:lesser|library) general public license|(?:gnu )?lgpl", "lgpl", "l"),
-    (r"(?:gnu )?general public license(?: version| v)? ?3(?: 0)?|(?:gnu )?gpl ?v?3(?: 0)?", "gpl-3", "g"),
-    (r"(?:gnu )?general public license(?: version| v)? ?2(?: 0)?|(?:gnu )?gpl ?v?2(?: 0)?", "gpl-2", "g"),
-    (r"(?:gnu )?general public license|(?:gnu )?gpl", "gpl", "g"), (r"gnu free documentation license|gfdl", "gfdl", "g"),
-    (r"mozilla public license(?: version| v)? ?2(?: 0)?|mpl ?2(?: 0)?", "mpl-2", "m"), (r"mozilla public license|mpl", "mpl", "m"),
-    (r"eclipse public license(?: version| v)? ?2(?: 0)?|epl 2(?: 0)?", "epl-2", "e"), (r"eclipse public license|epl", "epl", "e"),
-    (r"common development and distribution license|cddl", "cddl", "c"), (r"common public license|cpl 1 0", "cpl", "c"),
-    (r"creative commons zero|cc0(?: 1 0)?", "cc0", "c"),
-    (r"(?:creative commons|cc) (?:by|attribution) (?:nc|non ?commercial) (?:sa|share ?alike)(?: [234] [05])?", "cc-by-nc-sa", "c"),
-    (r"(?:creative commons|cc) (?:by|attribution) (?:nc|non ?commercial) (?:nd|no ?derivatives)(?: [234] [05])?", "cc-by-nc-nd", "c"),
-    (r"(?:creative commons|cc) (?:by|attribution) (?:nc|non ?commercial)(?: [234] [05])?", "cc-by-nc", "c"),
-    (r"(?:creative commons|cc) (?:by|attribution) (?:sa|share ?alike)(?: [234] [05])?", "cc-by-sa", "c"),
-    (r"(?:creative commons|cc) (?:by|attribution) (?:nd|no ?derivatives)(?: [234] [05])?", "cc-by-nd", "c"),
-    (r"(?:creative commons|cc) (?:by|attribution)(?: [234] [05])?", "cc-by", "c"),
-    (r"isc", "isc", "isc"), (r"zlib(?: libpng)?", "zlib", "zlib"), (r"boost software license(?: version)?(?: 1 0)?|bsl 1 0", "bsl-1", "b"),
-    (r"artistic license(?: version)? 2(?: 0)?", "artistic-2", "artistic"), (r"artistic license", "artistic", "artistic"),
-    (r"unlicense", "unlicense", "unlicense"), (r"wtfpl|do what the f\w+ you want to public license", "wtfpl", "w"),
-    (r"python software foundation license|psf", "psf", "p"), (r"postgresql license", "postgresql", "postgresql"),
-    (r"open software license(?: version)?(?: 3(?: 0)?)?|osl 3 0", "osl", "o"), (r"academic free license|afl 3 0", "afl", "a"),
-    (r"european union public licen[cs]e|eupl", "eupl", "eu"), (r"open data commons(?: open database license)?|odbl", "odbl", "od"),
-    (r"sil open font license|ofl(?: 1 1)?", "ofl", "of"), (r"microsoft public license|ms pl", "ms-pl", "m"),
-    (r"business source license|busl", "busl", "bus"), (r"server side public license|sspl", "sspl", "s"),
-    (r"elastic license(?: 2 0)?", "elastic", "elastic"), (r"commons clause", "commons-clause", "commons"),
-    (r"beerware", "beerware", "beerware"), (r"vim license", "vim", "vim"), (r"ruby license", "ruby", "ruby"), (r"php license", "php", "php"),
+    (r"mit(?: x11)?", "mit"), (r"x11", "x11"), (r"mit 0|mit no attribution", "mit-0"),
+    (r"apache(?: software)?(?: license)?(?: version)? 2(?: 0)?", "apache-2"),
+    (r"apache(?: software)?(?: license)?(?: version)? 1 1", "apache-1.1"),
+    (r"(?:the )?(?:new |modified |revised |3 clause |three clause )bsd(?: 3 clause)?|bsd 3 clause", "bsd-3-clause"),
+    (r"(?:simplified |2 clause |two clause |freebsd )bsd|bsd 2 clause", "bsd-2-clause"),
+    (r"(?:4 clause |original )bsd|bsd 4 clause", "bsd-4-clause"), (r"bsd style|bsd", "bsd"), (r"0bsd|bsd zero clause", "0bsd"),
+    (r"(?:gnu )?affero general public license(?: version| v)? ?3(?: 0)?|(?:gnu )?agpl ?v?3(?: 0)?", "agpl-3"),
+    (r"(?:gnu )?affero general public license|(?:gnu )?agpl", "agpl"),
+    (r"(?:gnu )?lesser general public license(?: version| v)? ?3(?: 0)?|(?:gnu )?lgpl ?v?3(?: 0)?", "lgpl-3"),
+    (r"(?:gnu )?lesser general public license(?: version| v)? ?2 1|(?:gnu )?lgpl ?v?2 1", "lgpl-2.1"),
+    (r"(?:gnu )?(?:lesser|library) general public license|(?:gnu )?lgpl", "lgpl"),
+    (r"(?:gnu )?general public license(?: version| v)? ?3(?: 0)?|(?:gnu )?gpl ?v?3(?: 0)?", "gpl-3"),
+    (r"(?:gnu )?general public license(?: version| v)? ?2(?: 0)?|(?:gnu )?gpl ?v?2(?: 0)?", "gpl-2"),
+    (r"(?:gnu )?general public license|(?:gnu )?gpl", "gpl"), (r"gnu free documentation license|gfdl", "gfdl"),
+    (r"mozilla public license(?: version| v)? ?2(?: 0)?|mpl ?2(?: 0)?", "mpl-2"), (r"mozilla public license|mpl", "mpl"),
+    (r"eclipse public license(?: version| v)? ?2(?: 0)?|epl 2(?: 0)?", "epl-2"), (r"eclipse public license|epl", "epl"),
+    (r"common development and distribution license|cddl", "cddl"), (r"common public license|cpl 1 0", "cpl"),
+    (r"creative commons zero|cc0(?: 1 0)?", "cc0"),
+    (r"(?:creative commons|cc) (?:by|attribution) (?:nc|non ?commercial) (?:sa|share ?alike)(?: [234] [05])?", "cc-by-nc-sa"),
+    (r"(?:creative commons|cc) (?:by|attribution) (?:nc|non ?commercial) (?:nd|no ?derivatives)(?: [234] [05])?", "cc-by-nc-nd"),
+    (r"(?:creative commons|cc) (?:by|attribution) (?:nc|non ?commercial)(?: [234] [05])?", "cc-by-nc"),
+    (r"(?:creative commons|cc) (?:by|attribution) (?:sa|share ?alike)(?: [234] [05])?", "cc-by-sa"),
+    (r"(?:creative commons|cc) (?:by|attribution) (?:nd|no ?derivatives)(?: [234] [05])?", "cc-by-nd"),
+    (r"(?:creative commons|cc) (?:by|attribution)(?: [234] [05])?", "cc-by"),
+    (r"isc", "isc"), (r"zlib(?: libpng)?", "zlib"), (r"boost software license(?: version)?(?: 1 0)?|bsl 1 0", "bsl-1"),
+    (r"artistic license(?: version)? 2(?: 0)?", "artistic-2"), (r"artistic license", "artistic"),
+    (r"unlicense", "unlicense"), (r"wtfpl|do what the f\w+ you want to public license", "wtfpl"),
+    (r"python software foundation license|psf", "psf"), (r"postgresql license", "postgresql"),
+    (r"open software license(?: version)?(?: 3(?: 0)?)?|osl 3 0", "osl"), (r"academic free license|afl 3 0", "afl"),
+    (r"european union public licen[cs]e|eupl", "eupl"), (r"open data commons(?: open database license)?|odbl", "odbl"),
+    (r"sil open font license|ofl(?: 1 1)?", "ofl"), (r"microsoft public license|ms pl", "ms-pl"),
+    (r"business source license|busl", "busl"), (r"server side public license|sspl", "sspl"),
+    (r"elastic license(?: 2 0)?", "elastic"), (r"commons clause", "commons-clause"),
+    (r"beerware", "beerware"), (r"vim license", "vim"), (r"ruby license", "ruby"), (r"php license", "php"),
 ]
 # notice forms: priority, confidence, pattern around the name
 FORMS = [
@@ -72,15 +73,15 @@ FORMS = [
     (2, 0.8, r"licen[cs]e (?:is |type )?(?:{})"),
     (1, 0.6, r"(?:{})"),
 ]
-# signatures of full texts and proprietary notices: pattern, label, keyword, priority, confidence
+# signatures of full texts and proprietary notices: pattern, label, priority, confidence
 TEXTS = [
-    (r"permission is hereby granted free of charge to any person obtaining a copy", "mit", "granted", 6, 1.0),
-    (r"permission to use copy modify and or distribute this software for any purpose", "isc", "permission", 6, 1.0),
-    (r"redistribution and use in source and binary forms with or without modification", "bsd", "redistribution", 6, 0.9),
-    (r"this is free and unencumbered software released into the public domain", "unlicense", "unencumbered", 6, 1.0),
-    (r"released into the public domain|dedicated to the public domain", "public-domain", "domain", 4, 0.8),
-    (r"all rights reserved", "all-rights-reserved", "reserved", 1, 0.5),
-    (r"proprietary and confidential|confidential and proprietary", "proprietary", "proprietary", 2, 0.7),
+    (r"permission is hereby granted free of charge to any person obtaining a copy", "mit", 6, 1.0),
+    (r"permission to use copy modify and or distribute this software for any purpose", "isc", 6, 1.0),
+    (r"redistribution and use in source and binary forms with or without modification", "bsd", 6, 0.9),
+    (r"this is free and unencumbered software released into the public domain", "unlicense", 6, 1.0),
+    (r"released into the public domain|dedicated to the public domain", "public-domain", 4, 0.8),
+    (r"all rights reserved", "all-rights-reserved", 1, 0.5),
+    (r"proprietary and confidential|confidential and proprietary", "proprietary", 2, 0.7),
 ]
 # names too short to count without a license notice around them
 BARE_NEEDS_NOTICE = {"mit", "x11", "bsd", "isc", "zlib", "psf", "epl", "mpl", "afl", "ofl", "vim", "ruby", "php", "ms-pl", "osl", "gpl", "lgpl", "agpl"}
@@ -88,32 +89,89 @@ BARE_NEEDS_NOTICE = {"mit", "x11", "bsd", "isc", "zlib", "psf", "epl", "mpl", "a
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
-def rules() -> list[tuple[str, str, str, int, float]]:
-    """(pattern, label, keyword, priority, confidence), highest priority first."""
-    out = [r for r in TEXTS]
-    for name, label, keyword in NAMES:
+MOST_KEYWORDS = 16
+
+
+def keywords(pattern: str) -> tuple[bytes, ...]:
+    """Strings of which one occurs, with a blank before and after the text, in
+    every text that ``pattern`` matches as whole words."""
+    from re import _parser as parser
+
+    def exact(item) -> set[str] | None:
+        """All strings that the item matches, if they are few."""
+        op, arg = str(item[0]), item[1]
+        if op == "LITERAL":
+            return {chr(arg)}
+        if op == "IN" and all(str(k) == "LITERAL" for k, _ in arg):
+            return {chr(c) for _, c in arg}
+        if op == "SUBPATTERN":
+            return whole(arg[-1])
+        if op == "BRANCH":
+            parts = [whole(x) for x in arg[1]]
+            return None if None in parts else set().union(*parts)
+        if op == "MAX_REPEAT" and arg[:2] == (0, 1):
+            part = whole(arg[2])
+            return None if part is None else part | {""}
+        return None
+
+    def whole(items) -> set[str] | None:
+        out = {""}
+        for item in items:
+            part = exact(item)
+            if part is None or len(out) * len(part) > MOST_KEYWORDS:
+                return None
+            out = {x + y for x in out for y in part}
+        return out
+
+    def needed(items) -> set[str]:
+        """The best set of which each match has a member; {""} says nothing."""
+        runs = [{""}]
+        for item in items:
+            op, arg = str(item[0]), item[1]
+            part = exact(item)
+            if part is not None and len(runs[-1]) * len(part) <= MOST_KEYWORDS:
+                runs[-1] = {x + y for x in runs[-1] for y in part}
+            elif part is not None:
+                runs.append(part)
+            else:
+                if op == "SUBPATTERN":
+                    runs.append(needed(arg[-1]))
+                elif op == "BRANCH":
+                    runs.append(set().union(*map(needed, arg[1])))
+                runs.append({""})
+        return max(runs, key=lambda r: min(map(len, r)))
+
+    found = needed(parser.parse(f" (?:{pattern}) "))
+    return tuple(sorted(k.encode() for k in found if not any(o != k and o in k for o in found)))
+
+
+def rules() -> list[tuple[str, str, tuple[bytes, ...], int, float]]:
+    """(pattern, label, keywords, priority, confidence), highest priority first."""
+    out = [(pattern, label, keywords(pattern), priority, confidence) for pattern, label, priority, confidence in TEXTS]
+    for name, label in NAMES:
+        keys = keywords(name)                       # each form has the name as whole words
         for priority, confidence, form in FORMS:
             if priority > 1 or label not in BARE_NEEDS_NOTICE:
-                out.append((form.format(name), label, keyword if len(keyword) > 2 else "licen", priority, confidence))
+                out.append((form.format(name), label, keys, priority, confidence))
     for pattern, label in BASE:
-        out.append((pattern, label, pattern.split()[0], 3, 0.9))
+        out.append((pattern, label, keywords(pattern), 3, 0.9))
     return sorted(out, key=lambda r: -r[3])
 
 
 def compiled():
     bounded = lambda p: re.compile((rf"(?<![^ ])(?:{p})(?![^ ])").encode())
-    return [(bounded(p), label, kw.encode(), prio, conf) for p, label, kw, prio, conf in rules()]
-
-
-GATE = re.compile(rb"licen|mit|apache|bsd|gpl|public|creative|cc0|cc by|spdx|unlicense|wtfpl|beerware|reserved|proprietary"
-                  rb"|granted|permission|redistribution|unencumbered|domain|zlib|isc|postgresql|artistic|elastic|commons")
+    return [(bounded(p), label, keys, prio, conf) for p, label, keys, prio, conf in rules()]
 
 
 def scan(folded: bytes, table) -> list[tuple[int, int, str, float]]:
     """Kept detections of one folded text: (first byte, end byte, label, confidence)."""
     found = []
-    for order, (pattern, label, keyword, priority, confidence) in enumerate(table):
-        if keyword in folded:
+    padded = b" " + folded + b" "
+    seen: dict[tuple[bytes, ...], bool] = {}     # rules of one name share their keywords
+    for order, (pattern, label, keys, priority, confidence) in enumerate(table):
+        if keys not in seen:
+            seen[keys] = any(k in padded for k in keys)
+        if seen[keys]:
             for m in pattern.finditer(folded):
                 found.append((-priority, m.start() - m.end(), m.start(), order, m.end(), label, confidence))
     found.sort()
@@ -161,9 +219,7 @@ def _scan_batches(batches):
             words = text.encode("utf-8", "replace").translate(_FOLD).split()
             folded = b" ".join(words)
             first = last = None
-            base, kept = [], []
-            if GATE.search(folded):
-                base, kept = base_places(folded), scan(folded, table)
+            base, kept = base_places(folded), scan(folded, table)
             if base:
                 first, last = folded.count(b" ", 0, base[0][0]), folded.count(b" ", 0, base[-1][0])
             own = {label for _, label in base}
