@@ -230,12 +230,12 @@ def _search(key, table):
     # repeated rows carry equal sets; the sets stay in Arrow's memory
     rows = {r["cid"]: r | {"at": n} for n, r in enumerate(table.drop_columns(["tokens"]).to_pylist())}
     ids = sorted(rows)
-    pivot = key[0].as_py()
+    pivot, _, block_i, block_j = (k.as_py() for k in key)
     lists = table.column("tokens").combine_chunks()
     lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
     flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
     sets = [flat[(ends[rows[i]["at"] - 1] if rows[i]["at"] else 0):ends[rows[i]["at"]]] for i in ids]
-    side = [rows[i]["side"] for i in ids]
+    block, guest = [rows[i]["b"] for i in ids], [rows[i]["guest"] for i in ids]
     parent, links = list(range(len(ids))), [0] * len(ids)
 
     def top(x):
@@ -247,7 +247,7 @@ def _search(key, table):
     found = Region(sets).pairs(np.arange(len(ids))) if len(ids) > 1 else []
     for i, j in found:
         a, b = rows[ids[i]], rows[ids[j]]
-        if (side[i] and side[j]) and side[i] == side[j]:
+        if (guest[i] and guest[j]) or (block_i != block_j and block[i] == block[j]):
             continue                                           # both belong to another block pair or ring
         if min(set(a["pivots"]) & set(b["pivots"])) != pivot:
             continue                                           # counted in another region
@@ -322,11 +322,11 @@ def regions(sets: DataFrame, alive: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def pieces(inside: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Cut large regions into rings and block pairs. ``side`` is null for rows
-    that compare with all, else rows of equal side don't compare."""
+    """Cut large regions into rings and block pairs. ``b`` is a row's block and
+    ``guest`` tells rows of the ring below: two guests don't compare, nor do rows
+    of one block in a pair of different blocks."""
     cols = ["pivot", "cid", "weight", "tokens", "pivots"]
-    none = F.lit(None).cast("int")
-    small = inside.where(F.col("k") <= REGION).select(*cols, F.lit(0).alias("ring"), F.lit(0).alias("i"), F.lit(0).alias("j"), none.alias("side"))
+    small = inside.where(F.col("k") <= REGION).select(*cols, *[F.lit(0).alias(x) for x in ("ring", "i", "j", "b")], F.lit(False).alias("guest"))
     large = inside.where(F.col("k") > REGION)
     centre = sets.join(sizes.where(F.col("k") > REGION).select(F.col("pivot").alias("cid")), "cid", "left_semi").dropDuplicates(["cid"]) \
         .select(F.col("cid").alias("pivot"), F.col("tokens").alias("centre"))
@@ -341,10 +341,7 @@ def pieces(inside: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
     cut = ringed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.withColumn("i", F.least("b", "other")).withColumn("j", F.greatest("b", "other"))
     # a pair of guests belongs to the ring below; a pair of one block to (b, b)
-    guest = F.col("own") < F.col("ring")
-    side = F.when(F.col("i") == F.col("j"), F.when(guest, F.lit(1))) \
-        .otherwise(F.when(F.col("b") == F.col("i"), F.lit(2)).otherwise(F.lit(3)) + F.when(guest, F.lit(10)).otherwise(F.lit(0)))
-    cut = cut.select(*cols, "ring", "i", "j", side.cast("int").alias("side"))
+    cut = cut.select(*cols, "ring", "i", "j", "b", (F.col("own") < F.col("ring")).alias("guest"))
     return small.unionByName(cut)
 
 

@@ -22,3 +22,14 @@ def test_licenses_without_the_word_license(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     rows = scan_licenses(docs).collect()
     assert {r["doc_id"]: r["labels"] for r in rows} == dict(enumerate(texts.values())) and all(r["score"] > 0 for r in rows)
+
+
+def test_jaccard_counts_each_link_once(spark, monkeypatch):
+    from tessera.llm import jaccard
+    monkeypatch.setattr(jaccard, "REGION", 4)          # rings of own rows and guests, cut into several blocks
+    words = [f"w{i}" for i in range(180)]
+    texts = [" ".join(words[k:k + 100]) for k in range(70)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard.near_duplicates(docs).collect()}
+    # texts k and k + d share 96 - d of 96 + d shingles
+    assert got == {k: (96, 0, sum(j != k and 100 * (96 - abs(j - k)) >= 80 * (96 + abs(j - k)) for j in range(70))) for k in range(70)}
