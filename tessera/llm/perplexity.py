@@ -3,10 +3,11 @@
 The model is a byte n-gram model of order 4 with modified Kneser-Ney
 discounts, one per language. Spark counts the n-grams of all texts (tasks
 combine first), derives continuation counts, discounts and back-off weights by
-joins on the count tables, and stores probabilities under sorted hashes of
-(language, order, n-gram). The hashes have ``BITS`` bits, so the arrays that
-scoring tasks hold have at most 2**BITS entries of 8 bytes, whatever the
-corpus; of n-grams that share a hash the most frequent one counts.
+joins on the count tables, and stores the interpolated probability of every
+n-gram under the n-gram itself; nothing is hashed. All texts are counted, so
+every n-gram that is scored has its entry. Up to ``HELD`` entries go to the
+scoring tasks as sorted arrays of each language (8 bytes an entry); a larger
+model stays in Spark, and the n-grams of each text meet it by a shuffle join.
 
 A document passes if its word count and its share of repeated three-word
 windows pass the base rule and its mean log-probability per byte lies inside
@@ -24,10 +25,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tessera.llm.common import grouped_by_bytes, small_batches, store, text_of
+from tessera.llm.common import grouped_by_bytes, row_hash, small_batches, store, text_of
 
 ORDER = 4
-BITS = 24
+HELD = 1 << 24                    # entries that scoring tasks hold
 SPREAD = 6.0
 BIN = 0.001                       # width of a log-perplexity bin of the quartiles
 CHUNK_BYTES = 16 << 20
@@ -66,38 +67,15 @@ def _count(batches):
                                              names=["lang", "gram", "c"])
 
 
-def slot_of(lang: str, order: int, grams: np.ndarray) -> np.ndarray:
-    """BITS-bit hashes of n-grams of one language and order; order 10 + k marks
-    back-off weights of contexts of k bytes."""
-    import zlib
-    salt = zlib.crc32(f"{order}|{lang}".encode()) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
-    h = (grams.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(salt)
-    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(64 - BITS)).astype(np.int64)
-
-
-def _slots(batches):
-    import pyarrow as pa
-    with np.errstate(over="ignore"):
-        for b in batches:
-            lang, order, gram = (b.column(x).to_numpy(zero_copy_only=False) for x in ("lang", "ord", "gram"))
-            slot = np.zeros(len(gram), np.int64)
-            for x, o in set(zip(lang.tolist(), order.tolist())):
-                at = (lang == x) & (order == o)
-                slot[at] = slot_of(x, int(o), gram[at])
-            yield pa.RecordBatch.from_arrays([pa.array(slot), b.column("value"), b.column("c"), b.column("gram")], names=["slot", "value", "c", "gram"])
-
-
 def fit(docs: DataFrame) -> DataFrame:
-    """Stored model: slot, value (natural log of a probability, or of a back-off
-    weight), one row per used slot."""
+    """Stored model: lang, gram, value (natural log of the interpolated
+    probability of the n-gram's last byte), one row per n-gram of any text."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), text_of().alias("text")).where(F.length("text") > 0)
     grams = {ORDER: store(texts.mapInArrow(_count, "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c")), "grams")}
     for o in range(ORDER - 1, 0, -1):     # how many different bytes stand before
         grams[o] = store(grams[o + 1].groupBy("lang", (F.col("gram") % (1 << 8 * o)).alias("gram")).agg(F.count("*").alias("c")), "grams")
     lower = None
-    tables = []
     for o in range(1, ORDER + 1):
         ctx = F.floor(F.col("gram") / 256).cast("long").alias("ctx")
         n = [F.sum((F.col("c") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)]
@@ -115,40 +93,27 @@ def fit(docs: DataFrame) -> DataFrame:
         else:
             below = lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("q"))
             p = p.withColumn("suffix", F.col("gram") % (1 << 8 * (o - 1))).join(below, ["lang", "suffix"]).withColumn("p", own + F.col("gamma") * F.col("q"))
-        p = store(p.select("lang", "gram", "p", "c", "ctx", "total", "gamma"), "grams")
-        lower = p.select("lang", "gram", "p", "c")
-        context = p.select("lang", "ctx", "total", "gamma").distinct()
-        tables.append(lower.select("lang", F.lit(o).alias("ord"), "gram", F.log("p").alias("value"), "c"))
-        tables.append(context.select("lang", F.lit(10 + o - 1).alias("ord"), F.col("ctx").alias("gram"), F.log("gamma").alias("value"), F.col("total").alias("c")))
-    rows = tables[0]
-    for t in tables[1:]:
-        rows = rows.unionByName(t)
-    slots = rows.mapInArrow(_slots, "slot long, value double, c long, gram long")
-    return store(slots.groupBy("slot").agg(F.max(F.struct("c", "gram", "value")).alias("top")).select("slot", F.col("top.value").alias("value")), "kneser-ney")
+        lower = store(p.select("lang", "gram", "p"), "grams")
+    return lower.select("lang", "gram", F.log("p").cast("float").alias("value"))
 
 
-def arrays(model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The model as arrays sorted by hash; at most 2**BITS rows."""
-    t = model.orderBy("slot").toArrow()
-    return t.column("slot").to_numpy().astype(np.uint32), t.column("value").to_numpy().astype(np.float32)
+def arrays(model: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Of each language the sorted n-grams and their values."""
+    langs = sorted(r["lang"] for r in model.select("lang").distinct().collect())
+    number = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") if langs else F.lit(0)
+    t = model.select(number.alias("n"), "gram", "value").orderBy("n", "gram").toArrow()
+    n, gram, value = (t.column(x).to_numpy() for x in ("n", "gram", "value"))
+    ends = np.searchsorted(n, np.arange(len(langs) + 1), side="right")
+    return {x: (gram[a:b].astype(np.uint32), value[a:b]) for x, a, b in zip(langs, ends, ends[1:])}
 
 
-def log_probs(keys: np.ndarray, lang: str, dense: np.ndarray) -> np.ndarray:
+def log_probs(keys: np.ndarray, lang: str, held: dict) -> np.ndarray:
     """Natural log-probability of each n-gram's last byte."""
-    out = dense[slot_of(lang, ORDER, keys)]
-    weight = np.zeros(len(keys), np.float32)
-    open_ = np.flatnonzero(np.isnan(out))
-    for o in range(ORDER - 1, -1, -1):
-        if not len(open_):
-            break
-        k = keys[open_].astype(np.uint64)
-        ctx = (k >> np.uint64(8)) % np.uint64(1 << 8 * o)
-        g = dense[slot_of(lang, 10 + o, ctx)]
-        weight[open_] += np.where(np.isnan(g), 0, g)           # an unseen context passes on all it has
-        v = dense[slot_of(lang, o, k % np.uint64(1 << 8 * o))] if o else np.full(len(k), -np.log(256), np.float32)
-        out[open_] = v + weight[open_]
-        open_ = open_[np.isnan(v)]
-    return out
+    grams, values = held[lang]
+    at = np.searchsorted(grams, keys)
+    if not np.array_equal(grams.take(at, mode="clip"), keys):
+        raise ValueError(f"n-grams of language {lang!r} that the model has not counted")
+    return values.take(at)
 
 
 class _Ids(dict):
@@ -200,11 +165,9 @@ def base_counts(texts: list[bytes], memo: _Ids) -> list[np.ndarray]:
 
 
 def _score(held):
+    """Base counts and log-perplexity of texts; without ``held`` the latter is 0."""
     def run(batches):
         import pyarrow as pa
-        slots, values = held.value
-        dense = np.full(1 << BITS, np.nan, np.float32)
-        dense[slots] = values
         memo = _Ids()
         names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
         with np.errstate(over="ignore"):
@@ -212,19 +175,47 @@ def _score(held):
                 texts = [t.encode("utf-8", "replace") for t in table.column("text").to_pylist()]
                 langs = np.array(table.column("lang").to_pylist(), object)
                 ppl = np.zeros(len(texts))
-                for lang in sorted(set(langs)):
-                    at = np.flatnonzero(langs == lang)
+                for lang in sorted(set(langs)) if held else ():
+                    at = np.array([i for i in np.flatnonzero(langs == lang) if texts[i]], np.int64)
+                    if not len(at):
+                        continue
                     keys, lengths = ngram_keys([texts[i] for i in at])
-                    total = np.append(0, np.cumsum(log_probs(keys, lang, dense), dtype=np.float64))
+                    total = np.append(0, np.cumsum(log_probs(keys, lang, held.value), dtype=np.float64))
                     end = np.cumsum(lengths)
                     ppl[at] = -(total[end] - total[end - lengths]) / np.maximum(1, lengths)
                 cols = [pa.array(c, pa.int64()) for c in base_counts(texts, memo)]
                 size = pa.array([len(t) for t in texts], pa.int64())
-                yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), table.column("lang").combine_chunks(), *cols, size, pa.array(ppl)],
-                                                 names=["doc_id", "lang", *names, "n_bytes", "log_perplexity"])
+                yield pa.RecordBatch.from_arrays([*(table.column(x).combine_chunks() for x in ("doc_id", "rk", "lang")), *cols, size, pa.array(ppl)],
+                                                 names=["doc_id", "rk", "lang", *names, "n_bytes", "log_perplexity"])
     return run
 
 
+def _text_grams(batches):
+    """The n-grams of each text and their counts."""
+    import pyarrow as pa
+    for b in batches:
+        for rk, lang, text in zip(*(b.column(x).to_pylist() for x in ("rk", "lang", "text"))):
+            grams, k = np.unique(ngram_keys([text.encode("utf-8", "replace")])[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), rk, np.int64)), pa.array([lang] * len(grams), pa.string()),
+                                              pa.array(grams.astype(np.int64)), pa.array(k.astype(np.int64))], names=["rk", "lang", "gram", "k"])
+
+
+def score(texts: DataFrame, model: DataFrame) -> DataFrame:
+    """Stored: the base counts and the log-perplexity of every row of ``texts``
+    (doc_id, rk, lang, text)."""
+    spark = texts.sparkSession
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    counts = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+    schema = f"doc_id {kind}, rk long, lang string, {counts}, n_bytes long, log_perplexity double"
+    if model.count() <= HELD:
+        return store(texts.mapInArrow(_score(spark.sparkContext.broadcast(arrays(model))), schema), "perplexity")
+    grams = texts.dropDuplicates(["rk"]).select("rk", "lang", "text").mapInArrow(_text_grams, "rk long, lang string, gram long, k long")
+    sums = grams.join(model.hint("shuffle_merge"), ["lang", "gram"]).groupBy("rk").agg(F.sum(F.col("k") * F.col("value")).alias("total"))
+    each = F.coalesce(-F.col("total") / F.col("n_bytes"), F.lit(0.0))
+    plain = texts.mapInArrow(_score(None), schema)
+    return store(plain.join(sums, "rk", "left").withColumn("log_perplexity", each).drop("total"), "perplexity")
+
+
 def bands(scored: DataFrame, spread: float = SPREAD) -> DataFrame:
     """lang, low, high: exact quartiles of the binned log-perplexities."""
     bins = scored.where("n_bytes > 0").groupBy("lang", F.floor(F.col("log_perplexity") / BIN).cast("long").alias("bin")).agg(F.count("*").alias("k"))
@@ -238,12 +229,9 @@ def bands(scored: DataFrame, spread: float = SPREAD) -> DataFrame:
 def check_quality(docs: DataFrame) -> DataFrame:
     """The digest of op5, one row per document, with the log-perplexity per byte
     and the band it was held against."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(arrays(fit(docs)))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), text_of().alias("text"))
-    counts = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-    scored = store(texts.mapInArrow(_score(held), f"doc_id {kind}, lang string, {counts}, n_bytes long, log_perplexity double"), "perplexity")
+    model = fit(docs)
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
+    scored = score(docs.select("doc_id", row_hash(lang, "text", seed=5).alias("rk"), lang.alias("lang"), text_of().alias("text")), model)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     out = scored.join(bands(scored), "lang", "left").withColumn("base_failed", failed)
     inside = (F.col("log_perplexity") >= F.col("low")) & (F.col("log_perplexity") <= F.col("high"))

@@ -33,3 +33,45 @@ def test_jaccard_counts_each_link_once(spark, monkeypatch):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard.near_duplicates(docs).collect()}
     # texts k and k + d share 96 - d of 96 + d shingles
     assert got == {k: (96, 0, sum(j != k and 100 * (96 - abs(j - k)) >= 80 * (96 + abs(j - k)) for j in range(70))) for k in range(70)}
+
+
+def _kneser_ney(texts):
+    """Log-probabilities of the last byte of all byte 4-grams, in plain Python."""
+    import math
+    from collections import Counter
+    grams = {4: Counter(b"\0\0\0"[:3 - min(i, 3)] + t[max(0, i - 3):i + 1] for t in texts for i in range(len(t)))}
+    for o in (3, 2, 1):
+        grams[o] = Counter(g[1:] for g in grams[o + 1])
+    p = {b"": 1 / 256}
+    for o in (1, 2, 3, 4):
+        n = Counter(grams[o].values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else None
+        d = [max(0.05, min(k - 0.05, k - (k + 1) * y * n[k + 1] / n[k] if n[k] and y is not None else 0.75)) for k in (1, 2, 3)]
+        total, off = Counter(), Counter()
+        for g, c in grams[o].items():
+            total[g[:-1]] += c
+            off[g[:-1]] += d[min(c, 3) - 1]
+        p |= {g: (c - d[min(c, 3) - 1]) / total[g[:-1]] + off[g[:-1]] / total[g[:-1]] * p[g[1:]] for g, c in grams[o].items()}
+    return {g: math.log(p[g]) for g in grams[4]}
+
+
+def test_perplexity_of_every_ngram_is_its_own(spark, monkeypatch):
+    import random
+    import pytest
+    from tessera.llm import perplexity
+    rng = random.Random(4)
+    letters = "".join(map(chr, range(0x4E00, 0x9000, 3))) + "абвгдежз abcdefgh"       # mixed scripts: many n-grams
+    rows = [(i, "".join(rng.choice(letters) for _ in range(2000)), "xy"[i % 2]) for i in range(300)] + [(300, "", "x"), (301, None, "z"), (302, "ab", None), (302, "ab", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    want = {}
+    for lang in ("x", "y", None):
+        mine = [(i, t.encode()) for i, t, x in rows if x == lang and t]
+        logs = _kneser_ney([t for _, t in mine])
+        for i, t in mine:
+            want[i] = -sum(logs[b"\0\0\0"[:3 - min(k, 3)] + t[max(0, k - 3):k + 1]] for k in range(len(t))) / len(t)
+    for held in (1 << 24, 1000):                      # as arrays, and by shuffle join
+        monkeypatch.setattr(perplexity, "HELD", held)
+        got = perplexity.check_quality(docs).collect()
+        assert len(got) == len(rows)
+        assert {r["doc_id"]: r["log_perplexity"] for r in got if r["doc_id"] not in (300, 301)} == pytest.approx(want, abs=1e-5)
+        assert all(r["log_perplexity"] == 0 for r in got if r["doc_id"] in (300, 301))
