@@ -437,7 +437,6 @@ def q_next_token_topk(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- byte-level BPE
-BPE_MERGES = 64  # merges learned by the registered BPE queries (vocab_size = 261 + 64)
 _BPE_CACHE: dict = {}
 
 
@@ -446,12 +445,11 @@ def _bpe_model(spark, sf_dir):
     object (at most ``vocab_size`` entries), kept per scale within the process."""
     from tessera.operators.bpe import train_bpe
     from tessera.operators.vocab import word_counts_of_words
-    key = (sf_dir, BPE_MERGES)
-    if key not in _BPE_CACHE:
+    if sf_dir not in _BPE_CACHE:
         prep = _prep(spark, sf_dir)
         wc = word_counts_of_words(prep.words.where(F.col("split") == "train"))
-        _BPE_CACHE[key] = train_bpe(wc, P.with_(vocab_size=261 + BPE_MERGES))
-    return _BPE_CACHE[key]
+        _BPE_CACHE[sf_dir] = train_bpe(wc, P)
+    return _BPE_CACHE[sf_dir]
 
 
 _SYM_SQL = ("5 + CASE WHEN b BETWEEN 33 AND 126 THEN b - 33 WHEN b BETWEEN 161 AND 172 THEN b - 161 + 94 "
@@ -486,7 +484,7 @@ def q_bpe_encode(spark, sf_dir):
     """Every line encoded with the learned merges, truncated, eos appended."""
     from tessera.operators.bpe import encode_lines
     prep = _prep(spark, sf_dir)
-    enc = encode_lines(prep.words, _bpe_model(spark, sf_dir), P.with_(vocab_size=261 + BPE_MERGES))
+    enc = encode_lines(prep.words, _bpe_model(spark, sf_dir), P)
     return enc.select("split", "doc_id", "line_no", F.array_join("ids", " ").alias("ids_text"), "len")
 
 
@@ -498,7 +496,7 @@ def q_bpe_roundtrip(spark, sf_dir):
     from tessera.operators.bpe import decode_ids, encode_lines
     prep = _prep(spark, sf_dir)
     model = _bpe_model(spark, sf_dir)
-    enc = encode_lines(prep.words, model, P.with_(vocab_size=261 + BPE_MERGES), append_eos=False, truncate=False)
+    enc = encode_lines(prep.words, model, P, append_eos=False, truncate=False)
     keys = ["split", "doc_id", "line_no"]
     dec = decode_ids(enc, model, "ids", keys)
     j = dec.join(prep.lines.select(*keys, F.col("text").alias("orig")), keys)
