@@ -18,11 +18,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.operators.checks import narrow_u16
 
+TASK_TOKENS = 1 << 22    # rows of the token table that one task writes
+
 
 def write_token_table(tokens: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """S5 native: ``(split, pos, token_id)`` partitioned by split."""
-    (tokens.select("split", "pos", "token_id").repartition("split")
-     .sortWithinPartitions("pos").write.mode(mode).partitionBy("split").parquet(path))
+    """S5 native: ``(split, pos, token_id)`` partitioned by split. Each task sorts
+    and writes one range of positions, about ``TASK_TOKENS`` rows."""
+    rows = tokens.select("split", "pos", "token_id")
+    (rows.repartitionByRange(1 + rows.count() // TASK_TOKENS, "split", "pos")
+     .sortWithinPartitions("split", "pos").write.mode(mode).partitionBy("split").parquet(path))
 
 
 def token_shards(tokens: DataFrame, shard_tokens: int = 1 << 20) -> DataFrame:

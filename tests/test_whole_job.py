@@ -1,3 +1,8 @@
+import glob
+
+from pyspark.sql import functions as F
+
+
 def test_registered_bpe_learns_to_the_vocabulary_size(spark, monkeypatch):
     from types import SimpleNamespace
 
@@ -11,3 +16,22 @@ def test_registered_bpe_learns_to_the_vocabulary_size(spark, monkeypatch):
     catalog._bpe_model(spark, "nowhere")
     catalog._BPE_CACHE.clear()
     assert asked == [(Params().vocab_size, {})]
+
+
+def test_token_table_is_written_by_ranges(spark, tmp_path, monkeypatch):
+    from tessera.sources import tokens
+    monkeypatch.setattr(tokens, "TASK_TOKENS", 1000)
+    rows = spark.range(9000).select(F.when(F.col("id") < 8000, "train").otherwise("val").alias("split"), (F.col("id") % 8000).alias("pos"),
+                                    (F.col("id") * 37 % 65536).cast("int").alias("token_id"))
+    path = f"{tmp_path}/tokens"
+    tokens.write_token_table(rows.orderBy(F.xxhash64("pos")), path)
+    back = spark.read.parquet(path)
+    assert sorted(map(tuple, back.select("split", "pos", "token_id").collect())) == sorted(map(tuple, rows.collect()))
+    files = sorted(glob.glob(f"{path}/split=train/*.parquet"))
+    assert len(files) > 4
+    spans = []
+    for f in files:
+        pos = [r["pos"] for r in spark.read.parquet(f).collect()]
+        assert pos == sorted(pos)
+        spans.append((pos[0], pos[-1]))
+    assert all(a[1] < b[0] for a, b in zip(sorted(spans), sorted(spans)[1:]))
