@@ -3,7 +3,7 @@ characters, trained in numpy, scoring all overlapping windows of every text.
 
 A word enters as the sum of three learned vectors: the word itself, its first
 four characters, and the mean over its character trigrams (all hashed into one
-table). Windows of ``WINDOW`` words start every ``STRIDE`` words; the window
+table). Windows of ``WINDOW`` words start at every word; the window
 with the highest logit speaks for the document, and a logistic scale fitted on
 the training documents turns that logit into the score.
 
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.llm.common import doc_crc, row_hash, small_batches, text_of
 
-WINDOW, STRIDE = 32, 28
+WINDOW = 32
 DIM, HIDDEN = 12, 8
 TABLE = 1 << 16
 SAMPLE, TRAIN_CHARS = 1000, 20_000
@@ -184,10 +184,10 @@ def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end (positions in the joined texts) and text number of all
     windows; a text without words has one empty window."""
     offsets = np.cumsum(lengths) - lengths
-    n = 1 + np.maximum(0, -(-(lengths - WINDOW) // STRIDE))
+    n = 1 + np.maximum(0, lengths - WINDOW)
     owner = np.repeat(np.arange(len(lengths)), n)
     k = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    start = offsets[owner] + k * STRIDE
+    start = offsets[owner] + k
     return start, np.minimum(start + WINDOW, (offsets + lengths)[owner]), owner
 
 
@@ -272,14 +272,21 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 4) -> Net | None:
         odds = np.maximum(odds, o[slot])
     # the model starts with that sign in one dimension of the word vectors
     np.maximum.at(net.p["E"][:, 0], prefix, np.clip(odds, -2, 4) * 0.25)
-    window_best = np.array([odds[tokens[a:b]].max() if b > a else -9.0 for a, b in zip(start, end)])
+    padded = np.append(odds, -np.inf)
+    window_best = np.concatenate([padded[window_ids(tokens, start[a:a + 8192], end[a:a + 8192], len(words))].max(1) for a in range(0, len(start), 8192)])
+    window_best[end == start] = -9.0
+    # neighbouring windows are nearly the same: of WINDOW starts in a row the highest is a hard negative
+    stretch = np.cumsum(np.append(True, (np.diff(owner) > 0) | (np.diff(start // WINDOW) > 0)))
     state, t = {}, 0
     for r in range(ROUNDS):
         order = np.lexsort((-window_best, owner))
         firsts = np.append(True, np.diff(owner[order]) > 0)
         top = order[firsts]                                             # highest window of each document
         negatives = np.flatnonzero(labels[owner] == 0)
-        hard = negatives[np.argsort(-window_best[negatives])[:len(labels)]]
+        peaks = np.lexsort((-window_best, stretch))
+        peaks = peaks[np.append(True, np.diff(stretch[peaks]) > 0)]
+        peaks = peaks[labels[owner[peaks]] == 0]
+        hard = peaks[np.argsort(-window_best[peaks])[:len(labels)]]
         random = rng.choice(negatives, min(len(negatives), len(labels)), replace=False)
         chosen = np.unique(np.concatenate([top, hard, random]))
         for _ in range(EPOCHS):

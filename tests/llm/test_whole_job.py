@@ -75,3 +75,21 @@ def test_perplexity_of_every_ngram_is_its_own(spark, monkeypatch):
         assert len(got) == len(rows)
         assert {r["doc_id"]: r["log_perplexity"] for r in got if r["doc_id"] not in (300, 301)} == pytest.approx(want, abs=1e-5)
         assert all(r["log_perplexity"] == 0 for r in got if r["doc_id"] in (300, 301))
+
+
+def test_toxicity_reads_a_passage_whole_at_every_offset():
+    import random
+
+    from tessera.llm import toxicity
+    rng = random.Random(7)
+    net = toxicity.Net()
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    filler = [word() for _ in range(3 * toxicity.WINDOW)]
+    for size in (5, 20, toxicity.WINDOW):
+        passage = [word() for _ in range(size)]
+        for offset in range(2 * toxicity.WINDOW):
+            words = filler[:offset] + passage + filler[offset:]
+            start, end, owner = toxicity.windows(toxicity.np.array([len(words), 0]))
+            assert any(a <= offset and offset + size <= b for a, b, o in zip(start, end, owner) if o == 0)
+    alone, *placed = toxicity.score_texts(net, toxicity.Vocabulary(net), [" ".join(passage)] + [" ".join(filler[:k] + passage + filler[k:]) for k in range(64)])
+    assert min(placed) >= alone - 1e-5
