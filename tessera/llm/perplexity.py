@@ -29,7 +29,7 @@ from tessera.llm.common import grouped_by_bytes, row_hash, small_batches, store,
 
 ORDER = 4
 HELD = 1 << 24                    # entries that scoring tasks hold
-SPREAD = 6.0
+SPREAD = 1.5                      # ordinary fences
 BIN = 0.001                       # width of a log-perplexity bin of the quartiles
 CHUNK_BYTES = 16 << 20
 SYMBOLS = b"#*$%&|<>"             # fixed value of the contract
@@ -221,9 +221,17 @@ def bands(scored: DataFrame, spread: float = SPREAD) -> DataFrame:
     bins = scored.where("n_bytes > 0").groupBy("lang", F.floor(F.col("log_perplexity") / BIN).cast("long").alias("bin")).agg(F.count("*").alias("k"))
     up = Window.partitionBy("lang").orderBy("bin")
     share = bins.withColumn("part", F.sum("k").over(up) / F.sum("k").over(Window.partitionBy("lang")))
-    q = share.groupBy("lang").agg(*[(F.min(F.when(F.col("part") >= x, F.col("bin"))) * BIN).alias(n) for x, n in ((0.25, "q1"), (0.75, "q3"))])
-    room = F.greatest(F.col("q3") - F.col("q1"), F.lit(0.05)) * spread
-    return q.select("lang", (F.col("q1") - room).alias("low"), (F.col("q3") + room).alias("high"))
+    q = share.groupBy("lang").agg(*[F.min(F.when(F.col("part") >= x, F.col("bin"))).alias(n) for x, n in ((0.25, "q1"), (0.75, "q3"))])
+    room = (F.col("q3") + 1 - F.col("q1")) * BIN * spread              # bins are whole: up to the end of q3's
+    return q.select("lang", (F.col("q1") * BIN - room).alias("low"), ((F.col("q3") + 1) * BIN + room).alias("high"))
+
+
+def rejections(checked: DataFrame) -> DataFrame:
+    """One row: documents, and those that pass the base rule but fail the band
+    as too predictable or too surprising."""
+    side = lambda c: F.sum((~F.col("base_failed") & c).cast("long"))
+    return checked.agg(F.count("*").alias("documents"), side(F.col("log_perplexity") < F.col("low")).alias("too_predictable"),
+                       side(F.col("log_perplexity") > F.col("high")).alias("too_surprising"))
 
 
 def check_quality(docs: DataFrame) -> DataFrame:

@@ -93,3 +93,21 @@ def test_toxicity_reads_a_passage_whole_at_every_offset():
             assert any(a <= offset and offset + size <= b for a, b, o in zip(start, end, owner) if o == 0)
     alone, *placed = toxicity.score_texts(net, toxicity.Vocabulary(net), [" ".join(passage)] + [" ".join(filler[:k] + passage + filler[k:]) for k in range(64)])
     assert min(placed) >= alone - 1e-5
+
+
+def test_band_rejects_a_too_predictable_text(spark):
+    import random
+
+    from tessera.llm.perplexity import check_quality, rejections
+    rng = random.Random(9)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(2000)]
+    weight = [1 / (k + 1) for k in range(len(words))]
+    texts = [" ".join(rng.choices(words, weight, k=120)) for _ in range(400)]
+    texts.append(" ".join(rng.choice(words[:8]) for _ in range(70)))                                       # the commonest words only
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    checked = check_quality(docs)
+    rows = {r["doc_id"]: r for r in checked.collect()}
+    assert not rows[400]["base_failed"] and rows[400]["log_perplexity"] < rows[400]["low"] and not rows[400]["kept"]
+    assert sum(rows[i]["kept"] for i in range(400)) >= 390
+    r = rejections(checked).first()
+    assert r["documents"] == 401 and 1 <= r["too_predictable"] <= 8 and r["too_surprising"] <= 8
