@@ -72,3 +72,31 @@ def grouped_by_bytes(batches, column: str, limit: int):
             held, size = [], 0
     if held:
         yield pa.Table.from_batches(held)
+
+
+def slices_by_bytes(batches, column: str, limit: int = 4 << 20):
+    """Cut Arrow batches so that ``column`` (strings) of a slice holds about
+    ``limit`` bytes; a row that is longer is a slice of its own."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes.astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
+def list_column(rows: list):
+    """An Arrow ``list<int32>`` column from numpy arrays, one per row."""
+    import numpy as np
+    import pyarrow as pa
+
+    offsets = np.zeros(len(rows) + 1, np.int32)
+    np.cumsum([len(r) for r in rows], out=offsets[1:])
+    flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32, copy=False)))

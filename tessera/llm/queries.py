@@ -60,5 +60,16 @@ def op10_decontaminate(spark, sf_dir):
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_reshard, op2_lines, op3_jaccard, op4_toxicity, op5_perplexity, op6_mix, op7_licenses, op8_warc, op9_mixing_model, op10_decontaminate)}
+def tokenizer_file(name):
+    """The installed public tokenizer files; operators take any path."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op12_pieces(spark, sf_dir):
+    from tessera.llm.pieces import digests, encode_pieces
+    return digests(encode_pieces(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")))
+
+
+QUERIES = {f.__name__: f for f in (op1_reshard, op2_lines, op3_jaccard, op4_toxicity, op5_perplexity, op6_mix, op7_licenses, op8_warc, op9_mixing_model, op10_decontaminate, op12_pieces)}
 ORACLES: dict[str, str] = {"op2_lines": LINES_ORACLE}
