@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm.collocations import ORACLE as PHRASES_ORACLE
 from tessera.llm.lines import ORACLE as LINES_ORACLE
 from tessera.session import ensure_checkpoint_dir, read_table
 
@@ -71,5 +72,10 @@ def op12_pieces(spark, sf_dir):
     return digests(encode_pieces(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")))
 
 
-QUERIES = {f.__name__: f for f in (op1_reshard, op2_lines, op3_jaccard, op4_toxicity, op5_perplexity, op6_mix, op7_licenses, op8_warc, op9_mixing_model, op10_decontaminate, op12_pieces)}
-ORACLES: dict[str, str] = {"op2_lines": LINES_ORACLE}
+def op13_phrases(spark, sf_dir):
+    from tessera.llm.collocations import collocations
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_reshard, op2_lines, op3_jaccard, op4_toxicity, op5_perplexity, op6_mix, op7_licenses, op8_warc, op9_mixing_model, op10_decontaminate, op12_pieces, op13_phrases)}
+ORACLES: dict[str, str] = {"op2_lines": LINES_ORACLE, "op13_phrases": PHRASES_ORACLE}
