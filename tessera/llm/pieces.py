@@ -113,7 +113,11 @@ class Coder:
         return fresh
 
     def encode(self, text: str) -> list[int]:
-        parts = self.split(text)
+        return self.encode_normal(MARK + text.replace(" ", MARK)) if text else []
+
+    def encode_normal(self, normal: str) -> list[int]:
+        """Ids of a text that is in its normal form already."""
+        parts = self.parts(normal)
         self.learn([parts])
         return self.join(parts).tolist()
 

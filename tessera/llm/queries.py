@@ -67,6 +67,12 @@ def tokenizer_file(name):
     return public_tokenizers.path(name)
 
 
+def op11_alignment(spark, sf_dir):
+    from tessera.llm.alignment import link_strength
+    ensure_checkpoint_dir(spark)
+    return link_strength(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op12_pieces(spark, sf_dir):
     from tessera.llm.pieces import digests, encode_pieces
     return digests(encode_pieces(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")))
@@ -77,5 +83,5 @@ def op13_phrases(spark, sf_dir):
     return collocations(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_reshard, op2_lines, op3_jaccard, op4_toxicity, op5_perplexity, op6_mix, op7_licenses, op8_warc, op9_mixing_model, op10_decontaminate, op12_pieces, op13_phrases)}
+QUERIES = {f.__name__: f for f in (op1_reshard, op2_lines, op3_jaccard, op4_toxicity, op5_perplexity, op6_mix, op7_licenses, op8_warc, op9_mixing_model, op10_decontaminate, op11_alignment, op12_pieces, op13_phrases)}
 ORACLES: dict[str, str] = {"op2_lines": LINES_ORACLE, "op13_phrases": PHRASES_ORACLE}
