@@ -3,19 +3,26 @@ import glob
 from pyspark.sql import functions as F
 
 
-def test_registered_bpe_learns_to_the_vocabulary_size(spark, monkeypatch):
-    from types import SimpleNamespace
+def test_registered_bpe_learns_to_the_end(spark, docs):
+    """Every merge down to the minimum frequency, equal to the tokenizers package."""
+    import json
+
+    from tokenizers import ByteLevelBPETokenizer
 
     from tessera.config import Params
-    from tessera.operators import bpe
     from tessera.plans import catalog
-    words = spark.createDataFrame([("train", ["aa", "ab"])], "split string, words array<string>")
-    asked = []
-    monkeypatch.setattr(catalog, "_prep", lambda *_: SimpleNamespace(words=words))
-    monkeypatch.setattr(bpe, "train_bpe", lambda counts, params, **more: asked.append((params.vocab_size, more)))
-    catalog._bpe_model(spark, "nowhere")
-    catalog._BPE_CACHE.clear()
-    assert asked == [(Params().vocab_size, {})]
+    from tests.conftest import SF001
+    merges = [tuple(r) for r in catalog.QUERIES["bpe_merges"](spark, SF001).orderBy("rank").select("left_id", "right_id", "new_id").collect()]
+    lines = catalog._prep(spark, SF001).lines.where("split = 'train'").orderBy("doc_id", "line_no").collect()
+    P = Params()
+    tok = ByteLevelBPETokenizer()
+    tok.train_from_iterator([r.text for r in lines], vocab_size=P.vocab_size, min_frequency=P.min_frequency,
+                            special_tokens=list(P.special_tokens), show_progress=False)
+    model = json.loads(tok._tokenizer.to_str())["model"]
+    ids = model["vocab"]
+    want = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    assert len(want) > 10_000
+    assert merges == [(ids[a], ids[b], ids[a + b]) for a, b in want]
 
 
 def test_token_table_is_written_by_ranges(spark, tmp_path, monkeypatch):
