@@ -75,6 +75,9 @@ class Aligner:
         special = set(self.library_a.get_added_tokens_decoder())
         self.a = Side([b"" if i in special else byte_level_bytes(self.library_a.id_to_token(i)) for i in range(self.library_a.get_vocab_size())])
         self.b = Side(self.coder.surface)
+        # ids as text, inside a group's side and at its end
+        self.written = np.array([f"{i}{c}" for n, marks in ((len(self.a.tokens), ",|"), (len(self.b.tokens), ",;")) for i in range(n) for c in marks], object)
+        self.written_chars = np.array([len(w) for w in self.written], np.int64)
         self.forget_parts()
         self.forget_windows()
 
@@ -84,7 +87,7 @@ class Aligner:
         self.unlike = np.zeros(0, bool)     # parts whose token bytes differ from their own
 
     def forget_windows(self) -> None:
-        self.windows: dict[tuple, int] = {}
+        self.windows: dict[bytes, int] = {}
         self.groups: list[str] = []
         self.links = Lists()
 
@@ -172,33 +175,49 @@ class Aligner:
         _, first, of = np.unique(hashes, return_index=True, return_inverse=True)
         if not (_same_windows(a, cut_a, first[of]) and _same_windows(b, cut_b, first[of])):
             first = of = np.arange(len(hashes))      # a hash that two windows share
-        raw_a, raw_b = a.tobytes(), b.tobytes()
-        keys = [(raw_a[i:j], raw_b[k:m]) for i, j, k, m in zip(*((4 * x).tolist() for x in (cut_a[first], cut_a[first + 1], cut_b[first], cut_b[first + 1])))]
+        # the ids of a window's key: those of A, -1, those of B
+        n_a, n_b = (cut_a[first + 1] - cut_a[first]), (cut_b[first + 1] - cut_b[first])
+        ends = np.cumsum(n_a + n_b + 1)
+        starts = ends - (n_a + n_b + 1)
+        ids = np.full(int(ends[-1]), -1, np.int32)
+        ids[_spread(starts, n_a)] = a[_spread(cut_a[first], n_a)]
+        ids[_spread(starts + n_a + 1, n_b)] = b[_spread(cut_b[first], n_b)]
+        raw = ids.tobytes()
+        keys = [raw[i:j] for i, j in zip((4 * starts).tolist(), (4 * ends).tolist())]
         numbers = list(map(self.windows.get, keys))
         if None in numbers:
             self.align_windows(list({k for k, n in zip(keys, numbers) if n is None}))
             numbers = list(map(self.windows.__getitem__, keys))
         return np.array(numbers, np.int64)[of]
 
-    def align_windows(self, fresh: list[tuple[bytes, bytes]]) -> None:
+    def align_windows(self, fresh: list[bytes]) -> None:
         """Align windows that are seen first: a group ends where both sides do;
         its last tokens are linked."""
-        a, b = (np.frombuffer(b"".join(x), np.int32) for x in zip(*fresh))
+        ids = np.frombuffer(b"".join(fresh), np.int32)
+        ends = np.cumsum([len(k) // 4 for k in fresh])
+        middle = np.flatnonzero(ids < 0)                       # one in each window
+        side_b = np.repeat(np.tile([False, True], len(fresh)), np.diff(np.sort(np.concatenate(([0], middle, ends)))))
+        a, b = ids[~side_b], ids[side_b & (ids >= 0)]
+        window_ends = np.cumsum(middle - np.concatenate(([0], ends[:-1])))
         end_a, end_b = np.cumsum(self.a.length[a]), np.cumsum(self.b.length[b])
         place = np.searchsorted(end_b, end_a)
         both = np.flatnonzero(np.append(end_b, -1)[place] == end_a)
         last_a, last_b = both + 1, place[both] + 1            # ends of the groups, as token places
-        window_ends = np.cumsum([len(k[0]) // 4 for k in fresh])
         groups_to = np.searchsorted(last_a, window_ends) + 1  # every window ends with a group
         self.links.add(a[last_a - 1].astype(np.int64) * len(self.b.tokens) + b[last_b - 1], np.diff(groups_to, prepend=0))
-        text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        cuts = zip([0, *last_a.tolist()], last_a.tolist(), [0, *last_b.tolist()], last_b.tolist())
-        groups = [",".join(text_a[i:j]) + "|" + ",".join(text_b[k:m]) for i, j, k, m in cuts]
-        at = 0
-        for key, to in zip(fresh, groups_to.tolist()):
-            self.windows[key] = len(self.groups)
-            self.groups.append(";".join(groups[at:to]))
-            at = to
+        # the groups as text: A's tokens of a group, then B's, each with its separator
+        from_b, out = np.concatenate(([0], last_b[:-1])), np.empty(len(a) + len(b), np.int64)
+        at_a, at_b = np.arange(len(a)), np.arange(len(b))
+        group_a, group_b = np.searchsorted(last_a, at_a, "right"), np.searchsorted(last_b, at_b, "right")
+        out[at_a + from_b[group_a]] = 2 * a.astype(np.int64) + (at_a + 1 == last_a[group_a])
+        out[at_b + last_a[group_b]] = 2 * (len(self.a.tokens) + b.astype(np.int64)) + (at_b + 1 == last_b[group_b])
+        text = "".join(self.written[out].tolist())
+        chars = np.cumsum(self.written_chars[out])
+        tokens_to = last_a[groups_to - 1] + last_b[groups_to - 1]
+        cuts = np.concatenate(([0], chars[tokens_to - 1])).tolist()
+        first = len(self.groups)
+        self.groups += [text[i:j - 1] for i, j in zip(cuts, cuts[1:])]
+        self.windows.update(zip(fresh, range(first, len(self.groups))))
 
     def align(self, texts: list[str | None]) -> list[tuple[int, int, list[str], np.ndarray]]:
         """Per text: tokens of A and of B, the groups of its windows as text,
