@@ -3,7 +3,7 @@ characters, trained in numpy, scoring all overlapping windows of every text.
 
 A word enters as the sum of three learned vectors: the word itself, its first
 four characters, and the mean over its character trigrams (all hashed into one
-table). Windows of ``WINDOW`` words start at every word; the window
+table). Gates and candidate states are piecewise linear. Windows of ``WINDOW`` words start at every word; the window
 with the highest logit speaks for the document, and a logistic scale fitted on
 the training documents turns that logit into the score.
 
@@ -101,6 +101,50 @@ class Net:
         pad[0, :HIDDEN] = 100.0
         return np.concatenate([np.concatenate([x @ self.p[f"W{d}"] + self.p[f"c{d}"], pad]) for d in "fb"], axis=1)
 
+    def sweep(self, g: np.ndarray, tokens: np.ndarray, chunk: int = 4096) -> np.ndarray:
+        """Logits of the windows that start at every token but the last
+        ``WINDOW`` - 1. At step t all windows read the same tokens shifted by t,
+        so a step is a slice of the gates' inputs, no lookup; arrays are
+        feature by window, and the attention's two sums come out of the same
+        product as the gates of the next step."""
+        H, pad = HIDDEN, len(g) - 1
+        n = len(tokens) - WINDOW + 1
+        out = np.empty(n, np.float32)
+        # the gates' slope and middle are part of their inputs and weights
+        scale, shift = np.ones(3 * H, np.float32), np.zeros(3 * H, np.float32)
+        scale[:2 * H], shift[:2 * H] = 0.25, 0.5
+        mixed = [np.ascontiguousarray(np.concatenate([self.p[f"U{d}"] * scale, self.p["v"][k * H:(k + 1) * H, None], self.p["w"][k * H:(k + 1) * H, None]], axis=1).T)
+                 for k, d in enumerate("fb")]
+        for at in range(0, n, chunk):
+            m = min(chunk, n - at)
+            read = tokens[at:at + m + WINDOW - 1]
+            x = np.ascontiguousarray((g.take(read, axis=0) * np.tile(scale, 2) + np.tile(shift, 2)).T)
+            hidden = np.where(read == pad, np.float32(-1e9), np.float32(0))
+            a, s = np.empty((WINDOW, m), np.float32), np.zeros((WINDOW, m), np.float32)
+            for t in range(WINDOW):
+                a[t] = hidden[t:t + m]
+            zr, c, h, y = np.empty((2 * H, m), np.float32), np.empty((H, m), np.float32), np.empty((H, m), np.float32), np.empty((3 * H + 2, m), np.float32)
+            for k, weights in enumerate(mixed):
+                h[:], y[:] = 0, 0
+                part = x[3 * H * k:3 * H * (k + 1)]
+                for t in (range(WINDOW) if k == 0 else range(WINDOW - 1, -1, -1)):
+                    np.add(part[:2 * H, t:t + m], y[:2 * H], out=zr)
+                    np.clip(zr, 0, 1, out=zr)
+                    np.multiply(zr[H:], y[2 * H:3 * H], out=c)
+                    c += part[2 * H:, t:t + m]
+                    np.clip(c, -1, 1, out=c)
+                    h -= c
+                    h *= zr[:H]
+                    h += c
+                    np.matmul(weights, h, out=y)
+                    a[t] += y[3 * H]
+                    s[t] += y[3 * H + 1]
+            a -= a.max(0)
+            np.exp(a, out=a)
+            s *= a
+            out[at:at + m] = s.sum(0) / a.sum(0) + self.p["b"][0]
+        return out
+
     def forward(self, g: np.ndarray, ids: np.ndarray, keep: bool = False):
         """Logits of windows ``ids`` (windows x words, rows of ``g``). Both
         directions advance together: one reads word t, the other word -t."""
@@ -117,7 +161,7 @@ class Net:
                 x, y = part.take(at[t], axis=0), h @ u
                 zr = gate(x[:, :2 * H] + y[:, :2 * H])
                 z, r = zr[:, :H], zr[:, H:]
-                c = np.tanh(x[:, 2 * H:] + r * y[:, 2 * H:])
+                c = np.clip(x[:, 2 * H:] + r * y[:, 2 * H:], -1, 1)
                 if keep:
                     trace.append((k, t, h, z, r, c, y[:, 2 * H:]))
                 h = c + z * (h - c)
@@ -151,7 +195,7 @@ class Net:
             du, dh = np.zeros_like(u), np.zeros((n, HIDDEN), np.float32)
             for kk, step, h, z, r, c, yc in reversed([x for x in trace if x[0] == k]):
                 dh = dh + dh_out[step][:, k * HIDDEN:(k + 1) * HIDDEN]
-                dc = dh * (1 - z) * (1 - c * c)
+                dc = dh * (1 - z) * ((c > -1) & (c < 1))
                 dz = dh * (h - c) * 0.25 * ((z > 0) & (z < 1))
                 dr = dc * yc * 0.25 * ((r > 0) & (r < 1))
                 dy = np.concatenate([dz, dr, dc * r], axis=1)
@@ -180,22 +224,22 @@ class Net:
             self.p[name] -= RATE * (m / (1 - 0.9 ** t)) / (np.sqrt(q / (1 - 0.99 ** t)) + 1e-6)
 
 
-def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end (positions in the joined texts) and text number of all
-    windows; a text without words has one empty window."""
-    offsets = np.cumsum(lengths) - lengths
-    n = 1 + np.maximum(0, lengths - WINDOW)
-    owner = np.repeat(np.arange(len(lengths)), n)
-    k = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    start = offsets[owner] + k
-    return start, np.minimum(start + WINDOW, (offsets + lengths)[owner]), owner
+def laid_out(tokens: np.ndarray, lengths: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """Texts end to end, shorter ones filled up to a window, and the place of
+    each in that row (one more at the end)."""
+    room = np.maximum(lengths, WINDOW)
+    begin = np.concatenate(([0], np.cumsum(room)))
+    row = np.full(int(begin[-1]), pad, np.int32)
+    row[np.repeat(begin[:-1] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))] = tokens
+    return row, begin
 
 
-def window_ids(tokens: np.ndarray, start: np.ndarray, end: np.ndarray, pad: int) -> np.ndarray:
-    at = start[:, None] + np.arange(WINDOW)
-    if not len(tokens):
-        return np.full(at.shape, pad)
-    return np.where(at < end[:, None], tokens[np.minimum(at, len(tokens) - 1)], pad)
+def starts_of(begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places at which a window of one text starts, and that text's number; a
+    text without words has one empty window."""
+    n = np.diff(begin) - WINDOW + 1
+    owner = np.repeat(np.arange(len(n)), n)
+    return begin[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n), owner
 
 
 class Vocabulary(dict):
@@ -231,18 +275,15 @@ class Vocabulary(dict):
         return self.table[:len(self) + 1]
 
 
-def score_texts(net: Net, vocab: Vocabulary, texts: list[str], chunk: int = 8192) -> np.ndarray:
+def score_texts(net: Net, vocab: Vocabulary, texts: list[str]) -> np.ndarray:
     """Highest window logit of each text."""
     split = [words_of(t) for t in texts]
     tokens = vocab.encode(split)
     g = vocab.gates()
-    start, end, owner = windows(np.fromiter(map(len, split), np.int64, len(split)))
-    logits = np.empty(len(start), np.float32)
-    for a in range(0, len(start), chunk):
-        logits[a:a + chunk] = net.forward(g, window_ids(tokens, start[a:a + chunk], end[a:a + chunk], len(g) - 1))
-    best = np.full(len(texts), -np.inf, np.float32)
-    np.maximum.at(best, owner, logits)
-    return best
+    row, begin = laid_out(tokens, np.fromiter(map(len, split), np.int64, len(split)), len(g) - 1)
+    start, _ = starts_of(begin)
+    n = np.diff(begin) - WINDOW + 1
+    return np.maximum.reduceat(net.sweep(g, row)[start], np.cumsum(n) - n) if len(texts) else np.zeros(0, np.float32)
 
 
 def train(texts: list[str], labels: np.ndarray, seed: int = 4) -> Net | None:
@@ -258,25 +299,27 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 4) -> Net | None:
         return None
     feats = word_features(words)
     lengths = np.array([len(w) for w in split], np.int64)
-    start, end, owner = windows(lengths)
+    row, begin = laid_out(tokens, lengths, len(words))
+    start, owner = starts_of(begin)
     whole, prefix, tri, first = feats
     counts = np.diff(np.append(first, len(tri)))
     # documents of each class that hold a word, or its prefix: how typical it is
     doc_of = np.repeat(np.arange(len(texts)), lengths)
     odds = np.full(len(words), -np.inf)
     for slot in (np.arange(len(words)), prefix):
-        seen = np.unique(doc_of * (1 << 20) + slot[tokens])
-        per = np.bincount(seen % (1 << 20), weights=np.where(labels[seen >> 20] == 1, 1.0, 1e6), minlength=max(len(words), TABLE))
+        room = max(len(words), TABLE)
+        seen = np.unique(doc_of * room + slot[tokens])
+        per = np.bincount(seen % room, weights=np.where(labels[seen // room] == 1, 1.0, 1e6), minlength=room)
         pos, neg = per % 1e6, per // 1e6
         o = np.log((pos + 0.1) / (labels == 1).sum()) - np.log((neg + 1.0) / (labels == 0).sum())
         odds = np.maximum(odds, o[slot])
     # the model starts with that sign in one dimension of the word vectors
     np.maximum.at(net.p["E"][:, 0], prefix, np.clip(odds, -2, 4) * 0.25)
     padded = np.append(odds, -np.inf)
-    window_best = np.concatenate([padded[window_ids(tokens, start[a:a + 8192], end[a:a + 8192], len(words))].max(1) for a in range(0, len(start), 8192)])
-    window_best[end == start] = -9.0
+    window_best = np.lib.stride_tricks.sliding_window_view(padded[row], WINDOW).max(1)[start]
+    window_best[~np.isfinite(window_best)] = -9.0
     # neighbouring windows are nearly the same: of WINDOW starts in a row the highest is a hard negative
-    stretch = np.cumsum(np.append(True, (np.diff(owner) > 0) | (np.diff(start // WINDOW) > 0)))
+    stretch = np.cumsum(np.append(True, (np.diff(owner) > 0) | (np.diff((start - begin[owner]) // WINDOW) > 0)))
     state, t = {}, 0
     for r in range(ROUNDS):
         order = np.lexsort((-window_best, owner))
@@ -293,7 +336,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 4) -> Net | None:
             rng.shuffle(chosen)
             for a in range(0, len(chosen), BATCH):
                 pick, t = chosen[a:a + BATCH], t + 1
-                ids = window_ids(tokens, start[pick], end[pick], len(words))
+                ids = row[start[pick][:, None] + np.arange(WINDOW)]
                 used, local = np.unique(ids, return_inverse=True)
                 used = used[used < len(words)]
                 sub = _subset(feats, counts, used)
@@ -301,8 +344,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 4) -> Net | None:
                 local = np.where(ids == len(words), len(used), local.reshape(ids.shape))
                 net.step(x, sub, local, labels[owner[pick]].astype(np.float32), state, t)
         g = net.gates(embed(net.p["E"], feats).astype(np.float32))
-        window_best = np.concatenate([net.forward(g, window_ids(tokens, start[a:a + 8192], end[a:a + 8192], len(words)))
-                                      for a in range(0, len(start), 8192)])
+        window_best = net.sweep(g, row)[start]
     best = np.full(len(texts), -np.inf)
     np.maximum.at(best, owner, window_best)
     net.scale = _platt(best, labels)
@@ -329,13 +371,26 @@ def _platt(best: np.ndarray, labels: np.ndarray, steps: int = 500) -> tuple[floa
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """At most ``limit`` texts of each class, never from the held-out third."""
+    """At most ``limit`` texts of each class, never from the held-out third: the
+    first by a hash of row and text. Only ids and hashes are joined and sorted,
+    and only rows below a hash bound that leaves about twice the wanted number;
+    then the chosen rows' texts are fetched by a broadcast of their keys."""
     marked = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.where(doc_crc() % 3 != 1).select("doc_id", text_of().alias("text")) \
-        .where(F.length("text") <= TRAIN_CHARS).join(marked, "doc_id")
-    got = []
-    for y in (0, 1):
-        got += rows.where(F.col("toxic") == y).orderBy(row_hash("doc_id", "text", seed=4), "doc_id", "text").limit(limit).collect()
+    texts = docs.where(doc_crc() % 3 != 1).select("doc_id", text_of().alias("text")).where(F.length("text") <= TRAIN_CHARS) \
+        .withColumn("h", row_hash("doc_id", "text", seed=4))
+    rows = texts.select("doc_id", "h").join(marked, "doc_id")
+    found = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    chosen = []
+    for y, n in sorted(found.items()):
+        few = rows.where(F.col("toxic") == y)
+        if n > 4 * limit:
+            few = few.where(F.col("h") < F.lit(int(-2 ** 63 + 2 ** 64 * 2 * limit / n)))
+        chosen += few.select("h", "doc_id").distinct().orderBy("h", "doc_id").limit(limit).withColumn("toxic", F.lit(y)).collect()
+    if not chosen:
+        return [], np.zeros(0, np.int64)
+    spark = docs.sparkSession
+    keys = spark.createDataFrame(chosen, f"h long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int")
+    got = texts.join(F.broadcast(keys), ["h", "doc_id"]).distinct().orderBy("toxic", "h", "doc_id").collect()
     return [r["text"] for r in got], np.array([r["toxic"] for r in got], np.int64)
 
 

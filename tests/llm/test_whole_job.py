@@ -89,8 +89,9 @@ def test_toxicity_reads_a_passage_whole_at_every_offset():
         passage = [word() for _ in range(size)]
         for offset in range(2 * toxicity.WINDOW):
             words = filler[:offset] + passage + filler[offset:]
-            start, end, owner = toxicity.windows(toxicity.np.array([len(words), 0]))
-            assert any(a <= offset and offset + size <= b for a, b, o in zip(start, end, owner) if o == 0)
+            _, begin = toxicity.laid_out(toxicity.np.arange(len(words)), toxicity.np.array([len(words), 0]), len(words))
+            start, owner = toxicity.starts_of(begin)
+            assert any(a <= offset and offset + size <= a + toxicity.WINDOW for a, o in zip(start, owner) if o == 0)
     alone, *placed = toxicity.score_texts(net, toxicity.Vocabulary(net), [" ".join(passage)] + [" ".join(filler[:k] + passage + filler[k:]) for k in range(64)])
     assert min(placed) >= alone - 1e-5
 
