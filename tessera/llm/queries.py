@@ -84,4 +84,6 @@ def op13_phrases(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_reshard, op2_lines, op3_jaccard, op4_toxicity, op5_perplexity, op6_mix, op7_licenses, op8_warc, op9_mixing_model, op10_decontaminate, op11_alignment, op12_pieces, op13_phrases)}
+# models, tokenizer libraries, graph searches: compared with brute force in tests/llm
+NO_SQL = set(QUERIES) - {"op2_lines", "op13_phrases"}
 ORACLES: dict[str, str] = {"op2_lines": LINES_ORACLE, "op13_phrases": PHRASES_ORACLE}
