@@ -3,14 +3,10 @@
 import duckdb
 import pytest
 
+from tessera.plans.catalog import ORACLES, QUERIES
 from tests.conftest import SF001
 from tools.compare_oracle import TABLES, digest
 
-FAST = ["lines_per_split", "word_vocab", "tokenized_lines", "line_offsets", "packed_blocks",
-        "bigram_counts", "perplexity", "epoch_plan", "review_prompts", "review_rewards", "label_mean_pool",
-        "clipped_vectors", "logit_cross_entropy", "decay_groups", "priority_domain", "overflow_chunks",
-        "alpha_selection", "next_token_topk", "bpe_pair_counts", "sampled_positions"]
-
 
 @pytest.fixture(scope="module")
 def con():
@@ -20,12 +16,11 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, con, name):
-    import __spark_entry__ as e
-    df = e.queries()[name](spark, SF001)
+    df = QUERIES[name](spark, SF001)
     rows = [tuple(r) for r in df.collect()]
-    res = con.execute(e.oracle_sql()[name])
+    res = con.execute(ORACLES[name])
     ocols = [d[0] for d in res.description]
     orows = res.fetchall()
     assert sorted(df.columns) == sorted(ocols)
@@ -33,10 +28,21 @@ def test_query_matches_oracle(spark, con, name):
     assert digest(df.columns, rows) == digest(ocols, orows)
 
 
+# iterative: compared with a library or brute force in the other tests
+ITERATIVE = {"classifier_head", "bpe_merges", "bpe_encode", "generate_samples"}
+
+
 def test_every_query_has_oracle_or_is_iterative():
+    assert set(QUERIES) - set(ORACLES) == ITERATIVE
+
+
+def test_entry_without_the_training_data_operators(monkeypatch):
+    """A package that is missing or can't be imported costs its own queries only."""
+    import sys
+
     import __spark_entry__ as e
-    missing = set(e.queries()) - set(e.oracle_sql())
-    assert missing <= {"classifier_head", "bpe_merges", "bpe_encode", "generate_samples", "stream_prepare"}
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    assert set(e.queries()) == set(QUERIES) and set(e.oracle_sql()) == set(ORACLES)
 
 
 def test_entry_smoke(spark):
