@@ -206,6 +206,90 @@ def q_sampled_positions(spark, sf_dir):
     return sample_positions(prep.tokens, prep.totals, SUBSET_SIZE, P.seed, "train")
 
 
+# ---------------------------------------------------------------- training loss
+_Q = f"(SELECT max(step) // {P.grad_accum_steps} FROM plan)"
+
+
+@register("train_loss", with_ctes(
+    "SELECT epoch::INT AS epoch, count(*)::BIGINT AS n_steps, round(avg(loss), 6) AS loss, round(exp(avg(loss)), 4) AS perplexity "
+    "FROM steps GROUP BY epoch", ["blocks", "pairs"], P, extra={
+        "plan": _EPOCH_SQL,
+        "occ": (f"SELECT e.epoch, e.step, e.epoch * {_Q} + (e.step + {P.grad_accum_steps - 1}) // {P.grad_accum_steps} AS k, p.prev, p.next, "
+                "count(*)::BIGINT AS m FROM pairs p JOIN plan e ON e.block_id = p.block_id WHERE p.split = 'train' GROUP BY ALL"),
+        "ctx": ("SELECT DISTINCT prev, k, coalesce(sum(m) OVER (PARTITION BY prev ORDER BY k RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) "
+                "AS c_total FROM (SELECT prev, k, sum(m) AS m FROM occ GROUP BY prev, k)"),
+        "counted": ("SELECT *, coalesce(sum(m) OVER (PARTITION BY prev, next ORDER BY k RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c "
+                 "FROM occ"),
+        "steps": (f"SELECT a.epoch, a.step, sum(a.m * -ln((a.c + {float(P.alpha)}) / (x.c_total + {float(P.alpha) * P.n_ids}))) / sum(a.m) AS loss "
+                  "FROM counted a JOIN ctx x ON x.prev = a.prev AND x.k = a.k GROUP BY a.epoch, a.step"),
+    }))
+def q_train_loss(spark, sf_dir):
+    """A8 (main form) + A9 + T5: per epoch, the mean of the steps' losses, each
+    step scored by the counts of the updates before it."""
+    from tessera.operators.batching import epoch_plan
+    from tessera.operators.training import training_loss, training_steps
+    blocks = _prep(spark, sf_dir).blocks
+    plan = cut_lineage(epoch_plan(blocks, P).select("epoch", "step", "block_id"))
+    r = training_loss(training_steps(blocks, plan, P))
+    return r.select("epoch", "n_steps", _r(F.col("loss")).alias("loss"), _r(F.col("perplexity"), 4).alias("perplexity"))
+
+
+# ---------------------------------------------------------------- interpolated n-grams
+def _ngram_ctes() -> dict[str, str]:
+    from tessera.operators.interpolated import ROUNDS
+    out = {
+        "tri": ("SELECT split, block_id, lag(prev) OVER (PARTITION BY split, block_id ORDER BY t) AS h2, prev AS h1, next FROM pairs"),
+        "g1": "SELECT next, count(*) AS c FROM tri WHERE split = 'train' GROUP BY next",
+        "g2": "SELECT h1, next, count(*) AS c FROM tri WHERE split = 'train' GROUP BY h1, next",
+        "g3": "SELECT h2, h1, next, count(*) AS c FROM tri WHERE split = 'train' AND h2 IS NOT NULL GROUP BY h2, h1, next",
+        "x2": "SELECT h1, sum(c) AS n FROM g2 GROUP BY h1",
+        "x3": "SELECT h2, h1, sum(c) AS n FROM g3 GROUP BY h2, h1",
+        "f": ("SELECT e.split, e.block_id, e.m, coalesce(g1.c, 0)::DOUBLE / (SELECT sum(c) FROM g1) AS f1, coalesce(g2.c, 0)::DOUBLE / x2.n AS f2, "
+              "coalesce(g3.c, 0)::DOUBLE / x3.n AS f3 FROM (SELECT split, block_id, h2, h1, next, count(*)::DOUBLE AS m FROM tri "
+              "WHERE split <> 'train' GROUP BY ALL) e LEFT JOIN g1 ON g1.next = e.next LEFT JOIN g2 ON g2.h1 = e.h1 AND g2.next = e.next "
+              "LEFT JOIN x2 ON x2.h1 = e.h1 LEFT JOIN g3 ON g3.h2 = e.h2 AND g3.h1 = e.h1 AND g3.next = e.next "
+              "LEFT JOIN x3 ON x3.h2 = e.h2 AND x3.h1 = e.h1"),
+        "l0": "SELECT 0.5::DOUBLE AS w1, 0.5::DOUBLE AS w2, 0.5::DOUBLE AS w3",
+    }
+
+    def p(source):
+        return (f"SELECT *, CASE WHEN f3 IS NULL THEN p2 ELSE w3 * f3 + (1 - w3) * p2 END AS p3 FROM (SELECT *, CASE WHEN f2 IS NULL THEN p1 "
+                f"ELSE w2 * f2 + (1 - w2) * p1 END AS p2 FROM (SELECT *, w1 * f1 + (1 - w1) / {P.n_ids} AS p1 FROM {source}))")
+
+    for i in range(1, ROUNDS + 1):
+        out[f"q{i}"] = p(f"f, l{i - 1} WHERE split = 'val'")
+        out[f"r{i}"] = ("SELECT *, r2 * CASE WHEN f2 IS NULL THEN 1 ELSE (1 - w2) * p1 / p2 END AS r1 FROM "
+                        f"(SELECT *, m * CASE WHEN f3 IS NULL THEN 1 ELSE (1 - w3) * p2 / p3 END AS r2 FROM q{i})")
+        out[f"l{i}"] = ("SELECT sum(r1 * w1 * f1 / p1) / sum(r1) AS w1, sum(r2 * w2 * f2 / p2) / sum(r2) FILTER (WHERE f2 IS NOT NULL) AS w2, "
+                        f"sum(m * w3 * f3 / p3) / sum(m) FILTER (WHERE f3 IS NOT NULL) AS w3 FROM r{i}")
+    out["nb"] = f"SELECT split, block_id, sum(m * -ln(p3)) AS nll, sum(m) AS n FROM ({p(f'f, l{ROUNDS}')}) GROUP BY split, block_id"
+    out["nbat"] = f"SELECT split, block_id // {P.eval_batch_size} AS b, avg(nll / n) AS loss, sum(nll) AS nll, sum(n) AS n FROM nb GROUP BY ALL"
+    return out
+
+
+@register("trigram_weights", with_ctes(
+    "SELECT order_n, round(w, 6) AS weight FROM (SELECT 1 AS order_n, w1 AS w FROM l5 UNION ALL SELECT 2, w2 FROM l5 UNION ALL SELECT 3, w3 FROM l5)",
+    ["pairs"], P, extra=_ngram_ctes()))
+def q_trigram_weights(spark, sf_dir):
+    """L1 (interpolated): weight of every context length, chosen on the val blocks."""
+    from tessera.operators.interpolated import evaluate_ngrams
+    weights, _ = evaluate_ngrams(_prep(spark, sf_dir).blocks, P)
+    return spark.createDataFrame([(k, round(w, 6)) for k, w in weights.items()], "order_n int, weight double")
+
+
+@register("trigram_perplexity", with_ctes(
+    "SELECT split, round(avg(loss), 6) AS loss, round(sum(nll) / sum(n), 6) AS token_loss, round(exp(avg(loss)), 4) AS perplexity "
+    "FROM nbat GROUP BY split", ["pairs"], P, extra=_ngram_ctes()))
+def q_trigram_perplexity(spark, sf_dir):
+    """L1 + L2 for three-token windows: loss and perplexity of val (where the
+    weights were chosen) and test."""
+    from tessera.operators.evaluation import batch_losses, split_summary
+    from tessera.operators.interpolated import evaluate_ngrams
+    _, per_block = evaluate_ngrams(_prep(spark, sf_dir).blocks, P)
+    s = split_summary(batch_losses(per_block, P.eval_batch_size))
+    return s.select("split", _r(F.col("loss")).alias("loss"), _r(F.col("token_loss")).alias("token_loss"), _r(F.col("perplexity"), 4).alias("perplexity"))
+
+
 # ---------------------------------------------------------------- prompts and rewards
 _PROMPT_EXTRA = {
     "r": (f"SELECT doc_id, length(text) AS n_chars, "
