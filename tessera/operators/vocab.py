@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tessera.config import Params, SPECIAL_TOKENS
 from tessera.functions.text import pretokenize
+from tessera.session import stored
 
 
 def word_counts(lines: DataFrame, text_col: str = "text") -> DataFrame:
@@ -30,18 +31,37 @@ def special_rows(spark, specials=SPECIAL_TOKENS) -> DataFrame:
     return spark.createDataFrame([(i, t) for i, t in enumerate(specials)], "token_id int, token string")
 
 
+def frequency_cut(counts: DataFrame, k: int) -> tuple[int, int]:
+    """``(c, m)``: the ``k`` most frequent entries are those above count ``c``
+    and ``m`` of those at ``c``. From a histogram in powers of two, then of the
+    exact counts inside the one power where the cut lies."""
+    powers = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("p")).agg(F.count(F.lit(1)).alias("k")).collect()
+    above = 0
+    for p, found in sorted(((r["p"], r["k"]) for r in powers), reverse=True):
+        if above + found > k:
+            exact = counts.where(F.floor(F.log2("n")) == p).groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()
+            for n, same in sorted(((r["n"], r["k"]) for r in exact), reverse=True):
+                if above + same > k:
+                    return n, k - above
+                above += same
+        above += found
+    return 0, 0
+
+
 def word_vocab(counts: DataFrame, params: Params = Params()) -> DataFrame:
     """``(token_id, token)``: the specials, then the most frequent words
     (count desc, word asc) with at least ``min_frequency`` occurrences, up to
     ``vocab_size`` entries in all.
 
-    The ranking is a distributed top-k (``TakeOrderedAndProject``); only the
-    at most ``vocab_size`` winners are numbered, so the window below sees a
-    bounded table."""
+    The cut is found from histograms of the stored counts, so only the at most
+    ``vocab_size`` winners are sorted and numbered; of the words at the cut's
+    count the first ones by name are taken."""
     n_spec = len(params.special_tokens)
-    k = params.vocab_size - n_spec
-    top = (min_frequency(counts, params.min_frequency)
-           .orderBy(F.col("n").desc(), F.col("word").asc()).limit(k))
+    counts = stored(min_frequency(counts, params.min_frequency), "word-counts")
+    c, m = frequency_cut(counts, params.vocab_size - n_spec)
+    top = counts.where(F.col("n") > c)
+    if m:
+        top = top.unionByName(counts.where(F.col("n") == c).orderBy("word").limit(m))
     ranked = top.select(
         (F.row_number().over(Window.orderBy(F.col("n").desc(), F.col("word").asc())) + (n_spec - 1))
         .cast("int").alias("token_id"),

@@ -6,14 +6,15 @@ doubles are rounded to 6 places on both sides."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tessera.config import Params
 from tessera.plans import corpus
 from tessera.plans.oracles import with_ctes
-from tessera.session import cut_lineage, read_table
+from tessera.session import cut_lineage, ensure_checkpoint_dir, read_table
 
 P =Params()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,6 +148,61 @@ def q_perplexity(spark, sf_dir):
                     _r(F.col("token_loss")).alias("token_loss"), _r(F.col("perplexity"), 4).alias("perplexity"))
 
 
+# ---------------------------------------------------------------- corpus files, flat stream
+def _folder(spark, name: str) -> str:
+    """A new folder of the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
+
+
+def _file_lines(spark, sf_dir):
+    """The documents' lines as text files of three splits, read back."""
+    from tessera.sources.corpus import combine_splits, document_lines, file_lines, read_line_files, rename_split, write_line_files
+    folder = _folder(spark, "line-files")
+    write_line_files(document_lines(read_table(spark, sf_dir, "documents")), folder)
+    parts = [rename_split(read_line_files(spark, f"{folder}/split={name}", "*.txt", "train"), name) for name in ("train", "val", "test")]
+    return file_lines(combine_splits(*parts))
+
+
+@register("file_packed_blocks", ORACLES["packed_blocks"])
+def q_file_packed_blocks(spark, sf_dir):
+    """S1 + S2 + U1 + U2 + W1 + W2 over line files: order by file, byte range and
+    row; the same blocks as from the documents."""
+    b = corpus.prepare_lines(_file_lines(spark, sf_dir), P).blocks
+    return b.select("split", "block_id", F.size("tokens").cast("int").alias("n"), F.array_join("tokens", " ").alias("ids_text"))
+
+
+@register("stream_blocks", ORACLES["packed_blocks"])
+def q_stream_blocks(spark, sf_dir):
+    """S5 + S4 + W2: the token stream written as flat 16-bit ids and scanned back
+    by byte ranges, cut into the same blocks."""
+    from tessera.operators.pack import pack_blocks
+    from tessera.sources.token_stream import read_token_stream, write_token_stream
+    prep = _prep(spark, sf_dir)
+    folder = _folder(spark, "token-stream")
+    write_token_stream(prep.tokens, folder)
+    b = pack_blocks(read_token_stream(spark, folder), prep.totals, P)
+    return b.select("split", "block_id", F.size("tokens").cast("int").alias("n"), F.array_join("tokens", " ").alias("ids_text"))
+
+
+@register("stream_totals", with_ctes(
+    "SELECT split, count(*)::BIGINT AS n, max(pos)::BIGINT AS last_pos, sum(token_id)::BIGINT AS id_sum, "
+    "sum(token_id::BIGINT * (pos % 1009))::BIGINT AS placed_sum FROM tokens GROUP BY split", ["tokens"]))
+def q_stream_totals(spark, sf_dir):
+    """S5 + S4: count, last position and position-weighted sums of the scanned
+    flat stream of every split."""
+    from tessera.sources.token_stream import read_manifest, read_token_stream, write_token_stream
+    folder = _folder(spark, "token-stream")
+    write_token_stream(_prep(spark, sf_dir).tokens, folder)
+    splits = sorted({s["split"] for s in read_manifest(folder)})
+    parts = [read_token_stream(spark, folder, s) for s in splits]
+    t = parts[0]
+    for x in parts[1:]:
+        t = t.unionByName(x)
+    weighted = F.col("token_id").cast("bigint") * (F.col("pos") % 1009)
+    return t.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.max("pos").alias("last_pos"), F.sum(F.col("token_id").cast("bigint")).alias("id_sum"),
+                                  F.sum(weighted).alias("placed_sum"))
+
+
 # ---------------------------------------------------------------- batching
 def _md5_sql(*parts: str, digits: int = 7) -> str:
     return "('0x' || substr(md5(concat_ws('|', " + ", ".join(parts) + f")), 1, {digits}))::BIGINT"
@@ -416,6 +472,26 @@ def q_priority_domain(spark, sf_dir):
     return domain_violations(read_table(spark, sf_dir, "orders"), "o_orderpriority", PRIORITIES)
 
 
+TYPE_PATTERNS = ("ECONOMY", "STAND")   # substrings of part types that stand for the no-decay names
+
+
+@register("pattern_groups",
+          "SELECT CASE WHEN " + " OR ".join(f"contains(p_type, '{p}')" for p in TYPE_PATTERNS) + f" THEN 0.0 ELSE {P.weight_decay} END::DOUBLE "
+          "AS weight_decay, count(*)::BIGINT AS n_params, sum(p_size)::BIGINT AS numel FROM part GROUP BY 1")
+def q_pattern_groups(spark, sf_dir):
+    """P5 + A10 with patterns that names of this table contain: both groups."""
+    from tessera.operators.checks import decay_groups
+    return decay_groups(read_table(spark, sf_dir, "part"), "p_type", "p_size", P.weight_decay, TYPE_PATTERNS)
+
+
+@register("status_domain",
+          "SELECT count(*)::BIGINT AS n_rows, sum(CASE WHEN o_orderstatus IN ('F', 'O') THEN 0 ELSE 1 END)::BIGINT AS n_violations FROM orders")
+def q_status_domain(spark, sf_dir):
+    """P8 on a column that leaves its set: pending orders violate {F, O}."""
+    from tessera.operators.checks import domain_violations
+    return domain_violations(read_table(spark, sf_dir, "orders"), "o_orderstatus", ("F", "O"))
+
+
 @register("token_range", with_ctes(
     "SELECT split, count(*)::BIGINT AS n, max(token_id)::BIGINT AS max_id, "
     "sum(CASE WHEN token_id < 0 OR token_id >= 65536 THEN 1 ELSE 0 END)::BIGINT AS n_out_of_range "
@@ -520,6 +596,28 @@ def q_next_token_topk(spark, sf_dir):
                     F.array_join("e.next", " ").alias("next_ids"), F.array_join("e.ppm", " ").alias("probs_ppm"))
 
 
+@register("published_best", _grid_sql().replace(
+    "SELECT grid_no, alpha, round(loss, 6) AS loss, round(exp(loss), 4) AS perplexity, ",
+    "SELECT grid_no, alpha, round(loss, 6) AS loss, round(exp(loss), 4) AS perplexity, grid_no = arg_min(grid_no, (loss, grid_no)) OVER () AS is_best, "
+    "grid_no = max(grid_no) OVER () AS is_last, "))
+def q_published_best(spark, sf_dir):
+    """L3 + S8 + S9 + S10: the selection as a run, one evaluation after the
+    other; read back are the metric log and the settings of the models that the
+    pointers ``best`` and ``last`` name."""
+    from tessera.plans.selection import select_alpha
+    from tessera.sources.store import load_model
+    folder = _folder(spark, "selection")
+    select_alpha(_prep(spark, sf_dir).blocks, ALPHAS, folder, P)
+    log = spark.read.parquet(f"{folder}/metrics").withColumn("grid_no", F.col("epoch").cast("int"))
+    w = Window.orderBy("grid_no").rowsBetween(Window.unboundedPreceding, -1)      # one row per setting
+    for pointer in ("best", "last"):
+        of = load_model(spark, folder, ("settings",), pointer)["settings"].first()["epoch"]
+        log = log.withColumn(f"is_{pointer}", F.col("grid_no") == of)
+    before = F.least(F.coalesce(F.min("perplexity").over(w), F.lit(float(P.n_ids))), F.lit(float(P.n_ids)))
+    return log.select("grid_no", "alpha", _r(F.col("loss")).alias("loss"), _r(F.col("perplexity"), 4).alias("perplexity"), "is_best", "is_last",
+                      (F.col("perplexity") < before).alias("improved"))
+
+
 # ---------------------------------------------------------------- byte-level BPE
 def _bpe_model(prep: corpus.Prepared):
     """T1 on the train split's pre-tokens; the learned model is a small driver
@@ -569,11 +667,14 @@ def q_bpe_encode(spark, sf_dir):
 @register("bpe_roundtrip", with_ctes(
     "SELECT split, count(*)::BIGINT AS n_lines, count(*)::BIGINT AS n_equal FROM lines GROUP BY split", ["lines"]))
 def q_bpe_roundtrip(spark, sf_dir):
-    """J2 for BPE: decode(encode(line)) equals the line for every line (no
-    truncation, no eos)."""
+    """S6 + S10 + J2 for BPE: with the tokenizer published and loaded again,
+    decode(encode(line)) equals the line for every line (no truncation, no eos)."""
     from tessera.operators.bpe import decode_ids, encode_lines
+    from tessera.sources.store import load_bpe, save_bpe
     prep = _prep(spark, sf_dir)
-    model = _bpe_model(prep)
+    folder = _folder(spark, "tokenizer")
+    save_bpe(spark, _bpe_model(prep), folder)
+    model = load_bpe(spark, folder)
     enc = encode_lines(prep.words, model, P, append_eos=False, truncate=False)
     keys = ["split", "doc_id", "line_no"]
     dec = decode_ids(enc, model, "ids", keys)
@@ -582,6 +683,17 @@ def q_bpe_roundtrip(spark, sf_dir):
                                   F.sum((F.col("text") == F.col("orig")).cast("int")).cast("bigint").alias("n_equal"))
 
 
+@register("bpe_perplexity")
+def q_bpe_perplexity(spark, sf_dir):
+    """T4 + L1 + L2 on BPE ids: the corpus encoded by the learned vocabulary,
+    packed, fitted and scored (rows-only; the blocks are compared with the
+    tokenizers package in the tests)."""
+    prep = _prep(spark, sf_dir)
+    s = corpus.evaluate_blocks(corpus.bpe_blocks(prep, _bpe_model(prep), P), P)["summary"]
+    return s.select("split", "n_batches", "n_blocks", _r(F.col("loss")).alias("loss"),
+                    _r(F.col("token_loss")).alias("token_loss"), _r(F.col("perplexity"), 4).alias("perplexity"))
+
+
 # ---------------------------------------------------------------- generation
 @register("generate_samples")
 def q_generate_samples(spark, sf_dir):

@@ -15,12 +15,13 @@ from functools import cached_property
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.config import Params
+from tessera.operators.bpe import BpeModel, encode_lines
 from tessera.operators.encode import encode_tokens, tokenized_rows, with_words
 from tessera.operators.evaluation import batch_losses, split_summary
-from tessera.operators.ngram import fit_bigram, score_blocks
+from tessera.operators.ngram import contexts_of, fit_bigram, score_blocks
 from tessera.operators.pack import line_offsets, pack_line_blocks
 from tessera.operators.vocab import word_counts_of_words, word_vocab
-from tessera.session import cut_lineage
+from tessera.session import stored
 from tessera.sources.corpus import document_lines
 
 
@@ -69,7 +70,7 @@ class Prepared:
         # the packed stream is the job's product (S5): stored once in the shared
         # folder, so fitting (train split) and scoring (other splits) read it
         # instead of each re-running encode and pack for their split
-        return cut_lineage(pack_line_blocks(self.line_ids, self.totals, self.params))
+        return stored(pack_line_blocks(self.line_ids, self.totals, self.params), "blocks", "split")
 
     @cached_property
     def tokens(self) -> DataFrame:    # split, doc_id, line_no, i, token_id, pos
@@ -80,28 +81,47 @@ class Prepared:
 
 
 def prepare(documents: DataFrame, params: Params = Params(), vocab: DataFrame | None = None,
-            vocab_split: str = "train", materialize: bool = True) -> Prepared:
-    """``materialize`` writes the pre-tokenized line table once (reliable
-    checkpoint in the shared folder), so the regex runs once and every reader
-    (word counts, offsets, encoding) scans the stored rows."""
-    lines = document_lines(documents)
-    lines = widen_if_narrow(lines)
-    words = with_words(lines, params)
-    if materialize:
-        # the stored table keeps keys, words and len; the text is re-derived
-        # from the (pruned, narrow) document scan where a consumer needs it
-        words = cut_lineage(words.drop("text"))
+            vocab_split: str = "train") -> Prepared:
+    """The job graph over a table of documents, lines keyed (doc_id, line_no)."""
+    return prepare_lines(document_lines(documents), params, vocab, vocab_split)
+
+
+def prepare_lines(lines: DataFrame, params: Params = Params(), vocab: DataFrame | None = None,
+                  vocab_split: str = "train") -> Prepared:
+    """The job graph over lines ``(split, doc_id, line_no, text)``, whatever
+    their source; (doc_id, line_no) orders the lines of a split.
+
+    The pre-tokenized lines are stored once, as Parquet partitioned by split: the
+    regex runs once, and every reader scans its split and its columns only (word
+    counts the train words, offsets the lengths). The text isn't stored; it is
+    derived anew from the pruned source scan where a consumer needs it."""
+    words = stored(with_words(widen_if_narrow(lines), params).drop("text"), "words", "split")
     if vocab is None:
         vocab = word_vocab(word_counts_of_words(words.where(F.col("split") == vocab_split)), params)
     return Prepared(lines, words, vocab, params)
 
 
+def bpe_blocks(prep: Prepared, model: BpeModel, params: Params = Params()) -> DataFrame:
+    """T4 on BPE ids: encode, offsets over the encoded lengths, blocks."""
+    ids = stored(encode_lines(prep.words, model, params), "bpe-ids", "split")
+    placed, totals = line_offsets(ids, params)
+    return stored(pack_line_blocks(placed, totals, params), "bpe-blocks", "split")
+
+
 def evaluate(prep: Prepared, params: Params = Params(), train_split: str = "train",
              eval_splits=("val", "test")) -> dict[str, DataFrame]:
+    return evaluate_blocks(prep.blocks, params, train_split, eval_splits)
+
+
+def evaluate_blocks(blocks: DataFrame, params: Params = Params(), train_split: str = "train",
+                    eval_splits=("val", "test")) -> dict[str, DataFrame]:
     """The model is fit on ``train_split`` (explicit; never silently the
     evaluation split) and scored on ``eval_splits``."""
-    bigrams, contexts = fit_bigram(prep.blocks.where(F.col("split") == train_split))
-    per_block = score_blocks(prep.blocks.where(F.col("split").isin(*eval_splits)), bigrams, contexts, params)
+    # stored: scoring and later readers use the counts as they are, and the join
+    # of pairs reads a scan, so that AQE can split a hot pair
+    bigrams = stored(fit_bigram(blocks.where(F.col("split") == train_split))[0], "bigrams")
+    contexts = stored(contexts_of(bigrams), "contexts")
+    per_block = score_blocks(blocks.where(F.col("split").isin(*eval_splits)), bigrams, contexts, params)
     per_batch = batch_losses(per_block, params.eval_batch_size)
     return {"bigrams": bigrams, "contexts": contexts, "per_block": per_block,
             "per_batch": per_batch, "summary": split_summary(per_batch)}

@@ -5,20 +5,22 @@ settings on the driver; every evaluation inside it is a Spark job."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.config import Params
 from tessera.operators.evaluation import batch_losses, split_summary
-from tessera.operators.ngram import fit_bigram, score_blocks
-from tessera.sources.store import append_metrics, save_if_improved
+from tessera.operators.ngram import contexts_of, fit_bigram, score_blocks
+from tessera.session import stored
+from tessera.sources.store import log_metrics, save_if_improved
 
 
 def select_alpha(blocks: DataFrame, alphas, out_dir: str, params: Params = Params(),
                  train_split: str = "train", eval_split: str = "val", run: str = "run0") -> float | None:
+    """The least perplexity; models under ``out_dir`` (pointers last and best),
+    the metric log beside them."""
     spark = blocks.sparkSession
-    bigrams, contexts = fit_bigram(blocks.where(F.col("split") == train_split))
+    bigrams = stored(fit_bigram(blocks.where(F.col("split") == train_split))[0], "bigrams")
+    contexts = stored(contexts_of(bigrams), "contexts")
     best = float(params.n_ids)  # the untrained (uniform) model's perplexity seeds the running best
     ev = blocks.where(F.col("split") == eval_split)
     for epoch, alpha in enumerate(alphas):
@@ -26,7 +28,7 @@ def select_alpha(blocks: DataFrame, alphas, out_dir: str, params: Params = Param
                                        params.eval_batch_size)).first()
         row = {"run": run, "epoch": epoch, "alpha": float(alpha), "split": eval_split,
                "loss": float(s.loss), "perplexity": float(s.perplexity)}
-        append_metrics(spark.createDataFrame([row]), os.path.join(out_dir, "metrics"))
-        model = {"bigrams": bigrams.withColumn("alpha", F.lit(float(alpha))), "contexts": contexts}
-        best = save_if_improved(model, row, best, os.path.join(out_dir, "best"), os.path.join(out_dir, "last"))
+        log_metrics(spark.createDataFrame([row]), f"{out_dir}/metrics")
+        settings = spark.createDataFrame([(float(alpha), epoch)], "alpha double, epoch int")
+        best = save_if_improved({"bigrams": bigrams, "contexts": contexts, "settings": settings}, row["perplexity"], best, out_dir)
     return best

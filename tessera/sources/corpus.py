@@ -17,7 +17,7 @@ def read_line_files(spark: SparkSession, directory: str, glob: str, split: str)
     Order key: ``(file_name, file_block_start, row_in_block)``. The row number
     is ``monotonically_increasing_id`` which grows with the line order inside one
     scan partition, and a scan partition never spans two file blocks."""
-    df = (spark.read.option("pathGlobFilter", glob).text(directory)
+    df = (spark.read.option("pathGlobFilter", glob).option("lineSep", "\n").text(directory)
           .select(F.col("value").alias("text"),
                   F.col("_metadata.file_name").alias("file_name"),
                   F.col("_metadata.file_block_start").alias("block_start"),
@@ -26,6 +26,21 @@ def read_line_files(spark: SparkSession, directory: str, glob: str, split: str)
                      F.regexp_replace("text", "\r$", "").alias("text"))
 
 
+def file_lines(lines: DataFrame) -> DataFrame:
+    """Lines of files as the corpus job takes them, ``(split, doc_id, line_no,
+    text)``: the place of a line is its file and byte range, then its row there."""
+    place = F.concat_ws("@", "file_name", F.lpad(F.col("block_start").cast("string"), 19, "0"))
+    return lines.select("split", place.alias("doc_id"), F.col("row_id").alias("line_no"), "text")
+
+
+def write_line_files(lines: DataFrame, directory: str) -> None:
+    """The inverse of the scan: one folder ``split=<name>`` of text files per
+    split, whose names and rows follow the order of (doc_id, line_no)."""
+    n = max(1, lines.sparkSession.sparkContext.defaultParallelism)
+    (lines.repartitionByRange(n, "split", "doc_id", "line_no").sortWithinPartitions("split", "doc_id", "line_no")
+     .select("split", "text").write.partitionBy("split").option("lineSep", "\n").text(directory))
+
+
 def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
     """S3: a named split of a dataset partitioned by ``split`` (partition pruning)."""
     return spark.read.parquet(path).where(F.col("split") == split)

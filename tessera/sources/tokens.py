@@ -1,22 +1,10 @@
-"""Token stream sinks and scans.
-
-Native form: the token rows ``(split, pos, token_id)`` or the packed blocks,
-written as parquet partitioned by ``split`` (so reading one split prunes the
-others). Interchange form: flat little-endian unsigned 16-bit files, one per
-shard of ``shard_tokens`` consecutive positions, named by the start offset.
-Concatenating a split's shards in name order gives the flat stream. Shards
-are built with built-in expressions (no Python); only the final file write
-runs in tasks, and a retried task rewrites the same file with the same bytes."""
+"""S4, S5 in native form: the token rows ``(split, pos, token_id)``, written as
+Parquet partitioned by ``split`` (so reading one split prunes the others). The
+flat 16-bit stream is :mod:`tessera.sources.token_stream`."""
 
 from __future__ import annotations
 
-import os
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from tessera.operators.checks import narrow_u16
+from pyspark.sql import DataFrame, functions as F
 
 TASK_TOKENS = 1 << 22    # rows of the token table that one task writes
 
@@ -29,58 +17,8 @@ def write_token_table(tokens: DataFrame, path: str, mode: str = "overwrite") ->
      .sortWithinPartitions("split", "pos").write.mode(mode).partitionBy("split").parquet(path))
 
 
-def token_shards(tokens: DataFrame, shard_tokens: int = 1 << 20) -> DataFrame:
-    """``(split, start, n, payload)``: one row per shard of consecutive
-    positions. A shard never holds more than ``shard_tokens`` ids."""
-    t = (tokens.select("split", "pos", narrow_u16("token_id").alias("token_id"))
-         .withColumn("shard", F.floor(F.col("pos") / shard_tokens)))
-    g = t.groupBy("split", "shard").agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("_s"))
-    ids = F.col("_s.token_id")
-    return g.select("split", (F.col("shard") * shard_tokens).cast("bigint").alias("start"),
-                    F.size(ids).alias("n"), u16_payload(ids).alias("payload"))
-
-
-def u16_payload(ids):
-    """Little-endian uint16 bytes of an id array column."""
-    hexed = F.transform(ids, lambda i: F.concat(F.lpad(F.hex(i % 256), 2, "0"),
-                                                 F.lpad(F.hex(F.floor(i / 256)), 2, "0")))
-    return F.unhex(F.array_join(hexed, ""))
-
-
-def write_bin_shards(shards: DataFrame, directory: str) -> None:
-    """S5 interchange: ``<directory>/<split>/<start:015d>.bin``. ``directory``
-    must be a folder every executor sees (a shared mount)."""
-    def write(it):
-        for pdf in it:
-            for split, start, payload in zip(pdf["split"], pdf["start"], pdf["payload"]):
-                d = os.path.join(directory, split)
-                os.makedirs(d, exist_ok=True)
-                tmp = os.path.join(d, f".{int(start):015d}.bin.tmp")
-                with open(tmp, "wb") as fh:
-                    fh.write(bytes(payload))
-                os.replace(tmp, os.path.join(d, f"{int(start):015d}.bin"))
-            yield pd.DataFrame({"n": [len(pdf)]})
-    shards.select("split", "start", "payload").mapInPandas(write, "n long").agg(F.sum("n")).collect()
-
-
-def read_bin_shards(spark: SparkSession, directory: str, split: str) -> DataFrame:
-    """The flat uint16 stream of ``split`` as ``(split, pos, token_id)``;
-    each file is one bounded shard, decoded with ``numpy.frombuffer``."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.bin")
-             .load(os.path.join(directory, split)).select("path", "content"))
-
-    def decode(it):
-        for pdf in it:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                start = int(os.path.basename(path).split(".")[0])
-                arr = np.frombuffer(bytes(content), dtype="<u2").astype(np.int32)
-                yield pd.DataFrame({"split": split, "pos": np.arange(start, start + len(arr), dtype=np.int64),
-                                    "token_id": arr})
-    return files.mapInPandas(decode, "split string, pos long, token_id int")
-
-
 def blocks_from_stream(stream: DataFrame, block_size: int, n_total: int, drop_rule: str = "reference") -> DataFrame:
-    """W2 over a scanned stream with a known length (for ``.bin`` input)."""
+    """W2 over a scanned stream with a known length (a scanned flat stream)."""
     from tessera.operators.pack import keep_block
     t = stream.withColumn("block_id", F.floor(F.col("pos") / block_size).cast("bigint"))
     t = t.where(keep_block(F.col("block_id"), F.lit(n_total), block_size, drop_rule))

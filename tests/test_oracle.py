@@ -29,7 +29,7 @@ def test_query_matches_oracle(spark, con, name):
 
 
 # iterative: compared with a library or brute force in the other tests
-ITERATIVE = {"classifier_head", "bpe_merges", "bpe_encode", "generate_samples"}
+ITERATIVE = {"classifier_head", "bpe_merges", "bpe_encode", "bpe_perplexity", "generate_samples"}
 
 
 def test_every_query_has_oracle_or_is_iterative():

@@ -1,14 +1,14 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.config import Params
 from tessera.operators.generate import generate
 from tessera.operators.ngram import fit_bigram
 from tessera.sources.corpus import combine_splits, read_line_files, rename_split
-from tessera.sources.store import append_metrics, save_if_improved
-from tessera.sources.tokens import read_bin_shards, token_shards, write_bin_shards
+from tessera.sources.store import current_version, load_model, log_metrics, publish_model, save_if_improved
 
 
 def test_line_files_keep_blank_lines_and_strip_cr(spark):
@@ -25,28 +25,58 @@ def test_line_files_keep_blank_lines_and_strip_cr(spark):
     assert {r.split: r["count"] for r in both.groupBy("split").count().collect()} == {"train": 4, "val": 1}
 
 
-def test_bin_shards_roundtrip(spark):
-    n = 10_000
-    toks = spark.createDataFrame([("train", i, (i * 37) % 65536) for i in range(n)], "split string, pos long, token_id int")
-    d = tempfile.mkdtemp(prefix="tessera-bin-")
-    write_bin_shards(token_shards(toks, shard_tokens=3000), d)
-    files = sorted(os.listdir(os.path.join(d, "train")))
-    assert len(files) == 4
-    raw = b"".join(open(os.path.join(d, "train", f), "rb").read() for f in files)
-    import numpy as np
-    assert np.frombuffer(raw, "<u2").tolist() == [(i * 37) % 65536 for i in range(n)]
-    back = read_bin_shards(spark, d, "train")
-    assert sorted((r.pos, r.token_id) for r in back.collect()) == [(i, (i * 37) % 65536) for i in range(n)]
-
-
-def test_best_model_sink_only_on_improvement(spark):
-    d = tempfile.mkdtemp(prefix="tessera-best-")
-    m = {"t": spark.createDataFrame([(1,)], "x int")}
-    best = save_if_improved(m, {"perplexity": 10.0}, None, f"{d}/best", f"{d}/last")
-    assert best == 10.0
-    assert save_if_improved(m, {"perplexity": 12.0}, best, f"{d}/best", f"{d}/last") == 10.0
-    append_metrics(spark.createDataFrame([(0, 0, "val", 1.0, 2.0)], "run int, epoch int, split string, loss double, perplexity double"), f"{d}/metrics")
-    assert spark.read.parquet(f"{d}/metrics").count() == 1
+def test_best_model_pointer_only_on_improvement(spark, tmp_path):
+    root = str(tmp_path / "m")
+    def table(x):
+        return {"t": spark.createDataFrame([(x,)], "x int")}
+
+    def seen(pointer):
+        return load_model(spark, root, ("t",), pointer)["t"].first().x
+    assert current_version(spark, root) is None
+    best = save_if_improved(table(1), 10.0, None, root)
+    assert best == 10.0 and seen("best") == seen("last") == 1
+    assert save_if_improved(table(2), 12.0, best, root) == 10.0 and (seen("best"), seen("last")) == (1, 2)
+    assert save_if_improved(table(3), 10.0, best, root) == 10.0 and (seen("best"), seen("last")) == (1, 3)   # no strict improvement
+    assert save_if_improved(table(4), 9.0, best, root) == 9.0 and (seen("best"), seen("last")) == (4, 4)
+
+
+def test_a_reader_during_a_write_sees_the_old_model_whole(spark, tmp_path):
+    root = str(tmp_path / "m")
+    publish_model({"a": spark.range(3), "b": spark.range(4)}, root)
+    held = load_model(spark, root, ("a", "b"))
+    bad = spark.range(5).selectExpr("CASE WHEN id = 4 THEN raise_error('killed') ELSE id END AS id")
+    with pytest.raises(Exception, match="killed"):
+        publish_model({"a": spark.range(9), "b": bad}, root)              # dies between the tables
+    again = load_model(spark, root, ("a", "b"))
+    assert (again["a"].count(), again["b"].count()) == (3, 4)
+    publish_model({"a": spark.range(7), "b": spark.range(8)}, root)
+    assert (held["a"].count(), held["b"].count()) == (3, 4)               # the old version stays for its readers
+    new = load_model(spark, root, ("a", "b"))
+    assert (new["a"].count(), new["b"].count()) == (7, 8)
+
+
+def test_a_metric_that_is_written_again_is_not_doubled(spark, tmp_path):
+    path = str(tmp_path / "metrics")
+    schema = "run string, epoch int, loss double"
+    for rows in ([("r", 0, 2.0)], [("r", 1, 1.5)], [("r", 1, 1.5)], [("s", 0, 3.0)]):
+        log_metrics(spark.createDataFrame(rows, schema), path)
+    assert sorted((r.run, r.epoch, r.loss) for r in spark.read.parquet(path).collect()) == [("r", 0, 2.0), ("r", 1, 1.5), ("s", 0, 3.0)]
+
+
+def test_file_lines_follow_files_and_bytes(spark, tmp_path):
+    from tessera.sources.corpus import file_lines, write_line_files
+    rows = [("train", i // 7, i % 7, ["", f"line {i}", f"é漢 {i}\r"][i % 3]) for i in range(200)] + [("val", 3, 0, "v")]
+    lines = spark.createDataFrame(rows, "split string, doc_id long, line_no int, text string").repartition(6)
+    folder = str(tmp_path / "files")
+    write_line_files(lines, folder)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")           # several byte ranges a file
+    try:
+        back = file_lines(read_line_files(spark, f"{folder}/split=train", "*.txt", "train"))
+        got = [r.text for r in back.orderBy("doc_id", "line_no").collect()]
+        assert len({r.doc_id for r in back.select("doc_id").collect()}) > 5
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [t.rstrip("\r") for s, _, _, t in rows if s == "train"]
 
 
 def test_generation_invariants(spark):
@@ -78,7 +108,7 @@ def test_select_alpha_logs_and_keeps_best(spark, docs):
     m = spark.read.parquet(f"{d}/metrics").orderBy("epoch").collect()
     assert [r.alpha for r in m] == [1.0, 0.1, 0.5]
     assert best == min(r.perplexity for r in m)
-    kept = spark.read.parquet(f"{d}/best/bigrams").select("alpha").distinct().first().alpha
+    kept = load_model(spark, d, ("settings",), "best")["settings"].first().alpha
     assert kept == [r.alpha for r in m if r.perplexity == best][0]
 
 
