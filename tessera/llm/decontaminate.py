@@ -146,14 +146,19 @@ def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> Dat
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """One row per (document, item): the least distance and the number of places."""
-    return find_items(docs, benchmark, rate).groupBy("doc_id", "item_id").agg(
-        F.min("distance").alias("distance"), F.count("*").alias("places"), F.min("first_char").alias("first_char"))
+    """One row per (row of ``docs``, item): the least distance and the number of
+    places. Repeated rows, and rows without a doc_id, each report their own."""
+    row = F.struct("doc_id", F.monotonically_increasing_id().alias("rk")).alias("doc_id")
+    return find_items(docs.select(row, "text"), benchmark, rate).groupBy("doc_id", "item_id").agg(
+        F.min("distance").alias("distance"), F.count("*").alias("places"), F.min("first_char").alias("first_char")) \
+        .select("doc_id.doc_id", "item_id", "distance", "places", "first_char")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """The rows of ``docs`` without any item; all columns as they were. Rows are
-    told apart by doc_id and text, so equal ids with other texts stay."""
+    """The rows of ``docs`` without any item; all columns as they were, whatever
+    their names. Rows are told apart by doc_id and text, so equal ids with other
+    texts stay."""
     key = row_hash("doc_id", "text", seed=10)
-    marked = find_items(docs.select(key.alias("doc_id"), "text"), benchmark, rate).select(F.col("doc_id").alias("gone_key")).distinct()
-    return docs.join(marked, key == F.col("gone_key"), "left_anti")
+    marked = find_items(docs.select(key.alias("doc_id"), "text"), benchmark, rate).select(F.col("doc_id").alias("gone")).distinct()
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"))
+    return whole.join(marked, F.col("key") == F.col("gone"), "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

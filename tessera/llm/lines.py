@@ -128,12 +128,14 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with the removed lines taken out of the text."""
-    gone = repeated_lines(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone_lines")).withColumnRenamed("doc_id", "gone_doc")
-    kept = F.filter(F.split(F.col("text"), "\n", -1), lambda x, i: ~F.array_contains(F.col("gone_lines"), i))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_doc")), "left")
-    return joined.withColumn("text", F.when(F.col("gone_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))) \
-        .drop("gone_doc", "gone_lines")
+    """``docs`` with the removed lines taken out of the text; all other columns
+    as they were, whatever their names."""
+    gone = repeated_lines(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("lines")).select(F.col("doc_id").alias("gone"), "lines")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = whole.join(gone, F.col("row.doc_id").eqNullSafe(F.col("gone")), "left")
+    kept = F.filter(F.split(F.col("row.text"), "\n", -1), lambda x, i: ~F.array_contains(F.col("lines"), i))
+    text = F.when(F.col("lines").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
+    return joined.select(*[(text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 # the same in DuckDB: distinct lines of nearly equal length that share a half, and a place at which

@@ -83,7 +83,8 @@ def fit(docs: DataFrame) -> DataFrame:
         disc = lambda k: F.greatest(F.lit(0.05), F.least(F.lit(k - 0.05), F.when(
             F.col(f"n{k}") > 0, k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")).otherwise(0.75)))
         discounts = grams[o].groupBy("lang").agg(*n).select("lang", *[F.coalesce(disc(k), F.lit(0.75)).alias(f"d{k}") for k in (1, 2, 3)])
-        part = grams[o].join(discounts, "lang").withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
+        # one row per language: broadcast, so that the n-grams of a language stay spread
+        part = grams[o].join(F.broadcast(discounts), "lang").withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
         context = part.groupBy("lang", ctx).agg(F.sum("c").alias("total"), F.sum("d").alias("off"))
         context = context.select("lang", "ctx", "total", (F.col("off") / F.col("total")).alias("gamma"))
         p = part.withColumn("ctx", ctx).join(context, ["lang", "ctx"])
