@@ -5,16 +5,19 @@ A text is read as lower-cased words and an end mark. Words of the dictionary
 words are spelled byte by byte and closed by a blank, so every text has a
 probability. Symbols are coded by a Huffman tree: each step down the tree is a
 bit. ``CONTEXTS`` predictors give each bit's odds from hashed contexts (the
-tree node alone; with the symbol before, or the two letters before while
-spelling; with the four letters before), from counts over all training rows. Their stretched odds are combined by weights
+tree node alone; with the word before, or the two letters before while
+spelling; with the two words before, or the four letters before), from counts
+over all training rows. Their stretched odds are combined by weights
 gated by the state (spelling or not); the weights learn online, every
 ``BLOCK`` bits, along lanes of ``LANE`` bits of a text, and a table of final
 probabilities refines the result. The cost of all bits is the score.
 
-Training rows are those whose crc32(doc_id as text) mod 7 is not 2. Word
-counts cover all of them, bit counts all but a bounded sample (``SAMPLE`` texts
-by a seeded hash), from which the start weights and the refinement are learned.
-The tables have a fixed number of slots; tasks send one block of them each.
+Training rows are those whose crc32(doc_id as text) mod 7 is not 2. Word and
+bit counts cover all of them. The start weights and the refinement are learned
+on a bounded sample of them (``SAMPLE`` texts by a seeded hash), each read
+without its own counts. The tables' slots follow the number of training tokens,
+from ``SLOTS`` to ``MOST_SLOTS``, a bound of their broadcast; tasks send their
+counts in blocks.
 
 The base score needs the count of every word: the ``TOP`` most frequent go to
 the tasks, the others are joined by shuffle.
@@ -37,13 +40,14 @@ DICTIONARY = 65_536      # words that are one symbol, at most
 DICTIONARY_COUNT = 16    # and seen at least so often; rarer ones teach spelling
 TOP = 200_000            # word counts that tasks hold
 WORD_BYTES = 64          # longest word of those two tables
-SLOTS = 1 << 19          # slots of a hashed context
+SLOTS, MOST_SLOTS = 1 << 19, 1 << 21   # slots of a hashed context, by the number of training tokens
 CONTEXTS = 3
 LANE, BLOCK = 1024, 16
 SAMPLE, SAMPLE_CHARS = 200, 20_000
 RATE = 0.02
 TOP_ODDS, STEP = 15, 64  # mixed odds are clipped to +- TOP_ODDS and read in steps of 1 / STEP
-CHUNK = 2 << 20          # bytes of text coded at once
+CHUNK = 1 << 19          # bytes of text coded at once
+FINE = 8                 # steps of a table's odds
 _M = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 SPELL, END = 256, 256    # symbols 0..255 are bytes, 256 the end mark, the dictionary follows
 
@@ -87,9 +91,9 @@ def _spelling(words: frozenset):
 class Coder:
     """The dictionary and its Huffman tree."""
 
-    def __init__(self, words: list[bytes], counts: np.ndarray):
+    def __init__(self, words: list[bytes], counts: np.ndarray, slots: int = SLOTS):
         """``counts`` of the 256 bytes, the end mark and the words, in order."""
-        self.n = 257 + len(words)
+        self.n, self.slots = 257 + len(words), slots
         heap = [(int(c) + 1, i) for i, c in enumerate(counts)]
         heapq.heapify(heap)
         up = np.zeros(2 * self.n - 1, np.int64)
@@ -144,7 +148,7 @@ class Coder:
         ends = np.cumsum(sizes)
         at = np.arange(len(symbols), dtype=np.int32) - np.repeat((ends - sizes).astype(np.int32), sizes)
         inside = np.ones(len(symbols), bool)           # still in the word that is being spelled
-        c2 = c4 = last = spelling = None
+        c2 = c4 = last = spelling = two = None
         for d in range(1, 5):
             s = np.full(len(symbols), self.n, np.uint32)
             s[d:] = symbols[:-d]
@@ -156,6 +160,8 @@ class Coder:
                 last, spelling = s, inside
             elif d == 2:
                 c2 = np.where(spelling, c4, last + np.uint32(1))
+                two = (last + np.uint32(1)) * _M[1] + s + np.uint32(7)
+        c4 = np.where(spelling, c4, two)
         n = self.length[symbols]
         per_text = np.add.reduceat(n, ends - sizes).astype(np.int64) if len(sizes) else np.zeros(0, np.int64)
         room = -(-per_text // align) * align
@@ -168,14 +174,14 @@ class Coder:
             np.minimum(where, len(self.nodes) - 1, out=where)
         state = np.repeat(spelling, n)
         # spelling and whole words use a half of the slots each
-        shift = np.uint32(32 - (SLOTS.bit_length() - 2))
+        shift = np.uint32(32 - (self.slots.bit_length() - 2))
         spread = self.spread.take(where)
         slots = [self.nodes.take(where)]
         for c in (c2, c4):
             h = np.repeat((c * _M[2]) ^ (c >> np.uint32(15)), n) ^ spread
             h *= _M[0]
             h >>= shift
-            h += state * np.uint32(SLOTS // 2)
+            h += state * np.uint32(self.slots // 2)
             slots.append(h.view(np.int32))
         return slots, self.bits.take(where), state, per_text, first
 
@@ -198,11 +204,11 @@ def _count_bits(held):
         import pyarrow as pa
         coder, top = held.value
         numbers = Numbers(top)
-        size = [coder.n, SLOTS, SLOTS]
+        size = [coder.n, coder.slots, coder.slots]
         total = [np.zeros(2 * s, np.int32) for s in size]
         some = False
         with np.errstate(over="ignore"):
-            for table in grouped_by_bytes(batches, "text", CHUNK):
+            for table in grouped_by_bytes(batches, "text", 2 * CHUNK):
                 slots, bits, _, _, _ = coder.expand(*coder.encode(*numbers(table.column("text").to_pylist())))
                 for k in range(CONTEXTS):
                     total[k] += np.bincount(slots[k] * 2 + bits, minlength=2 * size[k]).astype(np.int32)
@@ -221,17 +227,23 @@ def _sum_blocks(key, table):
     for c in table.column("counts"):
         x = np.frombuffer(c.as_buffer(), np.int32).astype(np.int64)
         total = x if total is None else total + x
-    n = total[1::2] + total[0::2]              # few sightings say little
-    odds = (np.log((total[1::2] + 0.4) / (total[0::2] + 0.4)) * n / (n + 1.5)).astype(np.float32)
     return pa.table({"context": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()),
-                     "odds": pa.array([odds.tobytes()], pa.binary())})
+                     "counts": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+
+def _odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Stretched odds of counts, in steps of 1 / FINE; few sightings say little."""
+    n = zeros + ones
+    x = np.log((ones + np.float32(0.4)) / (zeros + np.float32(0.4))) * (n / (n + np.float32(1.5)))
+    return np.rint(np.clip(x, -12, 12) * FINE).astype(np.int8)
 
 
 class Mixer:
     """Coder, odds tables, start weights and refinement."""
 
-    def __init__(self, coder: Coder, odds: list[np.ndarray]):
-        self.coder, self.odds = coder, [np.clip(o, -12, 12) for o in odds]
+    def __init__(self, coder: Coder, counts: list[np.ndarray]):
+        """``counts``: zeros and ones of every slot in turn, by context."""
+        self.coder, self.odds = coder, [_odds(c[0::2], c[1::2]) for c in counts]
         self.weights = np.full((2, CONTEXTS), 0.4, np.float32)
         # stretched probabilities come in steps of 1 / STEP
         self.grid = (np.arange(2 * TOP_ODDS * STEP + 1) / STEP - TOP_ODDS).astype(np.float32)
@@ -243,9 +255,19 @@ class Mixer:
         z = np.clip(self.grid + move, -20, 20)
         self.cost = np.stack([np.log1p(np.exp(z)), np.log1p(np.exp(-z))], axis=1).astype(np.float32).ravel() / np.float32(np.log(2))
 
-    def inputs(self, words, ids):
+    def inputs(self, words, ids, counts: list[np.ndarray] | None = None):
+        """The predictors' odds of all bits. With ``counts`` the texts are among
+        those counted, and each is read without its own sightings."""
         slots, bits, state, per_text, first = self.coder.expand(*self.coder.encode(words, ids), align=BLOCK)
-        x = [o.take(s).reshape(-1, BLOCK) for o, s in zip(self.odds, slots)]
+        x = [o.take(s) for o, s in zip(self.odds, slots)]
+        if counts is not None:
+            for a, n in zip(first.tolist(), per_text.tolist()):
+                for k, s in enumerate(slots):
+                    at, of = np.unique(s[a:a + n], return_inverse=True)
+                    own = np.bincount(of * 2 + bits[a:a + n], minlength=2 * len(at)).astype(np.float32)
+                    zeros, ones = (np.maximum(counts[k][2 * at + j] - own[j::2], 0) for j in (0, 1))
+                    x[k][a:a + n] = _odds(zeros, ones)[of]
+        x = [o.reshape(-1, BLOCK) for o in x]
         # places after a text's last bit say nothing and teach nothing
         tail = np.flatnonzero(per_text % BLOCK)
         for i, rest in zip((first + per_text)[tail] // BLOCK, per_text[tail] % BLOCK):
@@ -270,7 +292,7 @@ class Mixer:
             if not live:
                 break
             at = start[:live] + t
-            xb = [k.take(at, axis=0) for k in x]
+            xb = [k.take(at, axis=0) * np.float32(1 / FINE) for k in x]
             sb, bb = state.take(at, axis=0), bits.take(at, axis=0)
             d = None
             for k in range(CONTEXTS):
@@ -291,12 +313,12 @@ class Mixer:
             learn.append(w.mean(0))
         return steps
 
-    def fit(self, words, ids, rounds: int = 3):
+    def fit(self, words, ids, counts: list[np.ndarray], rounds: int = 3):
         """Start weights (mean of the lanes' last ones) and refinement from a
-        bounded sample."""
+        bounded sample of the counted texts, each without its own counts."""
         if not words:
             return self
-        data = self.inputs(words, ids)
+        data = self.inputs(words, ids, counts)
         _, bits, state, per_text, first = data
         for _ in range(rounds):
             learned: list = []
@@ -347,19 +369,20 @@ def fit(docs: DataFrame, counts: DataFrame, top: list[tuple[bytes, int]], ends:
     for r in spelled:
         by_byte[r["byte"]] = r["c"]
     known = dict(top)
-    coder = Coder(words, np.concatenate([by_byte, [ends], [known[w] for w in words]]))
+    tokens = sum(known.values())
+    slots = min(MOST_SLOTS, max(SLOTS, 1 << (tokens // 8).bit_length()))
+    coder = Coder(words, np.concatenate([by_byte, [ends], [known[w] for w in words]]), slots)
     texts = training_rows(docs.select("doc_id", row_hash("doc_id", "text", seed=9).alias("rk"), text_of().alias("text")))
     sample = texts.where(F.length("text") <= SAMPLE_CHARS).orderBy("rk", "doc_id", "text").limit(SAMPLE).collect()
-    tables = texts.where(~F.col("rk").isin([r["rk"] for r in sample])).select("text") \
-        .mapInArrow(_count_bits(spark.sparkContext.broadcast((coder, words))), "context int, block int, counts binary") \
-        .groupBy("context", "block").applyInArrow(_sum_blocks, "context int, block int, odds binary").collect()
-    odds = [np.zeros(n, np.float32) for n in (coder.n, SLOTS, SLOTS)]
+    tables = texts.select("text").mapInArrow(_count_bits(spark.sparkContext.broadcast((coder, words))), "context int, block int, counts binary") \
+        .groupBy("context", "block").applyInArrow(_sum_blocks, "context int, block int, counts binary").collect()
+    seen = [np.zeros(2 * n, np.float32) for n in (coder.n, coder.slots, coder.slots)]
     for r in tables:
-        a = r["block"] << 14
-        part = np.frombuffer(r["odds"], np.float32)
-        odds[r["context"]][a:a + len(part)] = part
+        a = r["block"] << 15
+        part = np.frombuffer(r["counts"], np.float32)
+        seen[r["context"]][a:a + len(part)] = part
     with np.errstate(over="ignore"):
-        return Mixer(coder, odds).fit(*Numbers(words)([r["text"] for r in sample]))
+        return Mixer(coder, seen).fit(*Numbers(words)([r["text"] for r in sample]), seen)
 
 
 def _score(held, top_held):

@@ -223,7 +223,7 @@ def test_mixing_model(spark, odd, empty):
     with np.errstate(over="ignore"):
         symbols, sizes = coder.encode(*Numbers(words)(["aa xyz bb", "", "aa"]))
         assert symbols.tolist() == [257, 120, 121, 122, 32, 258, 256, 256, 257, 256] and sizes.tolist() == [7, 1, 2]
-        flat = Mixer(coder, [np.zeros(coder.n, np.float32)] + [np.zeros(1 << 19, np.float32)] * 2)
+        flat = Mixer(coder, [np.zeros(2 * n, np.float32) for n in (coder.n, coder.slots, coder.slots)])
         # without any knowledge each bit costs one bit
         assert np.allclose(flat.score(*Numbers(words)(["aa xyz bb", "", "aa"])), [coder.length[s].sum() for s in np.split(symbols, [7, 8])], atol=1e-3)
     rows = score_documents(odd).collect()
