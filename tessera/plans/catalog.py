@@ -695,12 +695,10 @@ def q_bpe_perplexity(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- generation
-@register("generate_samples")
-def q_generate_samples(spark, sf_dir):
-    """L4 + F9 + J2: ten top-100 samples per user turn of ``conversations``
-    (min length 30, max length 128 counting the prompt, seed 42), decoded with
-    special ids skipped. Iterative per sample: rows-only check."""
-    from tessera.operators.encode import decode, encode_tokens, tokenized_rows, with_words
+def _samples(spark, sf_dir):
+    """The corpus job and the samples of every user turn; stored: decoding and the
+    final join read the samples, they don't draw them again."""
+    from tessera.operators.encode import encode_tokens, tokenized_rows, with_words
     from tessera.operators.generate import generate
     prep = _prep(spark, sf_dir)
     ev = corpus.evaluate(prep, P)
@@ -708,13 +706,55 @@ def q_generate_samples(spark, sf_dir):
     conv = conv.select(F.concat_ws(":", "conv_id", "turn").alias("key"), "text")
     toks = encode_tokens(with_words(conv, P), prep.vocab, P, keys=("key",), truncate=False, append_eos=False)
     prompts = tokenized_rows(toks, keys=("key",)).select("key", F.col("ids").alias("prompt_ids"))
-    # stored: decoding and the final join read the samples, they don't draw them again
-    out = cut_lineage(generate(prompts, ev["bigrams"], ev["contexts"], P, key="key", ids_col="prompt_ids"))
+    return prep, cut_lineage(generate(prompts, ev["bigrams"], ev["contexts"], P, key="key", ids_col="prompt_ids"))
+
+
+@register("generate_samples")
+def q_generate_samples(spark, sf_dir):
+    """L4 + F9 + J2: ten top-100 samples per user turn of ``conversations``
+    (min length 30, max length 128 counting the prompt, seed 42), decoded with
+    special ids skipped. Iterative per sample: rows-only check (its first draws
+    have SQL, ``first_draws``)."""
+    from tessera.operators.encode import decode
+    prep, out = _samples(spark, sf_dir)
     dec = decode(out, prep.vocab, "ids", ["key", "sample_no"], P, skip_special=True)
     return (out.join(dec, ["key", "sample_no"])
             .select("key", "sample_no", "prompt_len", "len", F.size("attention_mask").alias("mask_len"), "text"))
 
 
+_K1 = P.top_k + 1
+_DRAW_EXTRA = {
+    "pw": ("SELECT key, unnest(generate_series(0, len(w) - 1)) AS i, unnest(w) AS word FROM (SELECT concat_ws(':', conv_id, turn) AS key, "
+           "regexp_extract_all(text, " + "'" + __import__('tessera.plans.oracles', fromlist=['x']).RE2_PATTERN.replace("'", "''")
+           + "') AS w FROM conversations WHERE role = 'user')"),
+    "pr": ("SELECT key, count(*) AS prompt_len, arg_max(coalesce(v.token_id, 3), i)::BIGINT AS last FROM pw LEFT JOIN vocab v ON v.token = pw.word "
+           f"GROUP BY key HAVING count(*) < {P.gen_max_length}"),
+    "known": "SELECT DISTINCT last AS prev FROM pr WHERE last IN (SELECT prev FROM contexts)",
+    "cand": ("SELECT prev, next::BIGINT AS next FROM bigrams WHERE prev IN (SELECT prev FROM known) UNION "
+             f"SELECT k.prev, r.range FROM known k, range({min(2 * _K1, P.n_ids)}) r"),
+    "best": (f"SELECT d.prev, d.next, coalesce(b.c, 0) + {float(P.alpha)} AS w, row_number() OVER (PARTITION BY d.prev ORDER BY coalesce(b.c, 0) DESC, d.next) AS rank "
+             f"FROM cand d LEFT JOIN bigrams b ON b.prev = d.prev AND b.next = d.next QUALIFY rank <= {_K1} "
+             f"UNION ALL SELECT -1, range, 1.0, range + 1 FROM range({_K1})"),
+    "open": (f"SELECT x.barred, b.*, row_number() OVER (PARTITION BY barred, prev ORDER BY rank) AS place FROM best b, (VALUES (true), (false)) x(barred) "
+             f"WHERE NOT (x.barred AND b.next = {P.eos_id}) QUALIFY place <= {P.top_k}"),
+    "cdf": "SELECT *, sum(w) OVER (PARTITION BY barred, prev ORDER BY place) AS upto, sum(w) OVER (PARTITION BY barred, prev) AS total FROM open",
+    "draw": (f"SELECT pr.key, s.range::INT AS sample_no, prompt_len::INT AS prompt_len, prompt_len < {P.gen_min_length} AS barred, "
+             "coalesce(k.prev, -1) AS prev, ('0x' || substr(md5(concat_ws('|', " + f"'{P.gen_seed}', pr.key, s.range::VARCHAR, '0')), 1, 13))::BIGINT / {float(1 << 52)} AS u "
+             f"FROM pr LEFT JOIN known k ON k.prev = pr.last, range({P.gen_samples}) s"),
+}
+
+
+@register("first_draws", with_ctes(
+    "SELECT d.key, d.sample_no, d.prompt_len, arg_min(c.next, c.place)::BIGINT AS next_id FROM draw d JOIN cdf c ON c.prev = d.prev AND c.barred = d.barred "
+    "WHERE c.upto > d.u * c.total GROUP BY d.key, d.sample_no, d.prompt_len", ["contexts"], P, extra=_DRAW_EXTRA))
+def q_first_draws(spark, sf_dir):
+    """L4, one step of it: the first id that each sample draws after its prompt
+    (best 100 ids of the last one's context, eos barred below the minimum length)."""
+    out = _samples(spark, sf_dir)[1]
+    return out.where(F.size("ids") > F.col("prompt_len")).select(
+        "key", "sample_no", "prompt_len", F.element_at("ids", F.col("prompt_len") + 1).alias("next_id"))
+
+
 # ---------------------------------------------------------------- streaming
 @register("stream_tokenized_lines", ORACLES["tokenized_lines"])
 def q_stream_tokenized_lines(spark, sf_dir):
