@@ -449,6 +449,42 @@ def q_classifier_head(spark, sf_dir):
             .unionByName(classifier_accuracy(model, v.where(F.col("split") != "train")).withColumn("part", F.lit("held_out"))))
 
 
+HEAD_BATCH, HEAD_RATE, HEAD_STEPS = 32, 0.5, 2
+_W = f"(('0x' || substr(md5(concat_ws('|', '{P.seed}', '0', CAST(vec_id AS VARCHAR))), 1, 15))::BIGINT)"
+_HEAD_SQL = (
+    "WITH t AS (SELECT vec_id, label, list_append(embedding::DOUBLE[], 1.0) AS x FROM embeddings "
+    "WHERE ('0x' || substr(md5(CAST(vec_id AS VARCHAR)), 1, 7))::BIGINT % 10 < 8), "
+    f"b AS (SELECT *, (row_number() OVER (ORDER BY {_W}, vec_id) - 1) // {HEAD_BATCH} AS batch FROM t), "
+    "c AS (SELECT range AS c FROM range((SELECT max(label) + 1 FROM embeddings))), d AS (SELECT range AS d FROM range((SELECT len(x) FROM t LIMIT 1))), "
+    "w0 AS (SELECT c, d, 0.0::DOUBLE AS w FROM c, d)")
+
+
+def _head_sql() -> str:
+    out = _HEAD_SQL
+    for i in range(HEAD_STEPS):
+        out += (f", z{i} AS (SELECT b.vec_id, b.label, b.x, w.c, sum(w.w * b.x[w.d + 1]) AS z FROM b, w{i} w WHERE b.batch = {i} GROUP BY ALL), "
+                f"p{i} AS (SELECT *, exp(z - max(z) OVER (PARTITION BY vec_id)) / sum(exp(z)) OVER (PARTITION BY vec_id) * exp(max(z) OVER (PARTITION BY vec_id)) "
+                f"- (c = label)::INT AS e FROM z{i}), "
+                f"w{i + 1} AS (SELECT w.c, w.d, w.w - {HEAD_RATE} * g.g AS w FROM w{i} w JOIN (SELECT p.c, d.d, sum(p.e * p.x[d.d + 1]) / count(*) AS g "
+                f"FROM p{i} p, d GROUP BY p.c, d.d) g ON g.c = w.c AND g.d = w.d)")
+    return out + f" SELECT c::INT AS label, d::INT AS dim, round(w, 6) AS weight FROM w{HEAD_STEPS}"
+
+
+@register("head_steps", _head_sql())
+def q_head_steps(spark, sf_dir):
+    """C1 + T5: the head's weights after two mini-batch steps of the cross-entropy
+    over the train vectors, in the order of the epoch plan (bias as last dimension)."""
+    from tessera.functions.hashing import split_of
+    from tessera.operators.batching import epoch_plan
+    from tessera.operators.head import plan_rows, train_head
+    v = read_table(spark, sf_dir, "embeddings")
+    rows = v.withColumn("split", split_of(F.col("vec_id"))).where(F.col("split") == "train")
+    plan = epoch_plan(rows.select("split", F.col("vec_id").alias("block_id")), P.with_(batch_size=HEAD_BATCH), epochs=1)
+    shape = v.agg(F.max("label") + 1, F.max(F.size("embedding"))).first()
+    weights, _ = train_head(plan_rows(rows, plan), *shape, [(0, i + 1) for i in range(HEAD_STEPS)], HEAD_RATE)
+    return spark.createDataFrame([(c, d, round(float(w), 6)) for c, row in enumerate(weights) for d, w in enumerate(row)], "label int, dim int, weight double")
+
+
 # ---------------------------------------------------------------- checks
 @register("decay_groups",
           f"SELECT CASE WHEN contains(p_name, 'bias') OR contains(p_name, 'LayerNorm.weight') THEN 0.0 "
