@@ -30,6 +30,7 @@ equal scores; other columns are ignored.
 from __future__ import annotations
 
 import heapq
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -48,6 +49,7 @@ RATE = 0.02
 TOP_ODDS, STEP = 15, 64  # mixed odds are clipped to +- TOP_ODDS and read in steps of 1 / STEP
 CHUNK = 1 << 19          # bytes of text coded at once
 FINE = 8                 # steps of a table's odds
+EVENTS = 6 << 20         # bits that are held before they are counted
 _M = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 SPELL, END = 256, 256    # symbols 0..255 are bytes, 256 the end mark, the dictionary follows
 
@@ -194,8 +196,7 @@ class Numbers:
 
     def __call__(self, texts: list[str]) -> tuple[list[list[bytes]], np.ndarray]:
         words = [tokens_of(t) for t in texts]
-        get = self.get
-        return words, np.fromiter((get(w, -1) for ws in words for w in ws), np.int32, sum(map(len, words)))
+        return words, np.array(list(map(self.get, chain.from_iterable(words), repeat(-1))), np.int32)
 
 
 def _count_bits(held):
@@ -206,13 +207,24 @@ def _count_bits(held):
         numbers = Numbers(top)
         size = [coder.n, coder.slots, coder.slots]
         total = [np.zeros(2 * s, np.int32) for s in size]
-        some = False
+        some, waiting, events = False, [[] for _ in size], 0
+
+        def add():
+            for k, parts in enumerate(waiting):
+                if parts:
+                    total[k] += np.bincount(np.concatenate(parts), minlength=2 * size[k]).astype(np.int32)
+                    parts.clear()
+
         with np.errstate(over="ignore"):
-            for table in grouped_by_bytes(batches, "text", 2 * CHUNK):
+            for table in grouped_by_bytes(batches, "text", CHUNK):
                 slots, bits, _, _, _ = coder.expand(*coder.encode(*numbers(table.column("text").to_pylist())))
                 for k in range(CONTEXTS):
-                    total[k] += np.bincount(slots[k] * 2 + bits, minlength=2 * size[k]).astype(np.int32)
-                some = True
+                    waiting[k].append(slots[k] * 2 + bits)
+                some, events = True, events + len(bits)
+                if events >= EVENTS:
+                    add()
+                    events = 0
+            add()
         step = 1 << 15
         for k in range(CONTEXTS if some else 0):
             for a in range(0, 2 * size[k], step):
