@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tessera.config import Params
 from tessera.plans import corpus
 from tessera.plans.oracles import with_ctes
-from tessera.session import cut_lineage, ensure_checkpoint_dir, read_table
+from tessera.session import cut_lineage, ensure_checkpoint_dir, read_table, table_path
 
 P =Params()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -799,7 +799,7 @@ def q_stream_tokenized_lines(spark, sf_dir):
     ``tokenized_lines``."""
     from tessera.streaming.encode_stream import encode_documents_stream
     vocab = _prep(spark, sf_dir).vocab
-    rows = encode_documents_stream(spark, sf_dir, "documents.parquet", vocab, P)
+    rows = encode_documents_stream(spark, table_path(sf_dir, "documents"), vocab, P)
     return rows.select("split", "doc_id", "line_no", F.array_join("ids", " ").alias("ids_text"), "len")
 
 

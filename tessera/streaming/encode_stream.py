@@ -20,14 +20,23 @@ from tessera.session import ensure_checkpoint_dir
 from tessera.sources.corpus import document_lines
 
 
-def start_document_encoding(spark: SparkSession, source_dir: str, glob: str, vocab: DataFrame, out_path: str,
+def _reader_of(reader, spark: SparkSession, source: str):
+    """``reader`` with its path: a stream reads folders only, so that a single
+    file is its folder under a filter of names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile():
+        return reader.option("pathGlobFilter", path.getName()).parquet(path.getParent().toString())
+    return reader.parquet(source)
+
+
+def start_document_encoding(spark: SparkSession, source: str, vocab: DataFrame, out_path: str,
                             checkpoint: str, params: Params = Params(), available_now: bool = True,
                             max_files_per_trigger: int = 1):
-    """Stream parquet document files (``doc_id, text``) from ``source_dir``
-    and append tokenized lines ``(split, doc_id, line_no, ids, len)``."""
-    schema = spark.read.option("pathGlobFilter", glob).parquet(source_dir).select("doc_id", "text").schema
-    stream = (spark.readStream.schema(schema).option("pathGlobFilter", glob)
-              .option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir))
+    """Stream parquet document files (``doc_id, text``) from ``source``, one file
+    or a folder of them, and append tokenized lines ``(split, doc_id, line_no,
+    ids, len)``."""
+    schema = spark.read.parquet(source).select("doc_id", "text").schema
+    stream = _reader_of(spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger), spark, source)
 
     def per_batch(df: DataFrame, batch_id: int) -> None:
         lines = with_words(document_lines(df), params)
@@ -39,12 +48,12 @@ def start_document_encoding(spark: SparkSession, source_dir: str, glob: str, voc
     return w.start()
 
 
-def encode_documents_stream(spark: SparkSession, source_dir: str, glob: str, vocab: DataFrame,
+def encode_documents_stream(spark: SparkSession, source: str, vocab: DataFrame,
                             params: Params = Params()) -> DataFrame:
     """Run the stream over what is there now and return the encoded lines.
     Output and stream checkpoint live in the shared checkpoint folder."""
     base = os.path.join(ensure_checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
-    q = start_document_encoding(spark, source_dir, glob, vocab.cache(), os.path.join(base, "out"),
+    q = start_document_encoding(spark, source, vocab.cache(), os.path.join(base, "out"),
                                 os.path.join(base, "state"), params)
     q.awaitTermination()
     return spark.read.parquet(os.path.join(base, "out"))
