@@ -46,13 +46,17 @@ class NgramModel:
 def fit_ngrams(train_blocks: DataFrame, order: int = 3) -> NgramModel:
     """Counts of all n-grams up to ``order``, and their contexts' totals. The
     tables are stored: scoring reads them more than once, and joins that read a
-    scan can be split where a key is hot."""
+    scan can be split where a key is hot. Only the longest are counted from the
+    blocks; the next shorter ones are sums of those, and of the few at a block's
+    begin whose context is short."""
     rows = shift_ngrams(train_blocks, order)
+    whole = stored(rows.groupBy(*history(order), "next").agg(F.count(F.lit(1)).alias("c")), f"grams-{order}")
     grams, contexts = {}, {}
     for k in range(order, 0, -1):
         h = history(k)
-        full = rows.where(F.col(h[0]).isNotNull()) if h else rows
-        grams[k] = stored(full.groupBy(*h, "next").agg(F.count(F.lit(1)).alias("c")), f"grams-{k}")
+        if k < order:
+            whole = stored(whole.groupBy(*h, "next").agg(F.sum("c").alias("c")), f"grams-{k}")
+        grams[k] = whole.where(F.col(h[0]).isNotNull()) if h else whole
         if h:
             contexts[k] = stored(grams[k].groupBy(*h).agg(F.sum("c").alias("c_total")), f"contexts-{k}")
     return NgramModel(order, grams, contexts, grams[1].agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
@@ -70,7 +74,9 @@ def relative_frequencies(blocks: DataFrame, model: NgramModel) -> DataFrame:
     rows = rows.join(F.broadcast(words), "next", "left").withColumn("f1", F.coalesce("f1", F.lit(0.0)) if model.total else F.lit(None).cast("double"))
     for k in range(2, model.order + 1):
         h = history(k)
-        rows = (rows.join(model.grams[k], [*h, "next"], "left").join(model.contexts[k], h, "left")
+        # the contexts of one token are at most n_ids, the bound of their broadcast
+        of = F.broadcast(model.contexts[k]) if k == 2 else model.contexts[k]
+        rows = (rows.join(model.grams[k], [*h, "next"], "left").join(of, h, "left")
                 .withColumn(f"f{k}", F.coalesce("c", F.lit(0)) / F.col("c_total")).drop("c", "c_total"))
     return rows.select("split", "block_id", "m", *[f"f{k}" for k in range(1, model.order + 1)])
 
