@@ -87,3 +87,17 @@ def test_learned_text_is_cheaper_than_unlearned():
         known = Mixer(coder, seen).fit(*numbers(texts[:10]), seen).score(*numbers(texts[:1]))[0]
         blank = Mixer(coder, [np.zeros_like(c) for c in seen]).score(*numbers(texts[:1]))[0]
     assert known < 0.2 * blank
+
+
+def test_weights_and_refinement_cover_all_training_rows(spark):
+    """Over all texts, long ones too, whatever their dealing: as in one place."""
+    from tessera.llm.mixer import learn
+    texts = [t for t in _texts(300, 5) if t] + ["alpha beta w7 " * 3000]
+    coder, numbers, counts, Mixer = _model(texts)
+    seen = counts(texts)
+    words = [b"alpha", b"beta", b"gamma", b"x", b"zeta", b"eta"]
+    with np.errstate(over="ignore"):
+        want = Mixer(coder, seen).fit(*numbers(texts), seen)
+    for parts in (1, 5):
+        got = learn(Mixer(coder, seen), seen, words, spark.createDataFrame([(t,) for t in texts], "text string").repartition(parts))
+        assert (got.weights == want.weights).all() and (got.cost == want.cost).all()
