@@ -176,10 +176,10 @@ def q_stream_blocks(spark, sf_dir):
     """S5 + S4 + W2: the token stream written as flat 16-bit ids and scanned back
     by byte ranges, cut into the same blocks."""
     from tessera.operators.pack import pack_blocks
-    from tessera.sources.token_stream import read_token_stream, write_token_stream
+    from tessera.sources.token_stream import read_token_stream, write_line_stream
     prep = _prep(spark, sf_dir)
     folder = _folder(spark, "token-stream")
-    write_token_stream(prep.tokens, folder)
+    write_line_stream(prep.stored_ids, folder)
     b = pack_blocks(read_token_stream(spark, folder), prep.totals, P)
     return b.select("split", "block_id", F.size("tokens").cast("int").alias("n"), F.array_join("tokens", " ").alias("ids_text"))
 
@@ -190,9 +190,9 @@ def q_stream_blocks(spark, sf_dir):
 def q_stream_totals(spark, sf_dir):
     """S5 + S4: count, last position and position-weighted sums of the scanned
     flat stream of every split."""
-    from tessera.sources.token_stream import read_manifest, read_token_stream, write_token_stream
+    from tessera.sources.token_stream import read_manifest, read_token_stream, write_line_stream
     folder = _folder(spark, "token-stream")
-    write_token_stream(_prep(spark, sf_dir).tokens, folder)
+    write_line_stream(_prep(spark, sf_dir).stored_ids, folder)
     splits = sorted({s["split"] for s in read_manifest(folder)})
     parts = [read_token_stream(spark, folder, s) for s in splits]
     t = parts[0]

@@ -79,10 +79,14 @@ class Prepared:
         # instead of each re-running encode and pack for their split
         return stored(pack_line_blocks(self.placed_ids, self.totals, self.params), "blocks", "split")
 
+    @cached_property
+    def stored_ids(self) -> DataFrame:  # the same rows
+        # stored: the writer of the stream counts, samples and writes them
+        return stored(self.placed_ids, "placed-ids", "split")
+
     @cached_property
     def tokens(self) -> DataFrame:    # split, doc_id, line_no, i, token_id, pos
-        # stored: the writer of the stream counts, samples and writes these rows
-        t = stored(self.placed_ids, "placed-ids", "split").select("split", "doc_id", "line_no", "line_start",
+        t = self.stored_ids.select("split", "doc_id", "line_no", "line_start",
                                                                   F.posexplode("ids").alias("i", "token_id"))
         return t.select("split", "doc_id", "line_no", F.col("i").cast("int").alias("i"), "token_id",
                         (F.col("line_start") + F.col("i")).cast("bigint").alias("pos"))

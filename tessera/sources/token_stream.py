@@ -29,6 +29,7 @@ ID_BYTES = 2
 RANGE_BYTES = 64 << 20     # bytes of a task's range
 READ_IDS = 1 << 20         # ids of one Arrow batch
 TASK_TOKENS = 1 << 24      # rows that one task writes
+SPREAD_TOKENS = 1 << 20    # rows of a task from which on more cores take part
 
 
 def _files(path: str):
@@ -177,6 +178,21 @@ def write_token_stream(tokens: DataFrame, path: str, mode: str = "overwrite", ta
      .write.format(NAME).mode(mode).option("path", path).save())
 
 
+def write_line_stream(lines: DataFrame, path: str, mode: str = "overwrite", task_tokens: int = TASK_TOKENS,
+                      spread_tokens: int = SPREAD_TOKENS) -> None:
+    """S5 from lines ``(split, line_start, ids)``: the same stream as that of their
+    token rows. Lines, not tokens, are dealt to ranges of positions and sorted
+    there; a task gives out the ids of its lines in order."""
+    spark = lines.sparkSession
+    spark.dataSource.register(TokenStream)
+    n = lines.agg(F.sum(F.size("ids"))).first()[0] or 0
+    tasks = max(1 + n // task_tokens, min(spark.sparkContext.defaultParallelism, 1 + n // spread_tokens))
+    rows = (lines.select("split", "line_start", "ids").repartitionByRange(tasks, "split", "line_start").sortWithinPartitions("split", "line_start")
+            .select("split", "line_start", F.posexplode("ids").alias("i", "token_id")))
+    (rows.select("split", (F.col("line_start") + F.col("i")).cast("bigint").alias("pos"), narrow_u16("token_id").cast("int").alias("token_id"))
+     .write.format(NAME).mode(mode).option("path", path).save())
+
+
 def read_token_stream(spark: SparkSession, path: str, split: str | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """A published stream (or one plain file of ids) by byte ranges."""
     spark.dataSource.register(TokenStream)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.sources.token_stream import MANIFEST, StreamWriter, read_manifest, read_token_stream, write_token_stream
+from tessera.sources.token_stream import MANIFEST, StreamWriter, read_manifest, read_token_stream, write_line_stream, write_token_stream
 
 
 def _rows(spark, n=5000, k=1200):
@@ -87,3 +87,19 @@ def test_gaps_and_second_streams_are_refused(spark, tmp_path):
 def test_ids_that_do_not_fit_are_refused(spark, tmp_path):
     with pytest.raises(Exception):
         write_token_stream(spark.createDataFrame([("a", 0, 65536)], "split string, pos long, token_id int"), str(tmp_path / "s"))
+
+
+def test_lines_give_the_stream_of_their_token_rows(spark, tmp_path):
+    lines = [("train" if k % 3 else "val", k // 3 * 40 + (20 if k % 3 == 2 else 0), [(k * 31 + i) % 65536 for i in range(40 if k % 3 == 0 else 20)]) for k in range(90)]
+    df = spark.createDataFrame(lines[::-1], "split string, line_start long, ids array<int>").repartition(5)
+    rows = df.select("split", F.posexplode("ids").alias("i", "token_id"), "line_start").selectExpr("split", "line_start + i as pos", "token_id")
+    for k, sizes in enumerate(({"task_tokens": 300}, {"spread_tokens": 100}, {})):
+        write_line_stream(df, str(tmp_path / f"s{k}"), **sizes)
+        assert _sorted(read_token_stream(spark, str(tmp_path / f"s{k}"))) == _sorted(rows)
+    assert len(read_manifest(str(tmp_path / "s0"))) > 5
+    write_line_stream(df.limit(0), str(tmp_path / "none"))
+    assert read_manifest(str(tmp_path / "none")) == []
+    with pytest.raises(Exception, match="starts at"):
+        write_line_stream(df.where("line_start > 0"), str(tmp_path / "gap"))
+    with pytest.raises(Exception):
+        write_line_stream(spark.createDataFrame([("a", 0, [1, 65536])], "split string, line_start long, ids array<int>"), str(tmp_path / "big"))
