@@ -88,7 +88,7 @@ class StreamReader(DataSourceReader):
                     raise OSError(f"{partition.file} ends before its manifest says")
                 first = partition.start + at
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([partition.split] * n, pa.string()), pa.array(np.arange(first, first + n)), pa.array(ids)],
+                    [pa.repeat(pa.scalar(partition.split, pa.string()), n), pa.array(np.arange(first, first + n)), pa.array(ids)],
                     names=["split", "pos", "token_id"])
 
 
@@ -97,20 +97,29 @@ class StreamWriter(DataSourceArrowWriter):
         self.path, self.overwrite = options["path"], overwrite
 
     def write(self, iterator) -> Shards:
-        """Rows of a task, ordered by (split, pos): one file for each run of
-        following positions."""
+        """Rows of a task, token rows or lines ordered by (split, position): one
+        file for each run of following positions."""
         files, root = _files(self.path)
         folder = f"shards/{uuid.uuid4().hex}"
         files.create_dir(f"{root}/{folder}", recursive=True)
         written, out = [], None
         try:
             for b in iterator:
-                splits, pos = b.column("split"), b.column("pos").to_numpy(zero_copy_only=False)
-                ids = b.column("token_id").to_numpy(zero_copy_only=False).astype("<u2")
+                code = b.column("split").dictionary_encode()
+                number = code.indices.to_numpy(zero_copy_only=False)
+                if "ids" in b.schema.names:
+                    lists = b.column("ids")
+                    size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                    ids = lists.flatten().to_numpy(zero_copy_only=False)
+                    if len(ids) and not (0 <= ids.min() and ids.max() < 1 << 8 * ID_BYTES):
+                        raise ValueError(f"an id of {ids.min()} to {ids.max()} does not fit into {8 * ID_BYTES} bits")
+                    first = b.column("line_start").to_numpy(zero_copy_only=False) - (np.cumsum(size) - size)
+                    pos, number = np.repeat(first, size) + np.arange(len(ids)), np.repeat(number, size)
+                else:
+                    pos, ids = b.column("pos").to_numpy(zero_copy_only=False), b.column("token_id").to_numpy(zero_copy_only=False)
                 if not len(pos):
                     continue
-                code = splits.dictionary_encode()
-                number = code.indices.to_numpy(zero_copy_only=False)
+                ids = ids.astype("<u2")
                 cuts = np.flatnonzero((np.diff(pos) != 1) | (np.diff(number) != 0)) + 1
                 for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(pos)]):
                     split, start = code.dictionary[int(number[a])].as_py(), int(pos[a])
@@ -182,14 +191,13 @@ def write_line_stream(lines: DataFrame, path: str, mode: str = "overwrite", task
                       spread_tokens: int = SPREAD_TOKENS) -> None:
     """S5 from lines ``(split, line_start, ids)``: the same stream as that of their
     token rows. Lines, not tokens, are dealt to ranges of positions and sorted
-    there; a task gives out the ids of its lines in order."""
+    there; the writer takes the ids out of them and checks that they fit."""
     spark = lines.sparkSession
     spark.dataSource.register(TokenStream)
     n = lines.agg(F.sum(F.size("ids"))).first()[0] or 0
     tasks = max(1 + n // task_tokens, min(spark.sparkContext.defaultParallelism, 1 + n // spread_tokens))
-    rows = (lines.select("split", "line_start", "ids").repartitionByRange(tasks, "split", "line_start").sortWithinPartitions("split", "line_start")
-            .select("split", "line_start", F.posexplode("ids").alias("i", "token_id")))
-    (rows.select("split", (F.col("line_start") + F.col("i")).cast("bigint").alias("pos"), narrow_u16("token_id").cast("int").alias("token_id"))
+    (lines.select("split", F.col("line_start").cast("bigint").alias("line_start"), "ids")
+     .repartitionByRange(tasks, "split", "line_start").sortWithinPartitions("split", "line_start")
      .write.format(NAME).mode(mode).option("path", path).save())
 
 
