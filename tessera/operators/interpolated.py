@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.config import Params
+from tessera.operators.ngram import counted_ngrams
 from tessera.session import stored
 
 ROUNDS = 5   # of expectation maximisation
@@ -49,8 +50,8 @@ def fit_ngrams(train_blocks: DataFrame, order: int = 3) -> NgramModel:
     scan can be split where a key is hot. Only the longest are counted from the
     blocks; the next shorter ones are sums of those, and of the few at a block's
     begin whose context is short."""
-    rows = shift_ngrams(train_blocks, order)
-    whole = stored(rows.groupBy(*history(order), "next").agg(F.count(F.lit(1)).alias("c")), f"grams-{order}")
+    rows = counted_ngrams(train_blocks, [*history(order), "next"], "n")
+    whole = stored(rows.groupBy(*history(order), "next").agg(F.sum("n").alias("c")), f"grams-{order}")
     grams, contexts = {}, {}
     for k in range(order, 0, -1):
         h = history(k)
@@ -68,8 +69,7 @@ def relative_frequencies(blocks: DataFrame, model: NgramModel) -> DataFrame:
     that context is new. The single-token table has at most ``n_ids`` rows, the
     bound of its broadcast."""
     keys = history(model.order)
-    rows = (shift_ngrams(blocks, model.order).groupBy("split", "block_id", *keys, "next")
-            .agg(F.count(F.lit(1)).alias("m")))
+    rows = counted_ngrams(blocks, [*keys, "next"], "m", ("split", "block_id"))
     words = model.grams[1].select("next", (F.col("c") / F.lit(float(model.total))).alias("f1"))
     rows = rows.join(F.broadcast(words), "next", "left").withColumn("f1", F.coalesce("f1", F.lit(0.0)) if model.total else F.lit(None).cast("double"))
     for k in range(2, model.order + 1):
