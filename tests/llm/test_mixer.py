@@ -101,3 +101,25 @@ def test_weights_and_refinement_cover_all_training_rows(spark):
     for parts in (1, 5):
         got = learn(Mixer(coder, seen), seen, words, spark.createDataFrame([(t,) for t in texts], "text string").repartition(parts))
         assert (got.weights == want.weights).all() and (got.cost == want.cost).all()
+
+
+def test_own_counts_are_taken_from_the_whole_chunk_at_once(monkeypatch):
+    """Texts of any length, empty ones too, in pieces of any size: as read one
+    by one, and the places between texts are no sightings."""
+    from tessera.llm import mixer
+    monkeypatch.setattr(mixer, "PIECE", 37)
+    texts = _texts(20, 7) + ["", "beta " * 400, "w1"]
+    coder, numbers, counts, Mixer = _model(texts)
+    seen = counts(texts)
+    with np.errstate(over="ignore"):
+        model = Mixer(coder, seen)
+        x, bits, state, per_text, first = model.inputs(*numbers(texts), seen)
+        slots = coder.expand(*coder.encode(*numbers(texts)), align=16)[0]
+        for a, n in zip(first.tolist(), per_text.tolist()):
+            for k in range(3):
+                at, bit = slots[k][a:a + n], bits.ravel()[a:a + n]
+                own = Counter(zip(at.tolist(), bit.tolist()))
+                left = [np.array([max(seen[k][2 * s + j] - own[s, j], 0) for s in at.tolist()], np.float32) for j in (0, 1)]
+                assert (x[k].ravel()[a:a + n] == mixer._odds(*left)).all()
+        assert not model.own.any()
+        assert model.sightings(*numbers(texts), seen).sum() == per_text.sum()
