@@ -14,7 +14,12 @@ table in the shared folder. From them the phrases are enumerated level by level:
 * only intervals whose phrase may be frequent are extended: a bitmap of the
   frequent phrases of the level before (a bound of ``MAX_BITS`` bits whatever
   the data; a false hit costs a row, never a result);
-* Spark sums the shards' counts of a level and keeps what is frequent in all.
+* of the levels in ``SKETCHED``, where most such phrases are rare, tasks first
+  send the counts of hash buckets (at most ``MAX_BUCKETS``, cut off at the
+  least count); a phrase in a bucket below it isn't frequent and makes no row
+  (a bucket that others fill costs a row, never a result);
+* tasks add up their shards' counts of a level; Spark sums the tasks' and keeps
+  what is frequent in all.
 
 No shard decides anything alone, so how rows fall into shards has no influence.
 A phrase carries the counts of all its heads and tails, taken from the frequent
@@ -36,6 +41,10 @@ from tessera.llm.common import store, text_of
 DEPTH = 5                # words of the longest phrase
 SHARD_WORDS = 2_000_000  # words (and piece ends) of one index, about 100 MB while it is built
 MAX_BITS = 1 << 28       # bits of a bitmap: 32 MB at most
+SKETCHED = (3,)          # levels whose rare phrases are left out by bucket
+MAX_BUCKETS = 1 << 24    # counts of a task's buckets: 64 MB at most
+BLOCK = 1 << 16          # buckets in a row that a task sends
+HELD = 1 << 21           # phrases of several shards that a task adds up at once
 BREAKS = ".,;:!?\n\v\f\r"
 TOKENS = re.compile(r"[^\x20\x09.,;:!?\x0A-\x0D]+|[.,;:!?\x0A-\x0D]").findall
 LOWER = {c: c + 32 for c in range(65, 91)}   # A-Z alone
@@ -194,18 +203,85 @@ def _count_words(seed: int):
     return run
 
 
-def _count_phrases(level: int, seed: int, bitmaps):
-    """Counts of a level's phrases in every stored shard."""
+def _phrases(batches, seed: int, bitmaps):
+    """Of every stored shard: the level's phrases as hashes of their words, one
+    array per place, and their counts."""
+    for words, bwt in _stored(batches):
+        hashes = np.append(np.uint64(0), word_hashes(words, seed))
+        fm = FmIndex(bwt, len(words))
+        for shared in bitmaps:
+            fm.extend(_holds(np.frombuffer(shared.value, np.uint8), _mixed([hashes[p] for p in fm.phrases()])))
+        yield [hashes[p] for p in fm.phrases()], fm.size
+
+
+def _count_buckets(seed: int, bitmaps, buckets: int, least: int):
+    """Per task: the level's phrases by bucket, cut off at ``least``, in blocks."""
     def run(batches):
         import pyarrow as pa
+        import zstandard
 
-        for words, bwt in _stored(batches):
-            hashes = np.append(np.uint64(0), word_hashes(words, seed))
-            fm = FmIndex(bwt, len(words))
-            for shared in bitmaps:
-                fm.extend(_holds(np.frombuffer(shared.value, np.uint8), _mixed([hashes[p] for p in fm.phrases()])))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[p].view(np.int64)) for p in fm.phrases()] + [pa.array(fm.size.astype(np.int64))],
-                                             names=_keys(level) + ["c"])
+        pack = zstandard.ZstdCompressor(level=1).compress
+        total = None
+        for phrases, size in _phrases(batches, seed, bitmaps):
+            if total is None:
+                total = np.zeros(buckets, np.int32)
+            np.add.at(total, (_mixed(phrases) & np.uint64(buckets - 1)).astype(np.intp), size.astype(np.int32))
+            np.minimum(total, least, out=total)
+        for a in range(0, buckets if total is not None else 0, BLOCK):
+            part = total[a:a + BLOCK].astype(np.min_scalar_type(least))
+            if part.any():
+                yield pa.RecordBatch.from_pydict({"block": pa.array([a // BLOCK], pa.int32()), "counts": pa.array([pack(part.tobytes())], pa.binary())})
+    return run
+
+
+def _full_buckets(least: int):
+    """Bits of a block: the buckets that reach ``least`` over all tasks."""
+    def run(key, table):
+        import pyarrow as pa
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        total = sum(np.frombuffer(unpack(c.as_py()), np.min_scalar_type(least)).astype(np.int64) for c in table.column("counts"))
+        bits = np.packbits(total >= least, bitorder="little").tobytes()
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([bits], pa.binary())})
+    return run
+
+
+def _sketch(index: DataFrame, seed: int, bitmaps, occurrences: int, least: int):
+    """Broadcast bits of the buckets that may hold a frequent phrase, about one
+    for 8 ``occurrences`` of the shorter phrases; the driver gets the bits only."""
+    buckets = min(MAX_BUCKETS, 1 << max(20, (occurrences // 8).bit_length()))
+    rows = (index.select("words", "bwt").mapInArrow(_count_buckets(seed, bitmaps, buckets, least), "block int, counts binary")
+            .groupBy("block").applyInArrow(_full_buckets(least), "block int, bits binary").collect())
+    out = bytearray(buckets // 8)
+    for r in rows:
+        out[r["block"] * BLOCK // 8:(r["block"] + 1) * BLOCK // 8] = r["bits"]
+    return index.sparkSession.sparkContext.broadcast(bytes(out))
+
+
+def _count_phrases(level: int, seed: int, bitmaps, sketch=None):
+    """Counts of a level's phrases in the stored shards of a task, without those
+    that ``sketch`` rules out."""
+    def run(batches):
+        import pyarrow as pa
+
+        def added():
+            table = pa.concat_tables(held)
+            return table.to_batches() if len(held) == 1 else \
+                table.group_by(_keys(level), use_threads=False).aggregate([("c", "sum")]).rename_columns(_keys(level) + ["c"]).to_batches()
+
+        held, n = [], 0
+        for phrases, size in _phrases(batches, seed, bitmaps):
+            if sketch is not None:
+                kept = _holds(np.frombuffer(sketch.value, np.uint8), _mixed(phrases))
+                phrases, size = [p[kept] for p in phrases], size[kept]
+            held.append(pa.table([pa.array(p.view(np.int64)) for p in phrases] + [pa.array(size.astype(np.int64))], names=_keys(level) + ["c"]))
+            n += len(size)
+            if n >= HELD:
+                yield from added()
+                held, n = [], 0
+        if held:
+            yield from added()
     return run
 
 
@@ -277,12 +353,13 @@ def frequent_phrases(docs: DataFrame, least: int = 100, depth: int = DEPTH, shar
     words, seed = _frequent_words(index, least)
     levels, bitmaps = [words], []
     for level in range(2, depth + 1):
-        known = levels[-1].count()
+        known, occurrences = levels[-1].agg(F.count(F.lit(1)), F.sum("a")).first()
         if not known:
             break
         bitmaps.append(_bitmap(levels[-1], level - 1, known))
         keys = _keys(level)
-        counts = (index.select("words", "bwt").mapInArrow(_count_phrases(level, seed, bitmaps), ", ".join(f"{k} long" for k in keys) + ", c long")
+        sketch = _sketch(index, seed, bitmaps, occurrences, least) if level in SKETCHED else None
+        counts = (index.select("words", "bwt").mapInArrow(_count_phrases(level, seed, bitmaps, sketch), ", ".join(f"{k} long" for k in keys) + ", c long")
                   .groupBy(*keys).agg(F.sum("c").alias("a")).where(F.col("a") >= least))
         levels.append(store(_with_parts(counts, levels[-1], level), f"collocation-{level}"))
     return levels, index

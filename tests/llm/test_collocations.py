@@ -123,3 +123,36 @@ def test_a_hash_that_two_words_share(spark, monkeypatch):
     df = spark.createDataFrame([("en", "p q " * 30 + "r s " * 30)], "lang string, text string")
     got = m.collocations(df, least=10)
     assert sorted(tuple(r) for r in got.collect()) == _brute([("en", "p q " * 30 + "r s " * 30)], 10)
+
+
+@pytest.mark.parametrize("least", [2, 4, 300])
+def test_tasks_send_only_phrases_that_may_be_frequent(spark, least):
+    """Two frequent pairs with a word in common make rare triples; these are no
+    rows, frequent ones are one row a task with the whole count of its shards."""
+    from tessera.llm import collocations as m
+    texts = [f"a b x{i % 7}" for i in range(300)] + [f"y{i % 7} b x{(i * 3 + i // 7) % 7}" for i in range(300)] + ["a b c"] * 300
+    df = spark.createDataFrame([("en", t) for t in texts], "lang string, text string").repartition(2)
+    index = m.store(df.mapInArrow(m._index_texts(60), m.INDEX), "index")
+    words, seed = m._frequent_words(index, 1)
+    every = m._bitmap(words, 1, words.count())
+    pairs = m.store(index.mapInArrow(m._count_phrases(2, seed, [every]), "w1 long, w2 long, c long").groupBy("w1", "w2").agg({"c": "sum"}), "pairs")
+    bitmaps = [every, m._bitmap(pairs, 2, pairs.count())]
+    sketch = m._sketch(index, seed, bitmaps, 900, least)
+    stored = index.select("words", "bwt").repartition(2)
+    got = stored.mapInArrow(m._count_phrases(3, seed, bitmaps, sketch), "w1 long, w2 long, w3 long, c long").collect()
+    count = Counter(texts)
+    often = [a for a in count.values() if a >= least]
+    assert Counter(sorted(sum(r["c"] for r in got if r[:3] == k) for k in {r[:3] for r in got})) == Counter(often)
+    assert len(got) <= 2 * len(often)
+
+
+def test_full_and_tight_buckets_give_the_same_phrases(spark, monkeypatch):
+    """However few buckets there are, and whatever a task holds, no phrase is lost."""
+    from tessera.llm import collocations as m
+    rows = _rows(6, 60)
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(2)
+    want = _brute(rows, 5)
+    for buckets, held in ((8, 1), (1 << 20, 10 ** 6)):
+        monkeypatch.setattr(m, "MAX_BUCKETS", buckets)
+        monkeypatch.setattr(m, "HELD", held)
+        assert sorted(tuple(r) for r in m.collocations(df, least=5, shard_words=100).collect()) == want
